@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rimlight.llm import mixing, packing, quality
+from rimlight.llm import ann, langid, mixing, packing, quality, toxicity, warc
 
 GPT_SPECIALS = (("<|endoftext|>", 50256),)
 
@@ -13,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op2_output_codes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -28,9 +37,17 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_harmonic_packing, op10_mix_sources)}
-ORACLES = {"op10_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op6_noisy_or_toxicity, op9_block_matrix_neighbours, op10_mix_sources)}
+ORACLES = {"op1_warc_salvage": warc.ORACLE, "op9_block_matrix_neighbours": ann.ORACLE, "op10_mix_sources": mixing.ORACLE}
