@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import ann, langid, mixing, packing, quality, toxicity, warc
+from rimlight.llm import ann, langid, mixing, packing, pii, quality, toxicity, warc
 
 GPT_SPECIALS = (("<|endoftext|>", 50256),)
 
@@ -41,6 +41,10 @@ def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -49,5 +53,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op6_noisy_or_toxicity, op9_block_matrix_neighbours, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op6_noisy_or_toxicity, op7_contextual_pii, op9_block_matrix_neighbours, op10_mix_sources)}
 ORACLES = {"op1_warc_salvage": warc.ORACLE, "op9_block_matrix_neighbours": ann.ORACLE, "op10_mix_sources": mixing.ORACLE}
