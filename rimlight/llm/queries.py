@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import ann, langid, mixing, packing, pii, quality, toxicity, warc
+from rimlight.llm import ann, jaccard, langid, mixing, packing, pii, quality, toxicity, warc
 
 GPT_SPECIALS = (("<|endoftext|>", 50256),)
 
@@ -37,6 +37,10 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,5 +57,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op6_noisy_or_toxicity, op7_contextual_pii, op9_block_matrix_neighbours, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op5_prefix_tree_join, op6_noisy_or_toxicity, op7_contextual_pii, op9_block_matrix_neighbours, op10_mix_sources)}
 ORACLES = {"op1_warc_salvage": warc.ORACLE, "op9_block_matrix_neighbours": ann.ORACLE, "op10_mix_sources": mixing.ORACLE}
