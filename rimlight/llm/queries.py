@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import ann, jaccard, langid, mixing, packing, pii, quality, toxicity, warc
+from rimlight.llm import ann, jaccard, langid, mixing, packing, pii, quality, toxicity, warc, wrappers
 
 GPT_SPECIALS = (("<|endoftext|>", 50256),)
 
@@ -49,6 +49,10 @@ def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -57,5 +61,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op5_prefix_tree_join, op6_noisy_or_toxicity, op7_contextual_pii, op9_block_matrix_neighbours, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_output_codes_language, op3_quality_rules, op4_harmonic_packing, op5_prefix_tree_join, op6_noisy_or_toxicity, op7_contextual_pii, op8_wrapper_induction, op9_block_matrix_neighbours, op10_mix_sources)}
 ORACLES = {"op1_warc_salvage": warc.ORACLE, "op9_block_matrix_neighbours": ann.ORACLE, "op10_mix_sources": mixing.ORACLE}
