@@ -74,11 +74,11 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def pieces(at: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents [i, j) with at most `most` bytes, or one longer document."""
+def pieces(at: np.ndarray, most: int = PIECE, docs: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents [i, j): up to `docs` of at most `most` bytes together, or one longer document."""
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        j = min(i + docs, max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1))
         yield i, min(j, n)
         i = j
 

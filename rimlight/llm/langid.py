@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from rimlight.llm.common import held_out, pieces, utf8
 
 DIM = 1 << 12
+#: What is counted at once: a row of DIM numbers per document, however short it is, and some numbers per letter.
+CHUNK_BYTES, CHUNK_DOCS = 1 << 19, 256
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
@@ -60,7 +62,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # one blank between documents and for every run of others
     keep = letter | np.concatenate([letter[1:] & ~letter[:-1], [False]]) if len(low) else letter
     x, d = low[keep].astype(np.uint64), doc[keep]
-    counts = np.zeros(n * DIM, np.float32)
+    seen = []
     for size, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
         if len(x) < size:
             continue
@@ -71,9 +73,10 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         same = d[: len(h)] == d[size - 1 :]
         middle = x[size // 2 : size // 2 + len(h)] != 0 if size > 1 else x != 0
         ok = same & middle
-        counts += np.bincount(d[: len(h)][ok] * DIM + (h[ok] & np.uint64(DIM - 1)).astype(np.int64), minlength=n * DIM).astype(np.float32)
-    table = counts.reshape(n, DIM)
-    return np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1)), letters
+        seen.append(d[: len(h)][ok] * DIM + (h[ok] & np.uint64(DIM - 1)).astype(np.int64))
+    table = np.bincount(np.concatenate([np.zeros(0, np.int64), *seen]), minlength=n * DIM).astype(np.float32).reshape(n, DIM)
+    table /= np.maximum(table.sum(1, keepdims=True), 1)
+    return np.sqrt(table, out=table), letters
 
 
 def codewords(k: int, seed: int = 11) -> np.ndarray:
@@ -128,13 +131,13 @@ def train(docs: DataFrame, sample: int = 800) -> tuple[list[str], tuple]:
     rows = rows.where("doc_id is not null and lang is not null").where(~held_out()).dropDuplicates(["doc_id", "lang"])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "lang")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # `sample` rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, ids = [], [], []
         for b in batches:
             data, at = utf8(b.column(1))
-            for i, j in pieces(at):
+            for i, j in pieces(at, CHUNK_BYTES, CHUNK_DOCS):
                 x, letters = features(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 fine = np.flatnonzero(letters)
                 xs.append(x[fine])
@@ -162,7 +165,7 @@ def predict(docs: DataFrame, names: list[str], model: tuple, ambiguous_below: fl
         for b in batches:
             data, at = utf8(b.column(2))
             lang, score, close = [], [], []
-            for i, j in pieces(at, 1 << 19):
+            for i, j in pieces(at, CHUNK_BYTES, CHUNK_DOCS):
                 x, letters = features(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 if names:
                     best, p, lead = decode(x @ w[:-1] + w[-1], bits, code)
