@@ -1,6 +1,570 @@
-"""Names of the queries, with the DataFrame form and the SQL form of each."""
+"""Names of the queries, with the DataFrame form and the SQL form of each.
+
+Doubles are rounded to 6 digits in both forms, since engines differ in the last bits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rimlight.functions import geometry as g
+from rimlight.functions import text as t
+from rimlight.operators import boxes, etl, select, signal
+from rimlight.plans import duck as d
+from rimlight.plans import evaluate as ev
+from rimlight.plans.inputs import derived, duck, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name; sql: the same rows, where ~x~ marks a double to round."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            marked = re.findall(r"~(\w+)~", sql)
+            plain = re.sub(r"~(\w+)~", r"\1", sql)
+            ORACLES[f.__name__] = f"select * replace ({', '.join(f'round({c}::double, 6) as {c}' for c in marked)}) from ({plain})" if marked else plain
+        return f
+
+    return add
+
+
+def _box():
+    return g.box(*(F.col(c) for c in "xywh"))
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+@query(f"select doc_id, md5({d.sanitize('text')}) as sanitized, md5({d.squeeze('text')}) as squeezed, length({d.sanitize('text')})::bigint as n from documents")
+def sanitize_text(spark, sf_dir):
+    s = t.sanitize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(s.cast("binary")).alias("sanitized"), F.md5(t.squeeze(F.col("text")).cast("binary")).alias("squeezed"), F.length(s).cast("long").alias("n"))
+
+
+@query(f"select image, field, seq, size_found, size_raw, size_norm, ~size_quality~ from {d.sizes(duck('ocr'), 'text', 'image, field, seq')}")
+def parse_size(spark, sf_dir):
+    p = F.col("p")
+    return derived(spark, sf_dir, "ocr").withColumn("p", t.parse_size(F.col("text"))).select("image", "field", "seq", p["found"].alias("size_found"), p["raw"].alias("size_raw"), p["normalized"].alias("size_norm"), p["quality"].alias("size_quality"))
+
+
+def _dots(df, keep):
+    p = F.col("p")
+    return df.withColumn("p", t.parse_dot(F.col("text"))).select(
+        *keep, p["found"].alias("dot_found"), p["normalized"].alias("dot_norm"), p["full"].alias("dot_full"), p["full_normalized"].alias("dot_full_norm"),
+        p["week_year_found"].alias("wy_found"), p["week_year"].alias("wy"), p["quality"].alias("dot_quality"),
+    )
+
+
+@query(f"select image, field, seq, dot_found, dot_norm, dot_full, dot_full_norm, wy_found, wy, ~dot_quality~ from {d.dots(duck('ocr'), 'text', 'image, field, seq')}")
+def parse_dot(spark, sf_dir):
+    return _dots(derived(spark, sf_dir, "ocr"), ["image", "field", "seq"])
+
+
+@query(f"select doc_id, dot_found, dot_norm, dot_full, dot_full_norm, wy_found, wy, ~dot_quality~ from {d.dots('documents', 'text', 'doc_id')}")
+def parse_dot_documents(spark, sf_dir):
+    return _dots(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _loose(zr: bool) -> str:
+    s = "replace(replace(upper(coalesce(text, '')), 'I5', '15'), 'RI5', 'R15')"
+    s = d.squeeze_unicode(f"replace({s}, 'ZR', 'R')" if zr else s)
+
+    def x(i: int, p: str) -> str:
+        return f"regexp_extract(s, '{p}', {i})"
+
+    def normal(p: str) -> str:
+        return f"{x(1, p)} || '/' || {x(2, p)} || ' ' || case when {x(3, p)} = '' then 'R' else {x(3, p)} end || {x(4, p)}"
+
+    suffix = d.squeeze_unicode(f"replace({x(5, t.LOOSE_FULL)}, '-', ' ')")
+    return f"""select *, case when {x(0, t.LOOSE_FULL)} = '' then base else {normal(t.LOOSE_FULL)} || case when {suffix} = '' then '' else ' ' || {suffix} end end as whole
+      from (select *, case when {x(0, t.LOOSE_SIZE)} = '' then '' else {normal(t.LOOSE_SIZE)} end as base from (select *, {s} as s from ({duck('ocr')})))"""
+
+
+@query(f"select a.image, a.field, a.seq, a.base, a.whole, b.base as base_zr, b.whole as whole_zr from ({_loose(False)}) a join ({_loose(True)}) b using (image, field, seq)")
+def extract_size_script(spark, sf_dir):
+    rows = derived(spark, sf_dir, "ocr").withColumns({"a": t.extract_size(F.col("text"), zr=False), "b": t.extract_size(F.col("text"))})
+    return rows.select("image", "field", "seq", F.col("a.base").alias("base"), F.col("a.full").alias("whole"), F.col("b.base").alias("base_zr"), F.col("b.full").alias("whole_zr"))
+
+
+@query(f"""select image, field, seq, case when regexp_extract(s, '{t.LOOSE_DOT}', 0) = '' then '' else 'DOT ' || {d.squeeze_unicode(f"regexp_extract(s, '{t.LOOSE_DOT}', 1)")} end as dot_text,
+  case when {d.week_ok('w')} then w else '' end as dot4 from (select *, regexp_extract(s, '{t.LOOSE_WEEK_YEAR}', 0) as w from (select *, {d.squeeze_unicode("upper(coalesce(text, ''))")} as s from {duck('ocr')}))""")
+def extract_dot_script(spark, sf_dir):
+    return derived(spark, sf_dir, "ocr").withColumn("p", t.extract_dot(F.col("text"))).select("image", "field", "seq", F.col("p.text").alias("dot_text"), F.col("p.week_year").alias("dot4"))
+
+
+@query(f"select conv_id, turn, md5({d.key('text')}) as key, length({d.key('text')})::bigint as n from conversations")
+def normalize_key(spark, sf_dir):
+    k = t.key(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(k.cast("binary")).alias("key"), F.length(k).cast("long").alias("n"))
+
+
+@query("select page_id, case when s = '' then 'frame' else s end as stem, regexp_replace(coalesce(url, ''), '[^\\pL\\pN]', '_', 'g') as display from (select *, regexp_replace(coalesce(url, ''), '[^A-Za-z0-9_-]', '_', 'g') as s from pages)")
+def safe_stem(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", t.safe_stem(F.col("url")).alias("stem"), t.display_stem(F.col("url")).alias("display"))
+
+
+@query("""select page_id, '/c:/data/' || page_id || '/' || regexp_replace(lower(coalesce(url, '')), '[^a-z0-9]', '', 'g') || '/image-' || page_id || '.jpg' as path, page_id::varchar as number, '/mnt/c/Data/' || page_id as wsl, 'C:' || chr(92) || 'Data' || chr(92) || page_id as windows from pages""")
+def path_number_key(spark, sf_dir):
+    name = F.regexp_replace(F.lower(t.blank(F.col("url"))), "[^a-z0-9]", "")
+    raw = F.concat(F.lit("C:\\Data/./"), F.col("page_id"), F.lit("//x/../"), name, F.lit("/Image-"), F.col("page_id"), F.lit(".JPG"))
+    wsl = t.to_wsl(F.concat(F.lit("C:\\Data\\"), F.col("page_id")))
+    return table(spark, sf_dir, "pages").select("page_id", t.path_key(raw).alias("path"), t.number_key(raw).alias("number"), wsl.alias("wsl"), t.from_wsl(wsl).alias("windows"))
+
+
+@query("""select page_id, upper(regexp_extract(p, '\\.([^./]+)$', 1)) in ('JPG', 'JPEG', 'PNG', 'BMP', 'TIFF', 'TIF') as image from
+  (select page_id, coalesce(url, '') || case page_id % 5 when 0 then '.jpg' when 1 then '.TiF' when 2 then '.pdf' when 3 then '.Png' else '' end as p from pages)""")
+def image_filter(spark, sf_dir):
+    p = F.concat(t.blank(F.col("url")), F.when(F.col("page_id") % 5 == 0, ".jpg").when(F.col("page_id") % 5 == 1, ".TiF").when(F.col("page_id") % 5 == 2, ".pdf").when(F.col("page_id") % 5 == 3, ".Png").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", t.is_image(p).alias("image"))
+
+
+# --- winners --------------------------------------------------------------------------------------------------------
+
+_PARSED = f"""(select s.*, dot_found, dot_norm, dot_full, dot_full_norm, wy_found, wy, dot_quality,
+  case when dot_full then 1.0::double when wy_found then 0.78::double when dot_found then 0.55::double else 0.0::double end as done
+  from {d.sizes(duck('ocr'), 'text', 'image, field, seq, text, conf as ocr, quality')} s
+  join {d.dots(duck('ocr'), 'text', 'image, field, seq')} t using (image, field, seq))"""
+SCORED = f"""(select image, field, seq, text, ocr, quality, case when field = 'size' then size_found else dot_found end as found, wy_found, dot_full as full_dot,
+  case when field = 'size' then size_norm else dot_norm end as normalized, dot_full_norm, wy,
+  case when not (case when field = 'size' then size_found else dot_found end) then 0.0::double
+    when field = 'size' then {d.clamp01('0.50::double * ocr + 0.35::double * size_quality + 0.15::double * quality')} else {d.clamp01('0.45::double * ocr + 0.35::double * done + 0.20::double * quality')} end as conf,
+  case when field = 'size' then {d.clamp01('0.55::double * ocr + 0.45::double * size_quality')} else {d.clamp01('0.55::double * ocr + 0.45::double * done')} end as score,
+  case when field = 'size' then size_found else dot_full end as ok from {_PARSED})"""
+SIZE_WON = f"(select image, field, arg_min(seq, row(case when conf >= 0.84::double then 0 else 1 end, case when conf >= 0.84::double then 0.0::double else -conf end, seq)) as seq from {SCORED} where field = 'size' and found and conf > 0 group by image, field)"
+DOT_WON = f"""(select image, field, arg_min(seq, row(-conf, seq)) as seq from (select *, min(case when wy_found and conf >= 0.76::double then seq end) over (partition by image, field) as cut
+  from {SCORED} where field = 'dot' and found and conf > 0) where cut is null or seq <= cut group by image, field)"""
+
+
+def _scored(spark, sf_dir):
+    return ev.scored(derived(spark, sf_dir, "ocr"))
+
+
+@query(f"select image, field, seq, normalized, ~conf~ from {SCORED} join {SIZE_WON} using (image, field, seq)")
+def size_winner(spark, sf_dir):
+    return select.size_winner(_scored(spark, sf_dir).where("field = 'size'"), ev.KEYS).select("image", "field", "seq", "normalized", "conf")
+
+
+@query(f"select image, field, seq, normalized, ~conf~, wy from {SCORED} join {DOT_WON} using (image, field, seq)")
+def dot_winner(spark, sf_dir):
+    return select.dot_winner(_scored(spark, sf_dir).where("field = 'dot'"), ev.KEYS).select("image", "field", "seq", "normalized", "conf", F.col("week_year").alias("wy"))
+
+
+@query(f"""select image, field, seq, normalized, ~score~, ok from {SCORED} join (select image, field, arg_min(seq, row(-score, seq)) as seq from
+  (select *, min(case when score > before and ok and score >= 0.65::double then seq end) over (partition by image, field) as cut from
+   (select *, coalesce(max(score) over (partition by image, field order by seq rows between unbounded preceding and 1 preceding), -1.0::double) as before from {SCORED}))
+  where cut is null or seq <= cut group by image, field) using (image, field, seq)""")
+def roi_winner(spark, sf_dir):
+    return select.roi_winner(_scored(spark, sf_dir), ev.KEYS).select("image", "field", "seq", "normalized", "score", "ok")
+
+
+@query(f"select image, field, min(seq) as seq from {SCORED} where found group by image, field")
+def first_found(spark, sf_dir):
+    return select.first_found(_scored(spark, sf_dir), ev.KEYS, "seq").select("image", "field", "seq")
+
+
+@query(f"""select image, field, seq, case when not found then 'parse_miss' when conf > before then 'candidate_best' else 'candidate_weaker' end as status from
+  (select *, coalesce(max(case when found then conf end) over (partition by image, field order by seq rows between unbounded preceding and 1 preceding), 0.0::double) as before from {SCORED})""")
+def candidate_status(spark, sf_dir):
+    return _scored(spark, sf_dir).select("image", "field", "seq", select.status(ev.KEYS, F.col("conf"), F.col("found")).alias("status"))
+
+
+@query(f"select image, seq, ~value~ from (select image, seq, ocr + quality as value, row_number() over (partition by image, field order by ocr + quality desc, seq) as n, field from {SCORED}) where n <= case when field = 'size' then 6 else 8 end")
+def top_candidates(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("value", F.col("ocr") + F.col("quality"))
+    order = [F.col("value").desc(), F.col("seq")]
+    return select.top(rows.where("field = 'size'"), ev.KEYS, order, 6).unionByName(select.top(rows.where("field = 'dot'"), ev.KEYS, order, 8)).select("image", "seq", "value")
+
+
+@query(f"""select image, field, seq, ~size_conf~, ~dot_conf~ from (select image, field, seq, {d.clamp01('0.45::double * ocr + 0.30::double * size_quality + 0.15::double * quality + 0.10::double * 0.5::double')} as size_conf,
+  {d.clamp01('0.42::double * ocr + 0.33::double * case when wy_found and not dot_full then greatest(dot_quality, 0.72::double) else dot_quality end + 0.15::double * quality + 0.10::double * 0.5::double')} as dot_conf from {_PARSED})""")
+def plain_confidences(spark, sf_dir):
+    c, half = F.col, F.lit(0.5)
+    rows = derived(spark, sf_dir, "ocr").withColumns({"s": t.parse_size(c("text")), "p": t.parse_dot(c("text"))})
+    return rows.select("image", "field", "seq", t.size_confidence(c("conf"), c("s.quality"), c("quality"), half).alias("size_conf"), t.dot_confidence(c("conf"), c("p"), c("quality"), half).alias("dot_conf"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+RESULTS = f"""(select e.image, coalesce(s.normalized, '') as size, coalesce(s.conf, 0.0::double) as size_conf, coalesce(s.quality, 0.0::double) as size_quality, s.image is not null as size_found,
+  coalesce(p.normalized, '') as dot, coalesce(p.conf, 0.0::double) as dot_conf, coalesce(p.quality, 0.0::double) as dot_quality, p.image is not null as dot_found,
+  coalesce(p.wy, '') as week_year, coalesce(p.dot_full_norm, '') as full_normalized, coalesce(p.wy_found, false) as week_year_found, coalesce(p.full_dot, false) as full_dot, total_ms
+  from (select image, (count(*) * 7.5::double + sum(seq))::double as total_ms from {SCORED} group by image) e
+  left join (select * from {SCORED} join {SIZE_WON} using (image, field, seq)) s on s.image = e.image
+  left join (select * from {SCORED} join {DOT_WON} using (image, field, seq)) p on p.image = e.image)"""
+COMPARED = f"""(select *, case when not size_found and not dot_found then 'roi_not_found'
+    when (size_found and size_conf < 0.35::double) or (dot_found and dot_conf < 0.35::double) then 'weak_ocr'
+    when expected_dot4 <> '' and week_year_found and not full_dot then 'partial_dot_only'
+    when (expected_size <> '' and size_found and not size_match) or (expected_dot4 <> '' and dot_found and not dot4_match) then 'parse_failure'
+    when size_quality < 0.30::double or dot_quality < 0.30::double then 'image_quality_issue' else 'unknown' end as reason from
+  (select r.*, x.* exclude (image), {d.key('expected_size')} = {d.key('size')} as size_match, {d.key('expected_dot4')} = {d.key('week_year')} as dot4_match, {d.key('expected_full')} = {d.key('full_normalized')} as full_match
+   from {RESULTS} r join (select * from {duck('expected')} qualify row_number() over (partition by image order by rank desc) = 1) x on x.image = r.image))"""
+
+
+@query(f"select image, size_match, dot4_match, full_match from {COMPARED}")
+def evaluate_flags(spark, sf_dir):
+    return ev.evaluated(spark, sf_dir).select("image", "size_match", "dot4_match", "full_match")
+
+
+@query(f"select reason, count(*)::bigint as n from {COMPARED} group by reason")
+def suspected_reason(spark, sf_dir):
+    return ev.evaluated(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""select metric, ~value~ from (unpivot (select count(*)::double as images, (count(*) filter (size_found))::double as size_detected, (count(*) filter (size_match))::double as size_matches,
+  (count(*) filter (dot_found))::double as dot_detected, (count(*) filter (dot4_match))::double as dot4_matches, (count(*) filter (full_match))::double as full_matches, coalesce(avg(size_conf), 0)::double as avg_size_conf,
+  coalesce(avg(dot_conf), 0)::double as avg_dot_conf, coalesce(avg(total_ms), 0)::double as avg_ms, coalesce(quantile_cont(total_ms, 0.5), 0)::double as p50_ms, coalesce(quantile_cont(total_ms, 0.9), 0)::double as p90_ms,
+  coalesce(max(total_ms), 0)::double as max_ms from {COMPARED}) on columns(*) into name metric value value)""")
+def benchmark_summary(spark, sf_dir):
+    return ev.metrics(ev.summary(ev.evaluated(spark, sf_dir)))
+
+
+@query(f"select image, expected_size, size, expected_dot4, week_year, expected_full, full_normalized, size_found, ~size_conf~, dot_found, ~dot_conf~, ~total_ms~, size_match, dot4_match, full_match, reason, difficulty from {COMPARED}")
+def per_image_report(spark, sf_dir):
+    return ev.evaluated(spark, sf_dir).select(ev.PER_IMAGE)
+
+
+@query(f"select image, reason, expected_size, size, expected_dot4, week_year, expected_full, full_normalized, ~size_conf~, ~dot_conf~, difficulty from {COMPARED} where not (size_match and dot4_match and (expected_full = '' or full_match))")
+def errors_report(spark, sf_dir):
+    return ev.errors(ev.evaluated(spark, sf_dir))
+
+
+# --- geometry -------------------------------------------------------------------------------------------------------
+
+DETECTIONS = duck("detections")
+
+
+def _detections(spark, sf_dir):
+    return derived(spark, sf_dir, "detections").withColumn("box", _box())
+
+
+@query(f"select image, i, j, ~iou~ from (select a.image, a.idx as i, b.idx as j, {d.iou('a.', 'b.')} as iou from {DETECTIONS} a join {DETECTIONS} b on a.image = b.image and a.idx < b.idx) where iou > 0.1::double")
+def iou_pairs(spark, sf_dir):
+    rows = _detections(spark, sf_dir).select("image", "idx", "box")
+    a, b = rows.withColumnsRenamed({"idx": "i", "box": "a"}), rows.withColumnsRenamed({"idx": "j", "box": "b"})
+    return a.join(b, "image").where("i < j").select("image", "i", "j", g.iou(F.col("a"), F.col("b")).alias("iou")).where("iou > 0.1")
+
+
+def _greedy(keys: str, overlap: float, limit: int | None = None) -> str:
+    """The greedy choice as a recursion over ranks: rows (keys, idx, conf, rank)."""
+    both, room = [k.strip() for k in keys.split(",")], f" and len(kept) < {limit}" if limit else ""
+    one = "struct_pack(idx := r.idx, conf := r.conf, x := r.x, y := r.y, w := r.w, h := r.h)"
+    return f"""(with recursive r as (select *, row_number() over (partition by {keys} order by conf desc, idx) as n from {DETECTIONS}),
+      k as (select {keys}, n, [{one}] as kept from r where n = 1
+        union all select {", ".join(f"r.{k}" for k in both)}, r.n, case when len(list_filter(kept, lambda q: {d.iou("q.", "r.")} > {overlap}::double)) = 0{room} then list_append(kept, {one}) else kept end
+          from k join r on {" and ".join(f"k.{k} = r.{k}" for k in both)} and r.n = k.n + 1)
+      select {keys}, kept[i].idx as idx, kept[i].conf as conf, i::int as rank from (select {keys}, arg_max(kept, n) as kept from k group by {keys}), range(1, 30) g(i) where i <= len(kept))"""
+
+
+@query(f"select image, label, idx, ~conf~, row_number() over (partition by image order by conf desc, idx)::int as rank from {_greedy('image, label', 0.45)}")
+def nms(spark, sf_dir):
+    kept = boxes.greedy(_detections(spark, sf_dir), ["image", "label"], 0.45, score="conf")
+    order = Window.partitionBy("image").orderBy(F.col("conf").desc(), "idx")
+    return kept.select("image", "label", "idx", "conf", F.row_number().over(order).alias("rank"))
+
+
+@query(f"select image, rank, idx, ~conf~ from {_greedy('image', 0.65, 2)}")
+def prune_topk(spark, sf_dir):
+    return boxes.greedy(_detections(spark, sf_dir), ["image"], 0.65, limit=2, score="conf").select("image", "rank", "idx", "conf")
+
+
+@query(f"""select image, kind, rank, idx, ~conf~ from (select *, bool_or(kind = 'primary') over (partition by image) as has_first from (
+  select image, 'primary' as kind, idx, conf, row_number() over (partition by image order by conf desc, idx)::int as rank from {DETECTIONS} where label = 'Size' qualify rank <= 2
+  union all select image, 'fallback', idx, conf, row_number() over (partition by image order by conf desc, idx)::int as rank from {DETECTIONS} where label <> 'Size' qualify rank <= 1)) where kind = 'primary' or not has_first""")
+def primary_else_fallback(spark, sf_dir):
+    rows = derived(spark, sf_dir, "detections")
+    order = Window.partitionBy("image").orderBy(F.col("conf").desc(), "idx")
+
+    def ranked(df, kind, k):
+        return df.withColumns({"kind": F.lit(kind), "rank": F.row_number().over(order)}).where(F.col("rank") <= k).select("image", "kind", "rank", "idx", "conf")
+
+    first = ranked(rows.where("label = 'Size'"), "primary", 2)
+    return first.unionByName(ranked(rows.where("label != 'Size'"), "fallback", 1).join(first.select("image").distinct(), "image", "left_anti"))
+
+
+def _affinity(weights: dict[str, float]) -> str:
+    return "case upper(label) " + " ".join(f"when '{k}' then {v}::double" for k, v in weights.items()) + " else 0.0::double end"
+
+
+_RING = f"""(select *, sqrt((px - 320) ** 2 + (py - 240) ** 2) as r from (select image, idx, label, conf, k, x + w * i as px, y + h * j as py from {DETECTIONS},
+  (values (0, 0.0::double, 0.0::double), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, 1.0, 1.0), (4, 0.5, 0.5)) c(k, i, j)))"""
+_ANNULUS = f"""(select image, idx, label, conf, {d.clamp01("0.65::double * " + d.clamp01("greatest(0.0::double, least(hi, 230 * 1.04::double) - greatest(lo, 90 * 0.92::double)) / greatest(1.0::double, hi - lo)") + " + 0.35::double * " + d.clamp01("1.0::double - abs((mid - 90) / 140 - 0.52::double) / 0.52::double"))} as annulus
+  from (select image, idx, label, conf, min(r) as lo, max(r) as hi, max(case when k = 4 then r end) as mid from {_RING} group by all))"""
+
+
+@query(f"select image, idx, label, ~annulus~, annulus >= 0.34::double as accepted from {_ANNULUS}")
+def annulus_score(spark, sf_dir):
+    score = g.annulus_score(F.col("box"), F.lit(320.0), F.lit(240.0), F.lit(90.0), F.lit(230.0))
+    return _detections(spark, sf_dir).select("image", "idx", "label", score.alias("annulus")).withColumn("accepted", F.col("annulus") >= 0.34)
+
+
+@query(f"select image, idx, ~size_score~, ~dot_score~, upper(label) = 'SIZE' as primary_size from (select *, conf * annulus * {_affinity(g.SIZE_AFFINITY)} as size_score, conf * annulus * {_affinity(g.DOT_AFFINITY)} as dot_score from {_ANNULUS} where annulus >= 0.34::double)")
+def label_affinity(spark, sf_dir):
+    label, base = t.key(F.col("label")), F.col("conf") * F.col("annulus")
+    score = g.annulus_score(F.col("box"), F.lit(320.0), F.lit(240.0), F.lit(90.0), F.lit(230.0))
+    rows = _detections(spark, sf_dir).withColumn("annulus", score).where("annulus >= 0.34")
+    return rows.select("image", "idx", (base * g.affinity(label, g.SIZE_AFFINITY)).alias("size_score"), (base * g.affinity(label, g.DOT_AFFINITY)).alias("dot_score"), (label == "SIZE").alias("primary_size"))
+
+
+@query(f"""select image, idx, case when best > 0 then list_position(s, best)::int - 1 else -1 end as cls, ~score~ from
+  (select *, case when best > 0 then best else 0.0::double end as score from (select *, list_max(s) as best from (select image, idx, [conf - 0.5::double, (w % 10)::double / 10 - 0.4::double, (h % 10)::double / 10 - 0.4::double, conf - 0.5::double] as s from {DETECTIONS})))""")
+def class_argmax(spark, sf_dir):
+    s = F.array(F.col("conf") - 0.5, (F.col("w") % 10).cast("double") / 10 - 0.4, (F.col("h") % 10).cast("double") / 10 - 0.4, F.col("conf") - 0.5)
+    return derived(spark, sf_dir, "detections").withColumn("p", g.class_argmax(s)).select("image", "idx", F.col("p.cls").alias("cls"), F.col("p.score").alias("score"))
+
+
+@query(f"""select image, idx, ~first~, ~last~ from (select image, idx, (nxt - 6 + 720) % 360 as first, ((case when ang <= nxt then ang + 360 else ang end) + 6 + 720) % 360 as last from
+  (select image, idx, arg_min(ang, row(-gap, ang)) as ang, arg_min(nxt % 360, row(-gap, ang)) as nxt from
+   (select *, nxt - ang as gap from (select image, idx, ang, coalesce(lead(ang) over (partition by image, idx order by ang, k), min(ang) over (partition by image, idx) + 360) as nxt
+     from (select *, (degrees(atan2(py - 240, px - 320)) + 360) % 360 as ang from {_RING}))) group by image, idx))""")
+def angle_range(spark, sf_dir):
+    r = g.angle_range(F.col("box"), F.lit(320.0), F.lit(240.0))
+    return _detections(spark, sf_dir).withColumn("r", r).select("image", "idx", F.col("r.start").alias("first"), F.col("r.end").alias("last"))
+
+
+_GRID = f"""(select image, idx, list_sort(list(r) filter (r >= 90 * 0.90::double and r <= 230 * 1.05::double)) as s from (select image, idx, sqrt((x + w * (i / 4.0::double) - 320) ** 2 + (y + h * (j / 4.0::double) - 240) ** 2) as r
+  from {DETECTIONS}, range(5) a(i), range(5) b(j)) group by image, idx)"""
+
+
+@query(f"""select image, idx, ~lo~, ~hi~ from (select image, idx, case when short then greatest(90.0::double, q2 - 140 * 0.08::double) else lo end as lo, case when short then least(230.0::double, q2 + 140 * 0.08::double) else hi end as hi from
+  (select *, hi - lo < 140 * 0.16::double as short from (select *, greatest(90.0::double, q1 - 140 * 0.08::double) as lo, least(230.0::double, q3 + 140 * 0.08::double) as hi from
+   (select image, idx, s[(len(s) // 4 + 1)::int] as q1, s[(len(s) * 2 // 4 + 1)::int] as q2, s[(len(s) * 3 // 4 + 1)::int] as q3 from (select image, idx, case when s is null or len(s) = 0 then [160.0::double] else s end as s from {_GRID})))))""")
+def radius_range(spark, sf_dir):
+    r = g.radius_range(F.col("box"), F.lit(320.0), F.lit(240.0), F.lit(90.0), F.lit(230.0))
+    return _detections(spark, sf_dir).withColumn("r", r).select("image", "idx", F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
+
+
+@query(f"""select image, idx, x0 as bx, y0 as by, greatest(x1, x0 + 1) - x0 as bw, greatest(y1, y0 + 1) - y0 as bh from (select image, idx, least(greatest(round((cx - w * 0.5::double - 0) / s)::int, 0), 1279) as x0, least(greatest(round((cy - h * 0.5::double - 80) / s)::int, 0), 959) as y0,
+  least(round((cx + w * 0.5::double - 0) / s)::int, 1280) as x1, least(round((cy + h * 0.5::double - 80) / s)::int, 960) as y1 from (select *, x + 40.25::double as cx, y + 60.75::double as cy, 0.5::double as s from {DETECTIONS}))""")
+def letterbox_map(spark, sf_dir):
+    fit, w, h = g.letterbox(F.lit(1280), F.lit(960)), F.lit(1280), F.lit(960)
+    b = g.from_letterbox(F.col("x") + 40.25, F.col("y") + 60.75, F.col("w"), F.col("h"), fit, w, h)
+    return derived(spark, sf_dir, "detections").withColumn("b", b).select("image", "idx", F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("b.w").alias("bw"), F.col("b.h").alias("bh"))
+
+
+@query(f"""select image, idx, cx, cy, case when fits then cw else 0 end as cw, case when fits then ch else 0 end as ch from (select image, idx, case when fits then x0 else 0 end as cx, case when fits then y0 else 0 end as cy, x1 - x0 as cw, y1 - y0 as ch, fits from
+  (select *, x1 > x0 and y1 > y0 as fits from (select image, idx, greatest(x, 0) as x0, greatest(y, 0) as y0, least(x + w, 500) as x1, least(y + h, 400) as y1 from {DETECTIONS})))""")
+def clamp_rect(spark, sf_dir):
+    rows = _detections(spark, sf_dir).withColumn("b", g.clamp_rect(F.col("box"), F.lit(500), F.lit(400)))
+    return rows.select("image", "idx", F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), F.col("b.w").alias("cw"), F.col("b.h").alias("ch"))
+
+
+@query(f"""select image, idx, a as x0, b as y0, greatest(a + 1, least(x1, 640)) as x1, greatest(b + 1, least(y1, 480)) as y1 from (select *, greatest(0, least(x0, 639)) as a, greatest(0, least(y0, 479)) as b from
+  (select image, idx, x - dx as x0, y - dy as y0, x + w + dx as x1, y + h + dy as y1 from (select *, round_even(w * 0.04::double, 0)::int as dx, round_even(h * 0.04::double, 0)::int as dy from {DETECTIONS})))""")
+def crop_margin(spark, sf_dir):
+    c = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    return derived(spark, sf_dir, "detections").withColumn("e", g.expand_corners(c, F.lit(640), F.lit(480))).select("image", "idx", "e.x0", "e.y0", "e.x1", "e.y1")
+
+
+# --- signals --------------------------------------------------------------------------------------------------------
+
+SIGNAL = duck("signal")
+
+
+@query(f"select image, x, avg(value) over w7 as ~wide~, avg(value) over w3 as ~narrow~, sum(value) over w7 / 15 as ~padded~ from {SIGNAL} window w7 as (partition by image order by x rows between 7 preceding and 7 following), w3 as (partition by image order by x rows between 3 preceding and 3 following)")
+def moving_average(spark, sf_dir):
+    v = F.col("value")
+    return derived(spark, sf_dir, "signal").select("image", "x", signal.moving_average(v, ["image"], "x", 7).alias("wide"), signal.moving_average(v, ["image"], "x", 3).alias("narrow"), signal.moving_sum_mean(v, ["image"], "x", 7).alias("padded"))
+
+
+@query(f"select image, coalesce(min(case when seen and value < 50 then x end), -1) as border from (select *, bool_or(value > 80) over (partition by image order by x) as seen from {SIGNAL}) group by image")
+def border_transition(spark, sf_dir):
+    return signal.border(derived(spark, sf_dir, "signal"), ["image"], "x", "value").na.fill(-1)
+
+
+@query(f"select image, coalesce(max(case when nxt - value < -10 and x > 3 then x end), -1) as radius from (select *, lead(value) over (partition by image order by x) as nxt from {SIGNAL}) group by image")
+def last_gradient(spark, sf_dir):
+    return signal.last_drop(derived(spark, sf_dir, "signal"), ["image"], "x", "value", beyond=3.0).na.fill(-1)
+
+
+COMPONENTS = duck("components")
+_RUNS = f"""(select *, sum(split) over (partition by image order by x, idx)::bigint as run from (select *, case when coalesce(gap > greatest(18.0::double, tall * 1.1::double) or step > greatest(18.0::double, tall * 0.65::double), false) then 1 else 0 end as split from
+  (select *, x - (lag(x) over v + lag(w) over v) as gap, (h + lag(h) over v) * 0.5::double as tall, abs(cy - lag(cy) over v) as step from {COMPONENTS} window v as (partition by image order by x, idx))))"""
+
+
+@query(f"select image, idx, coalesce(gap, 0) as gap, run from {_RUNS}")
+def run_split(spark, sf_dir):
+    return signal.runs(derived(spark, sf_dir, "components"), ["image"]).select("image", "idx", F.coalesce("gap", F.lit(0)).alias("gap"), "run")
+
+
+@query(f"""select image, run, min(x)::bigint as x, min(y)::bigint as y, (max(x + w) - min(x))::bigint as w, (max(y + h) - min(y))::bigint as h, count(*)::bigint as n, avg(h)::double as ~avg_height~, avg(abs(cy - (top + (bottom - top) * 0.5::double))) as ~jitter~,
+  avg(g)::double as ~gap_mean~, coalesce(stddev_pop(g), 0)::double as ~gap_std~, (count(*) filter (w / greatest(1.0::double, tall2) < 0.38::double))::bigint as slender, (count(*) filter (w / greatest(1.0::double, tall2) > 0.55::double))::bigint as wide
+  from (select *, case when row_number() over (partition by image, run order by x, idx) > 1 then gap end as g, min(y) over p as top, max(y + h) over p as bottom, avg(h) over p as tall2 from {_RUNS} window p as (partition by image, run)) group by image, run""")
+def run_stats(spark, sf_dir):
+    return signal.run_stats(signal.runs(derived(spark, sf_dir, "components"), ["image"]), ["image"])
+
+
+@query(f"""select image, coalesce(b.s, 0)::int as start, coalesce(b.e, n)::int as "end" from (select image, count(*) as n from {SIGNAL} group by image) left join (select image, arg_min(row(s, e)::struct(s int, e int), row(p - q, s, e)) as b from
+  (select a.image, a.at as s, z.at as e, a.upto as p, z.upto as q from u a join u z on a.image = z.image and z.at between a.at + 2 and a.at + 5) group by image) using (image)""")
+def best_range(spark, sf_dir):
+    return signal.best_range(derived(spark, sf_dir, "signal"), ["image"], "x", "value", 2, 5)
+
+
+_SUMS = f"u as (select image, 0 as at, 0.0::double as upto from {SIGNAL} group by image union all select image, x + 1, sum(value) over (partition by image order by x) from {SIGNAL})"
+ORACLES["best_range"] = f"with {_SUMS} {ORACLES['best_range']}"
+
+
+_PEAKS = f"""(with recursive r as (select *, row_number() over (partition by image order by value desc, x) as n from {SIGNAL} where value > 0),
+  k as (select image, n, [x] as kept from r where n = 1 union all
+    select r.image, r.n, case when len(kept) < 4 and len(list_filter(kept, lambda q: r.x >= q - 2 and r.x < q + 2)) = 0 then list_append(kept, r.x) else kept end from k join r on k.image = r.image and r.n = k.n + 1)
+  select image, (i - 1)::int as rank, kept[i] as x from (select image, arg_max(kept, n) as kept from k group by image), range(1, 5) g(i) where i <= len(kept))"""
+
+
+@query(f"select image, rank, x from {_PEAKS}")
+def peak_pick(spark, sf_dir):
+    rows = derived(spark, sf_dir, "signal").groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda s: s["value"]).alias("s"))
+    return rows.select("image", F.posexplode(boxes.peaks(F.col("s"), 4, F.lit(2))).alias("rank", "x"))
+
+
+@query("""select vec_id, mx + a as ~cx~, my + b as ~cy~, sqrt(a * a + b * b + (uu + vv) / 3) as ~radius~ from (select *, (uz * vv - vz * uv) / (2 * det) as a, (vz * uu - uz * uv) / (2 * det) as b from
+  (select *, case when abs(uu * vv - uv * uv) > 0.001::double * uu * vv then uu * vv - uv * uv end as det from (select vec_id, mx, my, sum(u * u) as uu, sum(u * v) as uv, sum(v * v) as vv, sum(u * (u * u + v * v)) as uz, sum(v * (u * u + v * v)) as vz from
+   (select *, x - mx as u, y - my as v from (select *, avg(x) over (partition by vec_id) as mx, avg(y) over (partition by vec_id) as my from
+     (select vec_id, round(1000 * embedding[1 + 2 * i]::double) as x, round(1000 * embedding[2 + 2 * i]::double) as y from embeddings, range(3) r(i)))) group by vec_id, mx, my)))""")
+def circle_fit(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    points = F.array(*(F.struct(F.round(1000 * F.col("embedding")[2 * i].cast("double")).alias("x"), F.round(1000 * F.col("embedding")[2 * i + 1].cast("double")).alias("y")) for i in range(3)))
+    return signal.circle_fit(e.select("vec_id", F.inline(points)), ["vec_id"], flat=0.001)
+
+
+@query(f"select image, s[(len(s) // 4 + 1)::int] as ~q25~, s[(len(s) // 2 + 1)::int] as ~median~, s[(len(s) * 3 // 4 + 1)::int] as ~q75~ from (select image, list_sort(list(value)) as s from {SIGNAL} group by image)")
+def order_stats(spark, sf_dir):
+    rows = derived(spark, sf_dir, "signal").groupBy("image").agg(signal.order_stats(F.collect_list("value")).alias("o"))
+    return rows.select("image", "o.*")
+
+
+@query(f"""select image, name, x, y, w, h from (select image, name, x, y, least(w, iw - x)::int as w, least(h, ih - y)::int as h from (
+  select image, iw, ih, 'size_' || n as name, 0 as x, case n when 'mid' then ih // 4 when 'bottom' then ih // 2 when 'center_band' then ih // 3 else 0 end::int as y, iw as w,
+    case n when 'full' then ih when 'center_band' then greatest(24, ih // 3) else ih // 2 end as h from i, (values ('full'), ('mid'), ('top'), ('bottom'), ('center_band')) b(n)
+  union all select image, iw, ih, 'size_win_' || k, (k * greatest(180, iw // 6))::int, (ih // 5)::int, greatest(260, iw // 3), greatest(28, ih * 3 // 5) from i, range(50) r(k) where k * greatest(180, iw // 6) < iw)) where w >= 80 and h >= 20""")
+def sliding_probes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), (F.col("o_custkey") * 13 % 3000 + 40).cast("int").alias("iw"), (F.col("o_custkey") * 7 % 400 + 10).cast("int").alias("ih"))
+    return rows.select("image", F.inline(signal.probes(F.col("iw"), F.col("ih"), "size")))
+
+
+ORACLES["sliding_probes"] = f"with i as (select o_orderkey as image, (o_custkey * 13 % 3000 + 40)::int as iw, (o_custkey * 7 % 400 + 10)::int as ih from orders) {ORACLES['sliding_probes']}"
+
+
+# --- tables between programs ----------------------------------------------------------------------------------------
+
+
+@query(f"""select image, ~brand~, ~dot~, ~model~, ~size~, n from (select image, max(case when label = 'Brand' then conf end) as brand, max(case when label = 'DOT' then conf end) as dot, max(case when label = 'Model' then conf end) as model,
+  max(case when label = 'Size' then conf end) as size, count(*)::bigint as n from {DETECTIONS} group by image)""")
+def detection_summary(spark, sf_dir):
+    rows = derived(spark, sf_dir, "detections")
+    return rows.groupBy("image").agg(*(F.max(F.when(F.col("label") == k, F.col("conf"))).alias(k.lower()) for k in ("Brand", "DOT", "Model", "Size")), F.count("*").alias("n"))
+
+
+@query(f"select image, label, arg_min(idx, row(-conf, idx)) as idx, max(conf) as ~conf~, arg_min(concat_ws(',', x, y, w, h), row(-conf, idx)) as box from {DETECTIONS} group by image, label")
+def best_per_label(spark, sf_dir):
+    return etl.best_per_label(_detections(spark, sf_dir)).select("image", "label", "idx", "conf", g.box_text(F.col("box")).alias("box"))
+
+
+@query(f"""select image, file_name, split, cls, ~cx~, ~cy~, ~w~, ~h~ from (select i.image, 'image-' || i.image || '.jpg' as file_name, case when i.image * 7919 % 1000 < 150 then 'val' else 'train' end as split, coalesce(c.cls, -1) as cls,
+  (a.x + a.w / 2.0::double) / 641 as cx, (a.y + a.h / 2.0::double) / 479 as cy, a.w::double / 641 as w, a.h::double / 479 as h
+  from (select o_orderkey as image from orders) i left join {DETECTIONS} a on a.image = i.image
+  left join (select label, (row_number() over (order by label) - 1)::int as cls from (select distinct label from {DETECTIONS})) c on c.label = a.label)""")
+def coco_to_yolo(spark, sf_dir):
+    found = _detections(spark, sf_dir)
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.concat(F.lit("image-"), F.col("o_orderkey"), F.lit(".jpg")).alias("file_name"), F.lit(641).alias("width"), F.lit(479).alias("height"))
+    rows = etl.yolo_labels(images, found.select("image", "label", "box"), etl.category_index(found.select("label"), "label"))
+    return rows.select("image", "file_name", F.when(F.col("image") * 7919 % 1000 < 150, "val").otherwise("train").alias("split"), F.coalesce("cls", F.lit(-1)).alias("cls"), F.col("yolo.cx").alias("cx"), F.col("yolo.cy").alias("cy"), F.col("yolo.w").alias("w"), F.col("yolo.h").alias("h"))
+
+
+@query("select p_brand as label, (row_number() over (order by p_brand) - 1)::int as cls from (select distinct p_brand from part)")
+def category_index(spark, sf_dir):
+    return etl.category_index(table(spark, sf_dir, "part").select(F.col("p_brand").alias("label")), "label")
+
+
+_ENGINES = f"""(select image, max(case when seq % 2 = 0 then text end) as a, max(case when seq % 2 = 0 then conf end) as ca, max(case when seq % 2 = 1 then text end) as b, max(case when seq % 2 = 1 then conf end) as cb
+  from {duck('ocr')} where field = 'size' and seq <= 2 group by image)"""
+
+
+@query(f"""select image, case when pa then a when pb then b else '' end as text, case when pa then 'paddleocr' when pb then 'easyocr' else '' end as engine, case when pa then ca when pb then cb else 0.0::double end as ~conf~
+  from (select *, coalesce(a, '') like '%/%' as pa, coalesce(b, '') like '%/%' as pb from {_ENGINES})""")
+def engine_preference(spark, sf_dir):
+    rows = derived(spark, sf_dir, "ocr").where("field = 'size' and seq <= 2")
+    by = rows.groupBy("image").agg(*(F.max(F.when(F.col("seq") % 2 == k, F.col(c))).alias(n) for k, c, n in ((0, "text", "a"), (0, "conf", "ca"), (1, "text", "b"), (1, "conf", "cb"))))
+    ok = [F.contains(t.blank(F.col(c)), F.lit("/")) for c in "ab"]
+    pick = etl.preferred([(ok[0], "paddleocr", F.col("a"), F.col("ca")), (ok[1], "easyocr", F.col("b"), F.col("cb"))])
+    return by.withColumn("p", pick).select("image", F.col("p.text").alias("text"), F.col("p.engine").alias("engine"), F.col("p.confidence").alias("conf"))
+
+
+@query(f"select image, field, {d.squeeze_unicode("string_agg(text, ' ' order by seq)")} as text, avg(conf) as ~conf~, arg_max(case when text <> '' then text end, case when text <> '' then row(conf, seq) end) as best from {duck('ocr')} group by image, field")
+def engine_text_merge(spark, sf_dir):
+    return etl.merge_texts(derived(spark, sf_dir, "ocr"), ev.KEYS)
+
+
+_GUESSES = "(select p_partkey as k, '/set/image-' || (p_partkey % 97) || '-' || p_partkey || '.jpg' as path, p_name as guess from part where p_partkey % 3 <> 0)"
+
+
+@query(f"""select o.image, coalesce(g.guess, n.guess, '') as guess, case when g.guess is not null then 'path' when n.guess is not null then 'number' else '' end as found_by
+  from (select p_partkey as image, '/set/image-' || (p_partkey % 97) || '-' || p_partkey || '.jpg' as path, (p_partkey % 97)::varchar as number from part) o left join {_GUESSES} g on g.path = o.path
+  left join (select regexp_extract(path, 'image[-(]?([0-9]+)', 1) as number, arg_min(guess, path) as guess from {_GUESSES} group by 1) n on n.number = o.number""")
+def suggestion_fallback(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), F.concat(F.lit("/Set/Image-"), F.col("p_partkey") % 97, F.lit("-"), F.col("p_partkey"), F.lit(".jpg")).alias("path"), F.col("p_name").alias("guess"))
+    return etl.suggested(p.select("image", "path"), p.where("image % 3 != 0").select("path", "guess")).select("image", "guess", "found_by")
+
+
+TIMINGS = duck("timings")
+
+
+@query(f"select image, coalesce(arg_min(case when name = 'click' then ms end, case when name = 'click' then idx end), 0.0::double) as ~click~, coalesce(arg_min(case when name = 'purchase' then ms end, case when name = 'purchase' then idx end), 0.0::double) as ~purchase~, string_agg(name, ' | ' order by idx) as notes from {TIMINGS} group by image")
+def timing_lookup(spark, sf_dir):
+    rows = derived(spark, sf_dir, "timings").groupBy("image").agg(F.array_sort(F.collect_list(F.struct("idx", "name", "ms"))).alias("steps"))
+    steps = F.col("steps")
+    return rows.select("image", etl.timing(steps, "click").alias("click"), etl.timing(steps, "purchase").alias("purchase"), etl.notes(F.transform(steps, lambda s: s["name"])).alias("notes"))
+
+
+@query(f"select name, count(*)::bigint as n, avg(ms) as ~mean~, quantile_cont(ms, 0.5) as ~p50~, quantile_cont(ms, 0.9) as ~p90~, max(ms) as ~top~ from {TIMINGS} group by name")
+def timing_percentiles(spark, sf_dir):
+    return derived(spark, sf_dir, "timings").groupBy("name").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.9)).alias("p90"), F.max("ms").alias("top"))
+
+
+@query("select o_orderkey as image from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 1)")
+def resume_anti(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("image"))
+    return etl.pending(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")), done, "image")
+
+
+@query("select 'customer' as dataset, c_custkey as id, c_name as name, c_acctbal as ~balance~, null::varchar as error from customer union all select 'supplier', s_suppkey, s_name, null::double, case when s_acctbal < 0 then 'negative' end from supplier")
+def union_datasets(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 0, "negative").alias("error"))
+    return etl.union_datasets({"customer": a, "supplier": b}).select("dataset", "id", "name", "balance", "error")
+
+
+@query(f"""select coalesce(r.image, -1) as image, r.status, coalesce(b.n, 0)::bigint as n, coalesce(b.brand, '') as brand from (select o_orderkey as image, o_orderstatus as status from orders) r
+  left join (select image, count(*) as n, arg_min(concat_ws(',', x, y, w, h), row(-conf, idx)) filter (label = 'Brand') as brand from {DETECTIONS} group by image) b on b.image = r.image""")
+def program_with_detections(spark, sf_dir):
+    found = _detections(spark, sf_dir)
+    count = found.groupBy("image").agg(F.count("*").alias("n"))
+    best = etl.best_per_label(found.where("label = 'Brand'")).select("image", g.box_text(F.col("box")).alias("brand"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderstatus").alias("status"))
+    return rows.join(count, "image", "left").join(best, "image", "left").na.fill("", ["brand"]).na.fill(0, ["n"])
+
+
+@query("select p_partkey as id, greatest(p_size, least(p_partkey % 50, p_size - 1) + 1)::int as bottom, least(p_partkey % 50, p_size - 1)::int as top, case when p_name ilike '%1%' then true else false end as shown from part")
+def crop_percents(spark, sf_dir):
+    c = g.crop_percents((F.col("p_partkey") % 50).cast("int"), F.col("p_size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), c["bottom"].cast("int").alias("bottom"), c["top"].cast("int").alias("top"), F.contains(F.lower("p_name"), F.lower(F.lit("1"))).alias("shown"))
+
+
+@query("select user_id, arg_max(value, event_id) as ~value~, max(case when event_type = 'purchase' then value end) as ~kept~ from events group by user_id")
+def keyed_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return etl.latest(e.groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("kept")), ["user_id"])
+
+
+@query()
+def merge_nearby(spark, sf_dir):
+    return boxes.merge_nearby(derived(spark, sf_dir, "detections").select("image", "idx", "x", "y", "w", "h"), "image", 640, 480)
