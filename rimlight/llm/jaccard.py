@@ -8,8 +8,8 @@
    documents share lies behind their own shingles.
 3. Classes that share such a prefix shingle are a group; groups with equal members count once. The group's first
    class, its leader, is compared with the others, and links are closed to components.
-4. Groups whose other members still lie in several components are compared within, in blocks; this is the exact way
-   for all that leaders don't settle.
+4. Groups whose other members still lie in several components are compared within, in blocks, after groups that
+   overlap are joined where that compares no more; this is the exact way for all that leaders don't settle.
 
 Comparisons (3, 4) put the sets, in order, in a radix trie: sets share the overlap of their common beginnings, and a
 subtree is cut off once the overlap so far plus what can remain is too small for its smallest set. Sets for them come
@@ -265,13 +265,30 @@ def led(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return heads.unionByName(ones).repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(run, "a long, b long")
 
 
+def rearranged(members: DataFrame) -> DataFrame:
+    """(grp, cls, comp) from (token, cls, comp): groups that overlap are joined where that compares no more sets.
+
+    Groups chained by common members form a cluster; a cluster is either one group or stays its own groups, whichever
+    ships fewer sets to blocks.
+    """
+    heads = members.groupBy("token").agg(F.min("cls").alias("head"))
+    chained = components(members.join(heads, "token").select(F.col("cls").alias("a"), F.col("head").alias("b")))
+    rows = members.join(chained, F.col("cls") == F.col("v"), "left").select("token", "cls", "comp", F.coalesce("root", "cls").alias("cluster"))
+    rows = stage(rows, "open")
+    one = rows.select("cluster", "cls").distinct().groupBy("cluster").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("joint"))
+    each = rows.groupBy("cluster", "token").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("single"))
+    joined = one.join(each, "cluster").where("joint <= single").select("cluster")
+    whole = rows.join(joined, "cluster", "left_semi").select(F.xxhash64("cluster", F.lit(1)).alias("grp"), "cls", "comp").distinct()
+    return whole.unionByName(rows.join(joined, "cluster", "left_anti").select(F.col("token").alias("grp"), "cls", "comp"))
+
+
 def within(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): similar sets of different components (comp) within each group (token), by pairs of blocks of its members."""
-    sized = members.groupBy("token").agg((F.floor(F.count("*") / (BLOCK // 2)) + 1).cast("int").alias("blocks"))
-    rows = members.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    """(a, b): similar sets of different components (comp) within each group (grp), by pairs of blocks of its members."""
+    sized = members.groupBy("grp").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
+    rows = members.join(sized, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp")
-    rows = rows.join(sets, "cls").select("token", "i", "j", "cls", "comp", "set")
+    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp")
+    rows = rows.join(sets, "cls").select("grp", "i", "j", "cls", "comp", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 3):
@@ -294,7 +311,7 @@ def within(members: DataFrame, sets: DataFrame) -> DataFrame:
             if found:
                 yield _links(found)
 
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _places(cls: np.ndarray) -> np.ndarray:
@@ -367,7 +384,7 @@ def join(docs: DataFrame) -> DataFrame:
     roots = components(links)
     placed = members.join(roots, F.col("cls") == F.col("v"), "left").select("token", "cls", F.coalesce("root", "cls").alias("comp"))
     open_groups = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    more = stage(within(placed.join(open_groups, "token", "left_semi"), sets), "links")
+    more = stage(within(rearranged(stage(placed.join(open_groups, "token", "left_semi"), "open")), sets), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
     first = table.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
