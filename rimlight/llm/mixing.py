@@ -101,7 +101,7 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     rows = take(all_sized, plan(light, weights, share, epochs)).where("_taken > 0")
     full, part = (F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     rows = rows.withColumn("_n", F.explode(F.concat(F.array_repeat(F.col("_size").cast("int"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    first = F.regexp_extract(F.col("text"), F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_n").cast("string"), F.lit("}+")), 0)
+    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_n").cast("string"), F.lit("}+")), F.lit(0))
     rows = rows.withColumn("text", F.when(F.col("_n") < F.col("_size"), first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_n") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
