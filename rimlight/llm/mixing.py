@@ -61,28 +61,38 @@ def plan(light: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     goals = goals.withColumns({"_end": F.lit(""), "_done": F.lit(0).cast("long")})
     columns = goals.columns
     for digits in (2, 4):
-        g = goals.withColumnRenamed("_source", "_s")
-        inside = light.join(g.where("_rest > 0"), F.col("_source").eqNullSafe(F.col("_s")) & F.col("_key").startswith(F.col("_end")))
-        sums = inside.groupBy("_s", "_rest", "_done", F.substring("_key", 1, digits).alias("_part")).agg(F.sum("_size").alias("_n"))
+        # sums come first, and the second level joins on the first one's digits, too: no task gets a whole source
+        part = F.substring("_key", 1, digits).alias("_part")
+        if digits == 2:
+            sums = light.groupBy(F.col("_source").alias("_s"), part).agg(F.sum("_size").alias("_n"))
+        else:
+            g = goals.where("_rest > 0").select(F.col("_source").alias("_s"), F.col("_end").alias("_e"))
+            inside = light.join(g, F.col("_source").eqNullSafe(F.col("_s")) & (F.substring("_key", 1, 2) == F.col("_e")))
+            sums = inside.groupBy("_s", part).agg(F.sum("_size").alias("_n"))
+        g = goals.where("_rest > 0").select("_source", "_rest", "_done")
+        sums = sums.join(g, F.col("_source").eqNullSafe(F.col("_s")))
         upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
         sums = sums.withColumn("_upto", upto + F.col("_done"))
         ends = sums.where("_upto >= _rest and _upto - _n < _rest").select("_s", F.col("_part").alias("_e"), (F.col("_upto") - F.col("_n")).alias("_d"))
         goals = goals.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left")
         goals = goals.withColumns({"_end": F.coalesce("_e", "_end"), "_done": F.coalesce("_d", "_done")}).select(columns)
+        goals = stage(goals, "goals")  # a row per source
     return goals
 
 
 def take(docs: DataFrame, goals: DataFrame) -> DataFrame:
     """docs (with _source, _size, _key) with their source's row of `plan` and _taken, the words that the mix takes."""
-    rows = docs.join(goals.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     part = F.substring("_key", 1, 4)
-    last = (F.col("_rest") > 0) & (part == F.col("_end"))
+    named = goals.withColumnRenamed("_source", "_s")
+    same = F.col("_source").eqNullSafe(F.col("_s"))
     base = F.col("_whole") * F.col("_size")
-    clear = rows.where(~last).withColumn("_taken", base + F.when((F.col("_rest") > 0) & (part < F.col("_end")), F.col("_size")).otherwise(0))
+    clear = docs.join(named, same).where((F.col("_rest") <= 0) | (part != F.col("_end")))
+    clear = clear.withColumn("_taken", base + F.when((F.col("_rest") > 0) & (part < F.col("_end")), F.col("_size")).otherwise(0))
+    near = docs.join(named.where("_rest > 0"), same & (part == F.col("_end")))
     order = Window.partitionBy("_source").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_size")
     before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = rows.where(last).withColumn("_taken", base + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_done") - before)))
-    return clear.unionByName(near)
+    near = near.withColumn("_taken", base + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_done") - before)))
+    return clear.unionByName(near).drop("_s")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
