@@ -11,10 +11,22 @@ from rimlight.sources.files import ANNOTATION
 
 
 def number(c: Column, digits: int = 4) -> Column:
-    """A number as text with fixed digits, rounded from its exact binary value (halves to even), as C prints it."""
-    exact = c.cast("double").cast("decimal(38,18)")
-    # a double's own digits beyond 18 places decide no tie: at 4 to 6 places a tie is exact in binary
-    return F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")
+    """A number as text with fixed digits, rounded as C does: by its exact binary value, real ties to even.
+
+    The scaled value is taken as a product and its exact error, so that what looks like a tie in decimal is told from
+    one. Beyond 2 ** 53 the scaled value is whole anyway.
+    """
+    x, scale = F.abs(c.cast("double")), float(10**digits)
+    p = x * scale
+    split = x * 134217729.0
+    high = split - (split - x)
+    error = (high * scale - p) + (x - high) * scale
+    low = F.floor(p)
+    up = F.when(p - low != 0.5, p - low > 0.5).when(error != 0, error > 0).otherwise(low % 2 == 1)
+    whole = low + up.cast("long")
+    text = F.format_string(f"%s%d.%0{digits}d", F.when(c < 0, "-").otherwise(""), (whole / scale).cast("long"), whole % (10**digits))
+    exact = F.bround(c.cast("double").cast("decimal(38,10)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.when(p < 2.0**52, text).otherwise(exact)
 
 
 def flag(c: Column) -> Column:
