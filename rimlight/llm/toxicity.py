@@ -4,8 +4,8 @@ Only documents are labelled. A sentence's logit is a sum of weights of its words
 (hashed, ASCII letters lower-cased); the document is toxic unless every sentence is clean, 1 - prod(1 - p). The
 gradient of the document's loss reaches the sentences that explain its label, so that the trained model also tells
 which sentences offend. It is fitted in one task on at most `sample` labelled documents of each label, chosen by a
-hash of their ids; features that occur in more than `common` of the clean ones, or in fewer than `rare` toxic ones,
-can't tell and are left out. Scoring reads every whole text in one pass over its bytes.
+hash of their ids; features whose log-likelihood ratio over the labels is below `surprise` can't tell and are left
+out. Scoring reads every whole text in one pass over its bytes.
 
 Defined cases: a null or empty text, or one without a letter, scores 0; a null id counts as held out and is scored; repeated
 rows are scored once each; without any label of both kinds all scores are 0; an empty table gives an empty result;
@@ -77,10 +77,10 @@ class Sentences:
         pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *told]))
         z = bias + np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], len(self.start))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 30)))
-        return p, -np.expm1(np.bincount(self.sentence_doc, np.log1p(-p), self.n_docs))
+        return p, np.abs(np.expm1(np.bincount(self.sentence_doc, np.log1p(-p), self.n_docs)))
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float | None = None, common: float = 0.02, rare: int = 3, rounds: int = 150, rate: float = 0.15) -> tuple[np.ndarray, float]:
+def train(texts: list[str], toxic: np.ndarray, share: float | None = None, surprise: float = 14.0, rounds: int = 150, rate: float = 0.15) -> tuple[np.ndarray, float]:
     """(weights by feature, bias) by Adam on the noisy-or's log loss; share: of toxic documents among all, to which the two labels are weighed."""
     weights, bias = np.zeros(1 << BITS, np.float32), -30.0
     toxic = toxic.astype(bool)
@@ -100,7 +100,10 @@ def train(texts: list[str], toxic: np.ndarray, share: float | None = None, commo
     once = np.unique(doc[sentence] << BITS | feature)
     hot = toxic[once >> BITS]
     n_hot, n_cold = (np.bincount(once[x] & ((1 << BITS) - 1), minlength=1 << BITS) for x in (hot, ~hot))
-    useful = (n_hot >= min(rare, toxic.sum())) & (n_cold <= common * (~toxic).sum()) & (n_hot / toxic.sum() > 2 * n_cold / (~toxic).sum())
+    both, r = n_hot + n_cold, toxic.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.where(n_hot > 0, n_hot * np.log(n_hot / (both * r)), 0) + np.where(n_cold > 0, n_cold * np.log(n_cold / (both * (1 - r))), 0))
+    useful = (n_hot > both * r) & (gain >= surprise)
     keep = useful[feature]
     sentence, feature = sentence[keep], feature[keep]
     used, feature = np.unique(feature, return_inverse=True)

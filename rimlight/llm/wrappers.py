@@ -102,10 +102,10 @@ def parse(text: str) -> Node:
                 break
         node = Node(tag, m[3])
         stack[-1].children.append(node)
-        if tag in _RAW and not m[3].rstrip().endswith("/"):
+        if tag in _RAW and not (tag in ("svg", "math") and m[3].endswith("/")):
             end = re.compile(rf"(?i)</{tag}\b[^>]*(?:>|$)").search(text, at)
             at = end.end() if end else len(text)
-        elif tag not in _VOID and not (m[3].endswith("/") and tag not in _BLOCK) and len(stack) < DEPTH:
+        elif tag not in _VOID and len(stack) < DEPTH:
             stack.append(node)
     else:
         put(text[at:])
