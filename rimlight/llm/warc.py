@@ -33,6 +33,7 @@ from rimlight.llm.common import shared_dir, stage
 DATE = "1970-01-01T00:00:00Z"
 ROLL = 32 << 20  # bytes after which a task starts another archive
 READ = 1 << 20
+MOST_TASKS = 100_000  # tasks of a read; more archives share them
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "kind string, path string, start long, end long, record_type string, record_id string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, reason string"
 _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -276,7 +277,8 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         if rows:
             yield batch()
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, RECORD)
+    archives = max(1, min(manifest.count(), MOST_TASKS))  # a number of its own: tasks as small as these would be put together
+    return manifest.select("path").repartition(archives, F.col("path")).mapInArrow(run, RECORD)
 
 
 def page_of(urn: Column) -> Column:
