@@ -315,3 +315,106 @@ def all_variants(images: DataFrame, aggressive: bool = False) -> DataFrame:
 def border_signals(images: DataFrame) -> DataFrame:
     """(origin, scan, x, px, py, value): the values that `signal.border` reads after smoothing."""
     return over_images(images, lambda a: [(i, k, *p, float(v)) for i, places, values in borders(a) for k, (p, v) in enumerate(zip(places, values, strict=True))], "scan int, x int, px int, py int, value double")
+
+
+def ray_signals(images: DataFrame, cx: int, cy: int) -> DataFrame:
+    """(origin, ray, x, radius, value): the values that `signal.last_drop` reads after smoothing."""
+    return over_images(images, lambda a: [(i, k, int(r), float(v)) for i, radii, values in rays(a, cx, cy) for k, (r, v) in enumerate(zip(radii, values, strict=True))], "ray int, x int, radius int, value double")
+
+
+def text_components(a: np.ndarray) -> list[tuple[int, int, int, int, int, int, float]]:
+    """(idx, x, y, w, h, area, middle) of the dark marks of a strip, from left to right."""
+    hat = blackhat(a, max(17, a.shape[1] // 60), max(5, a.shape[0] // 5))
+    boxes = []
+    for part in labelled(hat > otsu(hat)):
+        (y0, x0), (y1, x1) = part.min(0), part.max(0) + 1
+        boxes.append((int(x0), int(y0), int(x1 - x0), int(y1 - y0), len(part), float(y0 + (y1 - y0) * 0.5)))
+    return [(i, *b) for i, b in enumerate(sorted(boxes))]
+
+
+def component_rows(images: DataFrame) -> DataFrame:
+    """Components of each strip as rows for `signal.runs`."""
+    return over_images(images, text_components, "idx int, x int, y int, w int, h int, area int, cy double")
+
+
+def best_span(energy: np.ndarray, least: int, most: int) -> tuple[int, int]:
+    """`signal.best_range` for one signal in memory."""
+    sums = np.concatenate([[0.0], np.cumsum(energy)])
+    least = max(1, least)
+    best = (-1.0, 0, len(energy))
+    for n in range(least, min(max(least, most), len(energy)) + 1):
+        got = sums[n:] - sums[:-n]
+        i = int(got.argmax())
+        if got[i] > best[0] or (got[i] == best[0] and (i, i + n) < best[1:]):
+            best = (float(got[i]), i, i + n)
+    return best[1], best[2]
+
+
+def text_band(a: np.ndarray, dot: bool) -> tuple[int, int, int, int]:
+    """(x, y, w, h) of the band of a crop where most of the dark strokes lie."""
+    rows, cols = a.shape
+    even = clahe(a)
+    focus = even if dot else even[: max(1, int(np.floor(rows * 0.68 + 0.5)))]
+    hat = blackhat(focus, *((15, 5) if dot else (31, 9)))
+    binary = close(np.where(hat > otsu(hat), 255, 0).astype(np.uint8), 9 if dot else 21, 3)
+    by_row, by_col = energies(binary)
+    n, m = binary.shape
+    least = max(12, n // 8) if dot else max(22, n // 4)
+    top, bottom = best_span(by_row, least, max(least + 8, n // 2) if dot else max(least + 12, n * 3 // 5))
+    x0, x1, y0, y1 = 0, cols, max(0, top - (6 if dot else 12)), min(n, bottom + (6 if dot else 10))
+    if dot:
+        wide = max(50, m // 6)
+        a0, a1 = best_span(by_col, wide, max(wide + 40, m * 3 // 4))
+        a0, a1 = max(0, a0 - 12), min(cols, a1 + 12)
+        x0, x1 = (a0, a1) if a1 - a0 >= wide else (0, cols)
+    else:
+        band = binary[max(0, top - 4) : max(max(0, top - 4) + 1, min(n, bottom + 4))]
+        wide = max(140, m // 2)
+        a0, a1 = best_span(energies(band)[1], wide, cols)
+        if a1 - a0 >= wide:
+            x0, x1 = max(0, a0 - 18), min(cols, a1 + 18)
+        y1 = min(rows, max(y1, int(np.floor(rows * 0.58 + 0.5))))
+    if y1 - y0 < least:
+        y0, y1 = 0, rows if dot else min(rows, max(1, int(np.floor(rows * 0.60 + 0.5))))
+    return x0, y0, max(1, x1 - x0), max(1, y1 - y0)
+
+
+def combined_wheel(a: np.ndarray) -> tuple[bool, float, float, float, float]:
+    """(found, cx, cy, inner, outer): the wheel whose inner circle comes from the border scans and whose outer radius from rays."""
+    points = []
+    for _, places, values in borders(a):
+        smooth = np.convolve(np.pad(np.array(values, float), 7), np.ones(15), "valid") / np.convolve(np.pad(np.ones(len(values)), 7), np.ones(15), "valid")
+        dark = np.flatnonzero((smooth < 50) & (np.maximum.accumulate(smooth) > 80))
+        if len(dark):
+            points.append(places[dark[0]])
+    if len(points) < 3:
+        return False, 0.0, 0.0, 0.0, 0.0
+    p = np.array(points, float)
+    d, e, f = np.linalg.lstsq(np.c_[p, np.ones(len(p))], (p**2).sum(1), rcond=None)[0]
+    cx, cy = d / 2, e / 2
+    inner = float(np.sqrt(max(0.0, f + cx * cx + cy * cy)))
+    side, outer = min(a.shape), []
+    for _, radii, values in rays(a, int(np.rint(cx)), int(np.rint(cy))):
+        smooth = np.convolve(np.pad(np.array(values, float), 3), np.ones(7), "valid") / np.convolve(np.pad(np.ones(len(values)), 3), np.ones(7), "valid")
+        drops = np.flatnonzero((np.diff(smooth) < -10) & (np.array(radii[:-1]) > 100))
+        if len(drops) and drops[-1] > 0:
+            outer.append(radii[drops[-1]])
+    radius = float(sorted(outer)[len(outer) // 2]) if outer else 0.0
+    found = 0.18 * side < inner < 0.48 * side and radius > inner + 40
+    return (True, float(cx), float(cy), inner, radius) if found else (False, 0.0, 0.0, 0.0, 0.0)
+
+
+def wheels(images: DataFrame) -> DataFrame:
+    """The combined wheel hypothesis per image; other hypotheses join it as columns for `select.wheel_choice`."""
+    return over_images(images, lambda a: [combined_wheel(a)], "found boolean, center_x double, center_y double, inner_radius double, outer_radius double")
+
+
+def crop(a: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """The part of a raster inside a box; a dark placeholder of 140 x 520 where there is none."""
+    part = a[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)]
+    return part if part.size else np.full((140, 520), 20, np.uint8)
+
+
+def pgm(a: np.ndarray) -> bytes:
+    """A gray raster as a portable graymap, which needs no encoder."""
+    return b"P5\n%d %d\n255\n" % (a.shape[1], a.shape[0]) + np.ascontiguousarray(a).tobytes()

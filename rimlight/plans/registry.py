@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rimlight.functions import geometry as g
 from rimlight.functions import text as t
-from rimlight.operators import boxes, etl, select, signal
+from rimlight.operators import boxes, etl, filters, select, signal
 from rimlight.plans import duck as d
 from rimlight.plans import evaluate as ev
 from rimlight.plans.inputs import derived, duck, table
@@ -568,3 +568,119 @@ def keyed_upsert(spark, sf_dir):
 @query()
 def merge_nearby(spark, sf_dir):
     return boxes.merge_nearby(derived(spark, sf_dir, "detections").select("image", "idx", "x", "y", "w", "h"), "image", 640, 480)
+
+
+# --- filters and choices --------------------------------------------------------------------------------------------
+
+
+@query(f"""select image, idx, h between 100 * 0.16::double and 100 * 0.78::double and w between 4 and 500 * 0.035::double and area >= w * h * 0.15::double as for_size,
+  h between 100 * 0.06::double and 100 * 0.70::double and w between 4 and 500 * 0.12::double and area >= w * h * 0.15::double as for_dot from (select *, w * h * (idx % 7) / 6 as area from {COMPONENTS})""")
+def component_filter(spark, sf_dir):
+    c, cols, rows = F.col, F.lit(500), F.lit(100)
+    df = derived(spark, sf_dir, "components").withColumn("area", c("w") * c("h") * (c("idx") % 7) / 6)
+    return df.select("image", "idx", filters.component("size", c("w"), c("h"), c("area"), cols, rows).alias("for_size"), filters.component("dot", c("w"), c("h"), c("area"), cols, rows).alias("for_dot"))
+
+
+_STATS = ORACLES["run_stats"]
+
+
+def _near(x: str, at: float, span: float) -> str:
+    return f"(1.0::double - least(abs({x} - {at}::double) / {span}::double, 1.0::double))"
+
+
+_PARTS = f"""(select *, w::double / greatest(1, h) as aspect, 1.0::double - least(jitter / greatest(6.0::double, avg_height * 0.35::double), 1.0::double) as aligned,
+  case when gap_mean is null then 0.0::double else 1.0::double - least(gap_std / greatest(3.0::double, gap_mean + 1), 1.0::double) end as spaced, least(avg_height / greatest(1.0::double, 100 * 0.35::double), 1.0::double) as tall from ({_STATS}))"""
+_STRUCTURE = d.clamp01(f"0.24::double * {_near('n', 8, 6)} + 0.18::double * {_near('aspect', 4.2, 3.6)} + 0.16::double * aligned + 0.14::double * spaced + 0.14::double * least(slender / 2.0::double, 1.0::double) + 0.06::double * least(wide / 4.0::double, 1.0::double) + 0.08::double * tall")
+_DOT_STRUCTURE = d.clamp01(f"0.32::double * {_near('n', 6, 8)} + 0.24::double * {_near('aspect', 3, 3)} + 0.16::double * aligned + 0.10::double * spaced + 0.18::double * 0.5::double")
+
+
+@query(f"""select image, run, ~size_structure~, ~dot_structure~, aspect between 2.2::double and 12 and n between 4 and 14 and w between 160 and 320 and size_structure >= 0.46::double as size_candidate,
+  aspect between 1.4::double and 10 and n between 3 and 16 and w between 110 and 240 as dot_candidate from (select *, {_STRUCTURE} as size_structure, {_DOT_STRUCTURE} as dot_structure from {_PARTS})""")
+def structure_score(spark, sf_dir):
+    c = F.col
+    df = QUERIES["run_stats"](spark, sf_dir).withColumn("aspect", c("w").cast("double") / F.greatest(F.lit(1), c("h")))
+    args = [c(x) for x in ("n", "aspect", "avg_height", "jitter", "gap_mean", "gap_std", "slender", "wide")]
+    df = df.withColumns({f"{f}_structure": g.structure_score(f, *args, F.lit(100), F.lit(0.5)) for f in ("size", "dot")})
+    keep = [filters.candidate(f, c("w"), c("h"), c("n"), F.lit(500), c(f"{f}_structure")).alias(f"{f}_candidate") for f in ("size", "dot")]
+    return df.select("image", "run", "size_structure", "dot_structure", *keep)
+
+
+@query(f"""select image, idx, area between 307201 * 0.0004::double and 307201 * 0.28::double and w >= 40 and h >= 12 and w::double / h between 1.6::double and 18 as proposal, w >= 48 and h >= 16 and w::double / h between 1.2::double and 80 as readable,
+  {d.clamp01("least(w::double / h, 10.0::double) / 10 * 0.6::double + least(area / 307201 * 8, 0.4::double)")} as ~score~ from (select *, w::double * h as area from {DETECTIONS})""")
+def roi_filters(spark, sf_dir):
+    c = F.col
+    aspect, area = c("w").cast("double") / c("h"), c("w").cast("double") * c("h")
+    return derived(spark, sf_dir, "detections").select("image", "idx", filters.proposal(c("w"), c("h"), F.lit(307201.0)).alias("proposal"), filters.readable(c("w"), c("h")).alias("readable"), g.flat_score(aspect, area, F.lit(307201.0)).alias("score"))
+
+
+@query("select p_partkey as id, coalesce(nullif(a, ''), nullif(b, ''), '') as shown, not contains(name, '(1)') as original, name ilike '%x-1%' as listed from (select *, case when p_partkey % 3 = 0 then '' else p_brand end as a, case when p_partkey % 2 = 0 then null else p_type end as b, 'X-' || p_partkey || case when p_partkey % 4 = 0 then ' (1)' else '' end || '.jpeg' as name from part)")
+def coalesce_ladder(spark, sf_dir):
+    c = F.col
+    a, b = F.when(c("p_partkey") % 3 == 0, "").otherwise(c("p_brand")), F.when(c("p_partkey") % 2 == 0, None).otherwise(c("p_type"))
+    name = F.concat(F.lit("X-"), c("p_partkey"), F.when(c("p_partkey") % 4 == 0, " (1)").otherwise(""), F.lit(".jpeg"))
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), filters.ladder(a, b).alias("shown"), filters.original(name).alias("original"), filters.shown(name, F.lit(" x-1 ")).alias("listed"))
+
+
+@query("select k as id, case when k % 3 = 0 then 'a' || k when k % 5 = 0 then 'b' || k when k % 2 = 0 then 'w' || k else '' end as path from (select p_partkey as k from part)")
+def first_existing_path(spark, sf_dir):
+    k = F.col("p_partkey")
+
+    def named(x):
+        return F.concat(F.lit(x), k)
+
+    there = F.array_compact(F.array(F.when(k % 3 == 0, named("a")), F.when(k % 5 == 0, named("b")), F.when(k % 2 == 0, named("w")), named("z")))
+    images = F.array(F.struct(F.lit("other").alias("label"), named("z").alias("path")), F.struct(F.lit("The Wheel").alias("label"), named("w").alias("path")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), filters.first_existing([named("a"), named("b")], images, ["annulus", "wheel"], there).alias("path"))
+
+
+@query("""select image, coalesce(iso, combo, case when dark > hole then dark when hole is not null then hole end) as ~score~, case when o_custkey % 6 = 0 then 1.5::double else o_custkey % 10 end::double as ~center~
+  from (select o_orderkey as image, o_custkey, case when o_custkey % 4 = 0 then 10.0::double end as iso, case when o_custkey % 5 = 0 then 20.0::double end as combo, (o_custkey % 7)::double / 2 as dark, (o_orderkey % 5)::double / 2 as hole from orders)""")
+def wheel_choice(spark, sf_dir):
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+
+    def one(score):
+        return F.struct(score.cast("double").alias("score"))
+
+    pick = select.wheel_choice(F.when(k % 4 == 0, one(F.lit(10))), F.when(k % 5 == 0, one(F.lit(20))), one((k % 7).cast("double") / 2), one((o % 5).cast("double") / 2))
+    return table(spark, sf_dir, "orders").select(o.alias("image"), pick["score"].alias("score"), filters.wheel(k % 6 == 0, F.lit(1.5), (k % 10).cast("double")).alias("center"))
+
+
+@query("select o_orderkey as image, x0 as bx, y0 as by, w, greatest(y1, y0 + 1) - y0 as bh from (select *, least(greatest(round(h * (lo / 100.0::double))::int, 0), greatest(0, h - 1)) as y0, least(round(h * (hi / 100.0::double))::int, h) as y1 from (select o_orderkey, 0 as x0, (o_custkey % 300 + 20)::int as w, (o_custkey % 200 + 5)::int as h, (o_orderkey % 60)::int as lo, (o_orderkey % 60 + 10)::int as hi from orders))")
+def crop_percent_rect(spark, sf_dir):
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    b = g.crop_rect((k % 300 + 20).cast("int"), (k % 200 + 5).cast("int"), (o % 60).cast("int"), (o % 60 + 10).cast("int"))
+    return table(spark, sf_dir, "orders").withColumn("b", b).select(o.alias("image"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("b.w").alias("w"), F.col("b.h").alias("bh"))
+
+
+@query(f"""select image, a as top, greatest(least(b, 200), a + 1) - a as height from (select *, least(greatest(floor((1 - nmax) * 200)::int, 0), 199) as a, ceil((1 - nmin) * 200)::int as b from
+  (select o_orderkey as image, {d.clamp01("(90 + o_custkey % 100 - 90) / 140.0::double")} as nmin, {d.clamp01("(90 + o_custkey % 100 + 20 + o_orderkey % 60 - 90) / 140.0::double")} as nmax from orders))""")
+def band_rect(spark, sf_dir):
+    lo = (F.col("o_custkey") % 100 + 90).cast("double")
+    b = g.band_rect(F.lit(1440), F.lit(200), F.lit(90.0), F.lit(230.0), lo, lo + 20 + F.col("o_orderkey") % 60)
+    return table(spark, sf_dir, "orders").withColumn("b", b).select(F.col("o_orderkey").alias("image"), F.col("b.y").alias("top"), F.col("b.h").alias("height"))
+
+
+@query(f"select image, ~whole~, trunc(median(value))::int as cut from (select image, value, sum(value) over (partition by image) as whole from {SIGNAL}) group by image, whole")
+def truncated_median(spark, sf_dir):
+    return derived(spark, sf_dir, "signal").groupBy("image").agg(F.sum("value").alias("whole"), F.median("value").cast("int").alias("cut"))
+
+
+@query(f"select image, x, case when x < n - 1 then (sum(value) over (partition by image order by x rows between 2 preceding and 4 following) - sum(value) over (partition by image order by x rows between 3 preceding and 3 following)) / 7 end as ~step~ from (select *, count(*) over (partition by image) as n from {SIGNAL})")
+def zero_padded_step(spark, sf_dir):
+    n = F.count("*").over(Window.partitionBy("image"))
+    step = signal.zero_padded_step(F.col("value"), ["image"], "x")
+    return derived(spark, sf_dir, "signal").withColumns({"n": n, "step": step}).select("image", "x", F.when(F.col("x") < F.col("n") - 1, F.col("step")).alias("step"))
+
+
+@query("select split, count(*)::bigint as n from (select case when row_number() over (order by o_orderkey) <= greatest(1, round_even(0.15::double * count(*) over (), 0)) then 'val' else 'train' end as split from orders) group by split")
+def train_val_split(spark, sf_dir):
+    return etl.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.15, 7).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("""select event_id, string_agg(f, '|' order by i) as fields, count(*)::bigint as n from (select event_id, unnest(string_split(line, ',')) as f, generate_subscripts(string_split(line, ','), 1) as i
+  from (select event_id, event_type || ',' || user_id || ',x y,' as line from events)) group by event_id""")
+def csv_fields(spark, sf_dir):
+    from rimlight.sources.files import csv_fields as split
+
+    line = F.concat(F.col("event_type"), F.lit(',"'), F.col("user_id"), F.lit('",x" "y,'))
+    return table(spark, sf_dir, "events").select("event_id", split(line).alias("f")).select("event_id", F.array_join("f", "|").alias("fields"), F.size("f").cast("long").alias("n"))

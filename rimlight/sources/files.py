@@ -124,6 +124,11 @@ def rois(texts: DataFrame, column: str = "value") -> DataFrame:
     return payloads(texts, column, ROI).withColumn("box", g.parse_box(F.col("p.boundingBox")))
 
 
+def sectors(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Answers for unwrapped sectors."""
+    return payloads(texts, column, SECTOR)
+
+
 def program_rows(answers: DataFrame) -> DataFrame:
     """Flat result rows of `payloads` (dataset, image_path beside them): 24 columns, those of errors mostly null."""
     p, ok = F.col("p"), F.col("status") == "ok"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +73,29 @@ def write_labels(rows: DataFrame, path: str) -> None:
     lines.select(F.col("lines").alias("value"), "split", stem.alias("stem")).write.mode("overwrite").partitionBy("split", "stem").text(path)
 
 
-def dataset_yaml(root: str, names: list[str]) -> str:
+def dataset_yaml(names: list[str]) -> str:
     """The text of a dataset's description."""
-    return "\n".join([f"path: {root}", "train: images/train", "val: images/val", "", f"nc: {len(names)}", "names:", *(f"  {i}: {n}" for i, n in enumerate(names))]) + "\n"
+    return "\n".join(["path: .", "train: images/train", "val: images/val", f"names: {names}", ""])
+
+
+def place_file(source: str, target: str, copy: bool = False) -> None:
+    """Puts a local file at target by a hard link, or a copy where asked for or needed; a file that is there stays."""
+    if os.path.exists(target):
+        return
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    try:
+        if copy:
+            raise OSError
+        os.link(source, target)
+    except OSError:
+        shutil.copy2(source, target)
+
+
+def preprocess_report(rows: DataFrame) -> DataFrame:
+    """(image, value): text lines for each prepared image (image, output, found, steps)."""
+    steps = F.transform("steps", lambda s: F.concat(F.lit("  "), s["name"], F.lit(": "), number(s["ms"]), F.lit(" ms")))
+    head = F.array(F.concat(F.lit("image: "), "image"), F.concat(F.lit("output: "), "output"), F.concat(F.lit("maskFound: "), flag(F.col("found"))), F.lit("timings:"))
+    return rows.select("image", F.explode(F.concat(head, steps, F.array(F.lit("")))).alias("value"))
 
 
 def result_json(rows: DataFrame, pretty: bool = False) -> DataFrame:

@@ -57,7 +57,9 @@ def test_annotations_suggestions_coco(spark, tmp_path):
     images, found, used = files.coco(spark, str(tmp_path / "c.json"))
     lines = {r.file_name: r.lines for r in etl.label_lines(etl.yolo_labels(images, found, etl.category_index(used, "label"))).collect()}
     assert lines == {"a.png": "0 0.200000 0.300000 0.200000 0.200000", "b.png": ""}
-    assert sinks.dataset_yaml("/d", ["a"]).endswith("names:\n  0: a\n")
+    assert sinks.dataset_yaml(["a"]).endswith("names: ['a']\n")
+    sinks.place_file(str(path), str(tmp_path / "x/y.json"))
+    assert (tmp_path / "x/y.json").read_text() == path.read_text()
 
 
 def test_numbers_as_c_prints_them(spark):
@@ -97,6 +99,24 @@ def test_pixels(spark, tmp_path):
     points = signal.border(signals, ["scan"], "x", "v").join(signals, "scan").where("x = border").select(F.lit(1).alias("k"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
     (c,) = signal.circle_fit(points, ["k"]).collect()
     assert abs(c.cx - 100) < 3 and abs(c.cy - 80) < 3 and abs(c.radius - 53) < 2  # smoothing over 15 values finds the edge 7 inside
+    big = np.full((500, 500), 220, np.uint8)
+    y, x = np.mgrid[:500, :500]
+    r = np.hypot(x - 250, y - 250)
+    big[r < 220] = 160
+    big[r < 130] = 20
+    assert np.allclose(pixels.combined_wheel(np.where(r < 220, big, 60))[1:4], (250, 250, 130), atol=12)
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        e = rng.integers(0, 5, rng.integers(1, 12)).astype(float)
+        spans = [(-e[i:j].sum(), i, j) for i in range(len(e)) for j in range(i + 2, min(len(e), i + 4) + 1)]
+        assert pixels.best_span(e, 2, 4) == (min(spans)[1:] if spans else (0, len(e)))
+    text = np.full((80, 300), 200, np.uint8)
+    for k in range(6):
+        text[30:50, 60 + 30 * k : 68 + 30 * k] = 30
+    assert [c[1:6] for c in pixels.text_components(text)] == [(60 + 30 * k, 30, 8, 20, 160) for k in range(6)]
+    x0, y0, w, h = pixels.text_band(text, True)
+    assert y0 <= 30 and y0 + h >= 48 and x0 <= 62 and x0 + w >= 216
+    assert pixels.crop(text, 290, 70, 50, 50).shape == (10, 10) and pixels.crop(text, 400, 0, 5, 5).shape == (140, 520) and pixels.pgm(text).startswith(b"P5\n300 80\n255\n")
     read = providers.FunctionProvider(lambda: lambda data, h, w: (f"{w}x{h}", 0.9), stop=0.5).read(pixels.all_variants(rows), "size").collect()
     assert [(r.seq, r.conf) for r in read] == [(0, 0.9)]
 
