@@ -39,6 +39,7 @@ HALF = np.uint64(1 << 63)
 CHUNK = 1 << 20  # shingles of a blob's chunk
 BLOCK = 256  # sets compared in one tree
 FILTER_BITS = 25
+SALTS = 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -275,11 +276,14 @@ def rearranged(members: DataFrame) -> DataFrame:
     chained = components(members.join(heads, "token").select(F.col("cls").alias("a"), F.col("head").alias("b")))
     rows = members.join(chained, F.col("cls") == F.col("v"), "left").select("token", "cls", "comp", F.coalesce("root", "cls").alias("cluster"))
     rows = stage(rows, "open")
-    one = rows.select("cluster", "cls").distinct().groupBy("cluster").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("joint"))
+    once = stage(rows.select("cluster", "cls", "comp").distinct(), "open")
+    one = once.groupBy("cluster").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("joint"))
     each = rows.groupBy("cluster", "token").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("single"))
-    joined = one.join(each, "cluster").where("joint <= single").select("cluster")
-    whole = rows.join(joined, "cluster", "left_semi").select(F.xxhash64("cluster", F.lit(1)).alias("grp"), "cls", "comp").distinct()
-    return whole.unionByName(rows.join(joined, "cluster", "left_anti").select(F.col("token").alias("grp"), "cls", "comp"))
+    # a cluster may hold a large share of all rows: they are told what becomes of it by several copies of its row
+    joined = one.join(each, "cluster").where("joint <= single").select("cluster", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    whole = once.withColumn("salt", salt).join(joined, ["cluster", "salt"], "left_semi").select(F.xxhash64("cluster", F.lit(1)).alias("grp"), "cls", "comp")
+    return whole.unionByName(rows.withColumn("salt", salt).join(joined, ["cluster", "salt"], "left_anti").select(F.col("token").alias("grp"), "cls", "comp"))
 
 
 def within(members: DataFrame, sets: DataFrame) -> DataFrame:
