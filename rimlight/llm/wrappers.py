@@ -40,6 +40,8 @@ _SKIP = frozenset("head script style noscript template iframe svg math nav foote
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of ids and classes that name what isn't content.
 _SKIP_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|replies|disqus|share|sharing|social|related|widget|pagination|pager|login|signup)(?:$|[\s_-])")
+#: The same for articles, which name their kind more freely.
+_SKIP_ARTICLES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|teaser|related)(?:$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?i)(?:^|\s)(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -172,7 +174,9 @@ def skipped(node: Node, in_article: bool) -> bool:
     """Whether a node's tag, role, id or class says that it isn't content."""
     if node.tag in _SKIP or node.role in _SKIP_ROLES or (node.tag == "header" and not in_article):
         return True
-    return node.tag not in ("article", "main", "body", "html", "#page") and bool(node.names) and bool(_SKIP_NAMES.search(node.names))
+    if not node.names or node.tag in ("main", "body", "html", "#page"):
+        return False
+    return bool((_SKIP_ARTICLES if node.tag == "article" else _SKIP_NAMES).search(node.names))
 
 
 def regions(root: Node) -> tuple[list[Node], bool]:
@@ -181,9 +185,11 @@ def regions(root: Node) -> tuple[list[Node], bool]:
         found, todo = [], [root]
         while todo:
             node = todo.pop()
+            if skipped(node, False):
+                continue
             if node.tag == tag or (tag == "main" and node.role == "main"):
                 found.append(node)
-            elif not skipped(node, False):
+            else:
                 todo += reversed(node.elements())
         if found:
             return found, True

@@ -446,6 +446,8 @@ def test_main_text(spark):
     assert got[103].text == "words of page 3"
     assert [got[i].text for i in (200, 201, 202, 203, None, 204)] == ["", "", "cut &am", "deep", "a\nb", "plain & simple"]
     assert len(got) == len(rows) and wrappers.extract(df.limit(0)).count() == 0
+    tree = wrappers.parse("<main><article class=post><p>a</p><article class='comment'>c</article></article><article id=promo-2>p</article><div role=search>s</div></main><aside>x")
+    assert wrappers.blocks(tree, set()) == ["a"] and wrappers.blocks(wrappers.parse("<div class='content'>a<form>f</form><div class='page-menu'>m</div></div>"), set()) == ["a"]
 
 
 def test_main_text_of_given_pages(spark):
