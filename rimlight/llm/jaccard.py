@@ -24,7 +24,7 @@ other; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,13 +185,16 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """A radix trie of sorted sets; `near` finds those similar to a set."""
+    """A radix trie of sorted sets; `near` finds those similar to a set.
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]]) -> None:
+    sets: (id, set) or (id, set, component). A subtree of one component can be passed over as a whole.
+    """
+
+    def __init__(self, sets: list[tuple]) -> None:
         sets = sorted(sets, key=lambda x: x[1].astype(">u8").tobytes())
-        arrays, sizes = [s for _, s in sets], [len(s) for _, s in sets]
-        # node: (piece of the sets, length up to its end, smallest and largest set below, ids that end here, children)
-        self.root = (np.zeros(0, np.uint64), 0, min(sizes, default=0), max(sizes, default=0), [], [])
+        arrays, sizes, comps = [x[1] for x in sets], [len(x[1]) for x in sets], [x[2] if len(x) > 2 else i for i, x in enumerate(sets)]
+        # node: (piece of the sets, length up to its end, smallest and largest set below, their component if there is one, ids that end here, children)
+        self.root = (np.zeros(0, np.uint64), 0, min(sizes, default=0), max(sizes, default=0), None, [], [])
         todo = [(self.root, 0, len(sets), 0)]
         while todo:
             (*_, ends, children), lo, hi, depth = todo.pop()
@@ -207,16 +210,19 @@ class Trie:
                 k = min(len(a), len(b))
                 differs = np.flatnonzero(a[:k] != b[:k])
                 k = int(differs[0]) if len(differs) else k
-                node = (a[:k], depth + k, min(sizes[lo:j]), max(sizes[lo:j]), [], [])
+                one = comps[lo] if all(c == comps[lo] for c in comps[lo:j]) else None
+                node = (a[:k], depth + k, min(sizes[lo:j]), max(sizes[lo:j]), one, [], [])
                 children.append(node)
                 todo.append((node, lo, j, depth + k))
                 lo = j
 
-    def near(self, s: np.ndarray) -> list[int]:
-        """Ids of the sets x with 100 * |x & s| >= PERCENT * |x | s|."""
+    def near(self, s: np.ndarray, known: Callable[[int], bool] | None = None) -> list[int]:
+        """Ids of the sets x with 100 * |x & s| >= PERCENT * |x | s|, but for components that are known."""
         n, out, todo = len(s), [], [(self.root, 0)]
         while todo:
-            (piece, depth, least, most, ends, children), overlap = todo.pop()
+            (piece, depth, least, most, one, ends, children), overlap = todo.pop()
+            if known and one is not None and known(one):
+                continue
             left = n
             if len(piece):
                 place = np.searchsorted(s, piece)
@@ -291,12 +297,12 @@ def within(members: DataFrame, sets: DataFrame) -> DataFrame:
     sized = members.groupBy("grp").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
     rows = members.join(sized, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp")
-    rows = rows.join(sets, "cls").select("grp", "i", "j", "cls", "comp", "set")
+    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
+    rows = rows.join(sets, "cls").select("grp", "i", "j", "own", "cls", "comp", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 3):
-            comp = {c: k for c, k, _ in rows}
+        for (_, i, j), rows in _runs(batches, 3):
+            comp = {c: k for _, c, k, _ in rows}
             root = {k: k for k in comp.values()}
 
             def find(k: int, root: dict[int, int] = root) -> int:
@@ -306,12 +312,14 @@ def within(members: DataFrame, sets: DataFrame) -> DataFrame:
 
             if len(root) < 2:
                 continue
-            tree, found = Trie([(c, s) for c, _, s in rows]), []
-            for c, k, s in rows:
-                for d in tree.near(s):
-                    if find(k) != find(comp[d]):
-                        root[find(k)] = find(comp[d])
-                        found.append((c, d))
+            # block i is stored, block j asks; of equal blocks each set asks for all
+            tree, found = Trie([(c, s, k) for own, c, k, s in rows if own == i]), []
+            for own, c, k, s in rows:
+                if own == j:
+                    for d in tree.near(s, lambda other, k=k, find=find: find(other) == find(k)):
+                        if find(k) != find(comp[d]):
+                            root[find(k)] = find(comp[d])
+                            found.append((c, d))
             if found:
                 yield _links(found)
 
