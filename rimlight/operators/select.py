@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 SIZE_STOP, DOT_STOP, ROI_STOP = 0.84, 0.76, 0.65
 
 
+def size_order(conf: Column, seq: Column, stop: float = SIZE_STOP) -> Column:
+    """What the winner has least of: rows at `stop` come first, in order, then the most confident."""
+    sure = conf >= stop
+    return F.struct(F.when(sure, 0).otherwise(1).alias("late"), F.when(sure, 0.0).otherwise(-conf).alias("doubt"), seq.alias("seq"))
+
+
 def size_winner(rows: DataFrame, keys: Sequence[str], conf: str = "conf", seq: str = "seq", found: str = "found", stop: float = SIZE_STOP) -> DataFrame:
     """Per key the first row that reaches `stop`, else the first of the most confident; rows not found or without confidence never win."""
-    c, s = F.col(conf), F.col(seq)
-    sure = c >= stop
-    order = F.struct(F.when(sure, 0).otherwise(1), F.when(sure, 0.0).otherwise(-c), s)
+    c = F.col(conf)
     live = rows.where(F.col(found) & (c > 0))
-    return live.groupBy(*keys).agg(F.min_by(F.struct(*live.columns), order).alias("_w")).select("_w.*")
+    return live.groupBy(*keys).agg(F.min_by(F.struct(*live.columns), size_order(c, F.col(seq), stop)).alias("_w")).select("_w.*")
 
 
 def dot_winner(rows: DataFrame, keys: Sequence[str], conf: str = "conf", seq: str = "seq", found: str = "found", dated: str = "week_year_found", stop: float = DOT_STOP) -> DataFrame:

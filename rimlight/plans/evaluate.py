@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rimlight.functions import text as t
@@ -30,13 +30,25 @@ def scored(ocr: DataFrame) -> DataFrame:
 
 
 def results(rows: DataFrame) -> DataFrame:
-    """One row per image with the winning readings of both fields; missing readings are blank and 0."""
-    size = select.size_winner(rows.where("field = 'size'"), KEYS).select("image", F.col("normalized").alias("size"), F.col("conf").alias("size_conf"), F.col("quality").alias("size_quality"))
-    dot = select.dot_winner(rows.where("field = 'dot'"), KEYS)
-    dot = dot.select("image", F.col("normalized").alias("dot"), F.col("conf").alias("dot_conf"), F.col("quality").alias("dot_quality"), "week_year", "full_normalized", "week_year_found", "full")
-    every = rows.groupBy("image").agg((F.count("*") * 7.5 + F.sum("seq")).alias("total_ms"))
-    out = every.join(size.withColumn("size_found", F.lit(True)), "image", "left").join(dot.withColumn("dot_found", F.lit(True)), "image", "left")
-    return out.na.fill("", ["size", "dot", "week_year", "full_normalized"]).na.fill(0.0, ["size_conf", "dot_conf", "size_quality", "dot_quality"]).na.fill(False, ["size_found", "dot_found", "week_year_found", "full"])
+    """One row per image with the winning readings of both fields; missing readings are blank and 0.
+
+    Both winners are aggregates of one grouping, and the cut of the dot field is a window over the same key, so that the
+    candidates are shuffled once.
+    """
+    c, whole = F.col, Window.partitionBy("image")
+    live = c("found") & (c("conf") > 0)
+    is_dot = live & (c("field") == "dot")
+    rows = rows.drop("text", "ocr", "score", "ok")
+    rows = rows.withColumn("_cut", F.min(F.when(is_dot & c("week_year_found") & (c("conf") >= select.DOT_STOP), c("seq"))).over(whole))
+    size_on, dot_on = live & (c("field") == "size"), is_dot & (c("_cut").isNull() | (c("seq") <= c("_cut")))
+    size = F.min_by(F.struct(c("normalized").alias("size"), c("conf").alias("size_conf"), c("quality").alias("size_quality")), F.when(size_on, select.size_order(c("conf"), c("seq"))))
+    dot = F.min_by(
+        F.struct(c("normalized").alias("dot"), c("conf").alias("dot_conf"), c("quality").alias("dot_quality"), "week_year", "full_normalized", "week_year_found", "full"),
+        F.when(dot_on, F.struct(-c("conf"), c("seq"))),
+    )
+    out = rows.groupBy("image").agg((F.count("*") * 7.5 + F.sum("seq")).alias("total_ms"), size.alias("_s"), dot.alias("_d"))
+    out = out.select("image", "total_ms", c("_s").isNotNull().alias("size_found"), "_s.*", c("_d").isNotNull().alias("dot_found"), "_d.*")
+    return out.na.fill("", ["size", "dot", "week_year", "full_normalized"]).na.fill(0.0, ["size_conf", "dot_conf", "size_quality", "dot_quality"]).na.fill(False, ["week_year_found", "full"])
 
 
 def reason(r: Column | None = None) -> Column:
