@@ -123,3 +123,25 @@ def gui_columns(suggestions: DataFrame) -> DataFrame:
         "dot_text_guess": "dot_text", "dot4_guess": "dot4", "dot_confidence": "dot_confidence", "dot_location_hint": "dot_box",
     }
     return suggestions.select(*(F.coalesce(F.col(old).cast("string"), F.lit("")).alias(new) for new, old in names.items()), F.lit("").alias("review_status"), F.lit("").alias("notes"))
+
+
+def attempts(candidates: DataFrame, variants: Sequence[str], modes: Sequence[str]) -> DataFrame:
+    """Each candidate (rank) with every variant and reading mode, numbered in the order in which they are tried."""
+    table = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(m).alias("mode")) for v in variants for m in modes))
+    rows = candidates.select("*", F.posexplode(table).alias("_i", "_a"))
+    return rows.select(*candidates.columns, F.col("_a.variant").alias("variant"), F.col("_a.mode").alias("mode"), (F.col("rank") * (len(variants) * len(modes)) + F.col("_i")).cast("int").alias("seq"))
+
+
+def paired_text(pages: Column, first_only: bool) -> Column:
+    """struct(text, confidence) of pages (struct texts, scores): all texts in order, squeezed, and the mean score; 0 without scores."""
+    used = F.slice(pages, 1, 1) if first_only else pages
+    texts, scores = F.flatten(F.transform(used, lambda p: p["texts"])), F.flatten(F.transform(used, lambda p: p["scores"]))
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(scores), F.lit(1))
+    return F.struct(t.squeeze_unicode(F.array_join(texts, " ")).alias("text"), F.coalesce(mean, F.lit(0.0)).alias("confidence"))
+
+
+def with_overlay(annotations: DataFrame, answers: DataFrame) -> DataFrame:
+    """annotations (image) with the overlay of the answer (path, overlay) for the same path, else the image itself."""
+    keyed = answers.select(t.path_key(F.col("path")).alias("_key"), "overlay").groupBy("_key").agg(F.max("overlay").alias("_overlay"))
+    rows = annotations.withColumn("_key", t.path_key(F.col("image"))).join(keyed, "_key", "left")
+    return rows.withColumn("annotation_image", F.coalesce(F.nullif(t.blank(F.col("_overlay")), F.lit("")), F.col("image"))).drop("_key", "_overlay")

@@ -684,3 +684,46 @@ def csv_fields(spark, sf_dir):
 
     line = F.concat(F.col("event_type"), F.lit(',"'), F.col("user_id"), F.lit('",x" "y,'))
     return table(spark, sf_dir, "events").select("event_id", split(line).alias("f")).select("event_id", F.array_join("f", "|").alias("fields"), F.size("f").cast("long").alias("n"))
+
+
+@query("""select p_partkey as image, (p_partkey % 3)::int as rank, variant, mode, ((p_partkey % 3) * 6 + (v - 1) * 2 + m - 1)::int as seq
+  from part, (values (1, 'gray'), (2, 'clahe'), (3, 'otsu')) a(v, variant), (values (1, 'line'), (2, 'block')) b(m, mode)""")
+def attempt_order(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.col("p_partkey") % 3).cast("int").alias("rank"))
+    return etl.attempts(p, ["gray", "clahe", "otsu"], ["line", "block"])
+
+
+@query("""select user_id, first_text, ~first_conf~, all_text, ~all_conf~ from (select user_id, string_agg(event_type, ' ' order by event_id) filter (n <= 3) as first_text, avg(value) filter (n <= 3) as first_conf,
+  string_agg(event_type, ' ' order by event_id) filter (n <= 5) as all_text, avg(value) filter (n <= 5) as all_conf from (select *, row_number() over (partition by user_id order by event_id) as n from events) group by user_id)""")
+def paired_lists(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("e"))
+
+    def page(a, n):
+        part = F.slice("e", a, n)
+        return F.struct(F.transform(part, lambda x: x["event_type"]).alias("texts"), F.transform(part, lambda x: x["value"]).alias("scores"))
+
+    pages = F.array(page(1, 3), page(4, 2))
+    rows = e.select("user_id", etl.paired_text(pages, True).alias("a"), etl.paired_text(pages, False).alias("b"))
+    return rows.select("user_id", F.col("a.text").alias("first_text"), F.col("a.confidence").alias("first_conf"), F.col("b.text").alias("all_text"), F.col("b.confidence").alias("all_conf"))
+
+
+@query("select page_id, case when page_id % 3 = 0 then '/o/' || page_id || '.png' else '/img/' || page_id || '.JPG' end as shown from pages")
+def annotation_overlay(spark, sf_dir):
+    k = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select(k, F.concat(F.lit("/img/"), k, F.lit(".JPG")).alias("image"))
+    answers = table(spark, sf_dir, "pages").where(k % 3 < 2).select(F.concat(F.lit("/IMG//"), k, F.lit(".jpg")).alias("path"), F.when(k % 3 == 0, F.concat(F.lit("/o/"), k, F.lit(".png"))).otherwise("").alias("overlay"))
+    return etl.with_overlay(rows, answers).select("page_id", F.col("annotation_image").alias("shown"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.4f', l_extendedprice * (1 - l_discount) / 16) as price, printf('%.6f', l_tax / 3) as tax from lineitem")
+def format_double(spark, sf_dir):
+    from rimlight.sources.sinks import number
+
+    c = F.col
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", number(c("l_extendedprice") * (1 - c("l_discount")) / 16).alias("price"), number(c("l_tax") / 3, 6).alias("tax"))
+
+
+@query("""select event_id, chr(39) || replace(event_type || chr(39) || 's', chr(39), chr(39) || '"' || chr(39) || '"' || chr(39)) || chr(39) as quoted, strftime(ts, '%Y%m%d_%H%M%S_%g') as run, 'a.b-' || event_id as label from events""")
+def shell_and_labels(spark, sf_dir):
+    name = F.concat(F.lit("/x.y/a.b-"), F.col("event_id"), F.lit(".png"))
+    return table(spark, sf_dir, "events").select("event_id", t.shell_quote(F.concat(F.col("event_type"), F.lit("'s"))).alias("quoted"), t.run_id(F.col("ts")).alias("run"), t.step_label(name).alias("label"))
