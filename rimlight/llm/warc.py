@@ -95,7 +95,7 @@ def write(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     """Writes the records of `planned` rows below folder; returns the manifest (path, records, bytes), already written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         out, path, size, count = None, "", 0, 0
 
@@ -121,6 +121,11 @@ def write(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     return stage(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI; s3a is Spark's name for s3."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 class Damage(Exception):
     """A record that fails a check, with the reason."""
 
@@ -262,7 +267,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
         for b in batches:
             for path in b.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = store_of(path)
                 with store.open_input_file(at) as source:
                     for kind, start, end, found, payload in Salvage(source, source.size()):
                         if kind == "gap":
