@@ -57,6 +57,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast in a join only if it is counted to have at most `most` of them."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model learns from: crc32 of the id as text leaves remainder 2 by 4. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimlight.llm.common import LOWER, mix, pieces, stage, utf8, word_hashes, words
+from rimlight.llm.common import LOWER, mix, pieces, small, stage, utf8, word_hashes, words
 from rimlight.llm.components import components
 
 N, PERCENT = 5, 75
@@ -278,7 +278,7 @@ def rearranged(members: DataFrame) -> DataFrame:
     Groups chained by common members form a cluster; a cluster is either one group or stays its own groups, whichever
     ships fewer sets to blocks.
     """
-    heads = members.groupBy("token").agg(F.min("cls").alias("head"))
+    heads = small(stage(members.groupBy("token").agg(F.min("cls").alias("head")), "heads"))
     chained = components(members.join(heads, "token").select(F.col("cls").alias("a"), F.col("head").alias("b")))
     rows = members.join(chained, F.col("cls") == F.col("v"), "left").select("token", "cls", "comp", F.coalesce("root", "cls").alias("cluster"))
     rows = stage(rows, "open")
