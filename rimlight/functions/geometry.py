@@ -104,8 +104,13 @@ def radius_range(b: Column, cx: Column, cy: Column, inner: Column, outer: Column
     r = F.array(*(F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) for x, y in grid))
     r = F.array_sort(F.filter(r, lambda v: (v >= inner * 0.90) & (v <= outer * 1.05)))
     r = F.when(F.size(r) == 0, F.array((inner + outer) * 0.5)).otherwise(r)
-    n = F.size(r)
-    q1, q2, q3 = (F.element_at(r, (F.floor(n * k / 4) + 1).cast("int")) for k in (1, 2, 3))
+    # bound to a lambda's variables, the sorted radii are made once and not for each quartile
+    thirds = F.transform(F.array(r), lambda v: F.struct(*(F.element_at(v, (F.floor(F.size(v) * k / 4) + 1).cast("int")).alias(f"q{k}") for k in (1, 2, 3))))
+    return F.transform(thirds, lambda q: _ring(q["q1"], q["q2"], q["q3"], inner, outer, narrow))[0]
+
+
+def _ring(q1: Column, q2: Column, q3: Column, inner: Column, outer: Column, narrow: bool) -> Column:
+    """The ring around the quartiles of radii, at least a share of the band wide."""
     band = F.greatest(F.lit(1.0), outer - inner)
     margin, least = (0.05, 0.10) if narrow else (0.08, 0.16)
     lo, hi = F.greatest(inner, q1 - band * margin), F.least(outer, q3 + band * margin)
