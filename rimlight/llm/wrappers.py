@@ -2,14 +2,16 @@
 
 Each host has a reference page, its first complete one. Every page of the host is aligned with it by simple tree
 matching: equal labels (tag, id, class) match, children keep their order, and the matching with most nodes is taken.
-Over all pages of the host, a reference node that is matched and has the same text in most pages is template; one
-whose text varies is a slot. A page's text is that of its slots, and of nodes that match nothing, in its content
-region: its articles, else its main part, else its body. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are known by tag, role or class name, and by their share of linked text where a page
-names no article; the text of an article counts as content even if most pages repeat it (copies).
+Over the pages of the host, a reference node that is matched and has the same text in most of them is template; one
+whose text varies is a slot. Pages are counted by distinct content (the text of their content region), so copies count
+once and can't make their own text template. A page's text is that of its slots, and of nodes that match nothing, in
+its content region: its articles, else its main part, else its body. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments are known by tag, role or class name, too, and by their share of linked
+text where a page names no article. Inside an article only elements with an id or class, and what they hold, can be
+template: its bare paragraphs and lists count as content even if all pages repeat them.
 
-Counts per host and node are summed in each batch before they are shuffled. References and wrappers are handed out
-by a broadcast only when their size, which is measured, is below a bound, else by a join on the host.
+Each page ships two bits per node of its reference, not its text. References and wrappers are handed out by a broadcast
+only when their size, which is measured, is below a bound, else by a join on the host.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; broken or cut-off markup is
 closed where it ends; a null id can't be a reference, but its page is extracted; repeated rows get equal results; an
@@ -18,11 +20,13 @@ empty table gives an empty result; elements nested deeper than 120 count as sibl
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,18 +124,36 @@ def parse(text: str) -> Node:
     return root
 
 
+def alike(a: Node, b: Node) -> bool:
+    """Whether two trees are equal in labels and texts, and have a text."""
+    said, todo = False, [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.label != y.label or x.size != y.size or len(x.children) != len(y.children) or (text := x.own_text()) != y.own_text():
+            return False
+        said = said or bool(text)
+        todo += zip(x.elements(), y.elements(), strict=False)
+    return said
+
+
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching of two trees: (number of matched nodes, the pairs)."""
     if a.label != b.label:
         return 0, []
     xs, ys = a.elements(), b.elements()
     total, pairs = 1, [(a, b)]
+    same = 0  # equal last children are a constant end, however many come before them
+    while same < min(len(xs), len(ys)) and alike(xs[-1 - same], ys[-1 - same]):
+        same += 1
 
     def add(found: tuple[int, list[tuple[Node, Node]]]) -> None:
         nonlocal total
         total += found[0]
         pairs.extend(found[1])
 
+    for x, y in zip(xs[len(xs) - same :], ys[len(ys) - same :], strict=True):
+        add(match(x, y))
+    xs, ys = xs[: len(xs) - same], ys[: len(ys) - same]
     i = 0  # equal beginnings and ends match in order; only what differs between them is searched
     while i < len(xs) and i < len(ys) and xs[i].label == ys[i].label:
         add(match(xs[i], ys[i]))
@@ -210,7 +232,7 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             out.append(text)
         linked[0] = 0
 
-    def walk(node: Node, link: bool) -> None:
+    def walk(node: Node, link: bool, can: bool) -> None:
         if skipped(node, sure):
             return
         block = node.tag in _BLOCK
@@ -218,10 +240,10 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             end()
         if node.tag == "br":
             held.append(" ")
-        known = not sure and id(node) in template
+        known = can and id(node) in template
         for x in node.children:
             if isinstance(x, Node):
-                walk(x, link or x.tag == "a")
+                walk(x, link or x.tag == "a", can or bool(x.names))
             elif not known:
                 held.append(x)
                 linked[0] += len(x) * link
@@ -229,7 +251,7 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             end()
 
     for node in found:
-        walk(node, False)
+        walk(node, False, node.tag != "article")
         end()
     return out
 
@@ -260,6 +282,15 @@ class _References:
         return self.held[key]
 
 
+def _bits(root: Node, places: dict[int, int], page: Node) -> tuple[bytes, bytes]:
+    """Which nodes of a reference that have a text are matched by a page, and which of them by an equal text."""
+    bits = np.zeros((2, len(places)), bool)
+    for x, y in match(root, page)[1]:
+        if said := x.own_text():
+            bits[:, places[id(x)]] = True, said == y.own_text()
+    return np.packbits(bits[0]).tobytes(), np.packbits(bits[1]).tobytes()
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, ref, template): each host's reference page and the places of its nodes whose text most pages repeat."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
@@ -272,20 +303,30 @@ def induce(pages: DataFrame) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _References()
         for b in batches:
-            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            rows = []
             for name, text, ref in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if ref.as_py() is None:
                     continue
                 root, places = known.get(name, ref.as_py())
-                for x, y in match(root, parse(text.as_py()))[1]:
-                    if said := x.own_text():
-                        seen = sums[name, places[id(x)]]
-                        seen[0] += 1
-                        seen[1] += said == y.own_text()
+                page = parse(text.as_py())
+                content = hashlib.md5("\n".join(blocks(page, set())).encode("utf-8", "surrogatepass")).digest()
+                rows.append((name, content, *_bits(root, places, page)))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["host", "content", "met", "same"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            for name, *bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                met, same = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in bits)
+                for k in np.flatnonzero(met).tolist():
+                    seen = sums[name, k]
+                    seen[0] += 1
+                    seen[1] += int(same[k])
             yield pa.record_batch([pa.array([h for h, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.int64())], ["host", "node", "met", "same"])
 
-    met = _handed(rows.select("host", "html"), refs.select("host", "ref"), F.length("ref")).mapInArrow(align, "host string, node int, met long, same long")
-    fixed = met.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
+    aligned = _handed(rows.select("host", "html"), refs.select("host", "ref"), F.length("ref")).mapInArrow(align, "host string, content binary, met binary, same binary")
+    once = aligned.groupBy("host", "content").agg(F.min(F.struct("met", "same")).alias("bits")).select("host", "bits.met", "bits.same")
+    fixed = once.mapInArrow(count, "host string, node int, met long, same long").groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
     fixed = fixed.where((F.col("met") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SHARE * F.col("met"))).groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("template"))
     return stage(refs.join(fixed, F.col("host") == F.col("h"), "left").select("host", "ref", F.coalesce("template", F.array().cast("array<int>")).alias("template")), "wrappers")
 
@@ -301,7 +342,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for name, text, ref, fixed in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
                 root = parse(text.as_py() or "")
                 template: set[int] = set()
-                if fixed and not regions(root)[1]:
+                if fixed:
                     first, places = known.get(name, ref.as_py())
                     chosen = set(fixed)
                     template = {id(y) for x, y in match(first, root)[1] if places[id(x)] in chosen and x.own_text() == y.own_text()}

@@ -450,6 +450,16 @@ def test_main_text(spark):
     assert wrappers.blocks(tree, set()) == ["a"] and wrappers.blocks(wrappers.parse("<div class='content'>a<form>f</form><div class='page-menu'>m</div></div>"), set()) == ["a"]
 
 
+def test_constant_blocks_of_articles_are_template(spark):
+    rows = [(i, f"http://a.org/{i}", "<body><article><p class=k7>Our paper since 1900</p>" + f"<p>story {i}</p>" * (i + 1) + "<div class=x9f><p>By the staff</p></div><p>bare</p></article></body></html>") for i in range(5)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<body><article><p class=t>one text</p><p class=t>for all</p></article><aside>{i}</aside></body></html>") for i in range(6)]
+    rows += [(20 + i, f"http://c.org/{i}", f"<body><main><p>fixed</p><p>part {i}</p></main></body></html>") for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == ["\n".join([f"story {i}"] * (i + 1) + ["bare"]) for i in range(5)]
+    assert {got[10 + i] for i in range(6)} == {"one text\nfor all"}
+    assert [got[20 + i] for i in range(5)] == [f"part {i}" for i in range(5)]
+
+
 def test_main_text_of_given_pages(spark):
     from html import unescape
 
