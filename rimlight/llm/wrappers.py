@@ -1,7 +1,9 @@
 """Main text of HTML pages by wrapper induction over the pages of a host.
 
-Each host has a reference page, its first complete one. Every page of the host is aligned with it by simple tree
+Each host has a reference page, its first complete one, and so has each of its layouts: pages with the same kinds of
+sections around articles and main part. Every page is aligned with the references of its host and layout by simple tree
 matching: equal labels (tag, id, class) match, children keep their order, and the matching with most nodes is taken.
+What either of them finds to be template is.
 Over the pages of the host, a reference node that is matched and has the same text in most of them is template; one
 whose text varies is a slot. Pages are counted by distinct content (the text of their content region), so copies count
 once and can't make their own text template. A page's text is that of its slots, and of nodes that match nothing, in
@@ -14,7 +16,8 @@ Each page ships two bits per node of its reference, not its text. References and
 only when their size, which is measured, is below a bound, else by a join on the host.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; broken or cut-off markup is
-closed where it ends; a null id can't be a reference, but its page is extracted; repeated rows get equal results; an
+closed where it ends; a null id is a reference only
+where no page of its layout has one; a node that fewer than four contents have is no template; repeated rows get equal results; an
 empty table gives an empty result; elements nested deeper than 120 count as siblings; further columns are ignored.
 """
 
@@ -25,6 +28,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -260,20 +264,30 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def _handed(rows: DataFrame, table: DataFrame, weight: Column) -> DataFrame:
-    """rows left-joined with the host's row of table, which is broadcast only if it is known to be small."""
+def layout(text: Column) -> Column:
+    """A hash of the distinct sections (tag, id and class, digits as 0) that a page has around its articles and main part."""
+    around = F.regexp_replace(text, r"(?is)<!--.*?(?:-->|$)|<(script|style|article|main)\b.*?(?:</\1\s*>|$)", " ")
+    tags = F.regexp_extract_all(around, F.lit(r"(?i)<(?:div|section|nav|header|footer|aside|form|table)\b[^>]*+"), F.lit(0))
+    kinds = F.transform(tags, lambda x: F.regexp_replace(F.concat_ws(" ", *(F.regexp_extract(x, p, 0) for p in (r"^<\w+", r"(?i)\sid\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)", r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)"))), "[0-9]+", "0"))
+    return F.xxhash64(F.array_sort(F.array_distinct(kinds)))
+
+
+def _handed(rows: DataFrame, table: DataFrame, weight: Column, keys: tuple[str, ...] = ("host",), how: str = "left") -> DataFrame:
+    """rows joined with their row of table by keys; the table is broadcast only if it is known to be small."""
     size = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    table = table.withColumnRenamed("host", "_host")
-    return rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, F.col("host") == F.col("_host"), "left").drop("_host")
+    for k in keys:
+        table = table.withColumnRenamed(k, f"_{k}")
+    on = reduce(Column.__and__, (F.col(k) == F.col(f"_{k}") for k in keys))
+    return rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, on, how).drop(*(f"_{k}" for k in keys))
 
 
 class _References:
-    """Parsed reference pages of the hosts at hand."""
+    """Parsed reference pages of the hosts and layouts at hand."""
 
     def __init__(self, most: int = 64) -> None:
         self.held, self.most = {}, most
 
-    def get(self, key: str, text: str) -> tuple[Node, dict[int, int]]:
+    def get(self, key: tuple[str, int | None], text: str) -> tuple[Node, dict[int, int]]:
         if key not in self.held:
             if len(self.held) >= self.most:
                 self.held.clear()
@@ -291,63 +305,91 @@ def _bits(root: Node, places: dict[int, int], page: Node) -> tuple[bytes, bytes]
     return np.packbits(bits[0]).tobytes(), np.packbits(bits[1]).tobytes()
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, ref, template): each host's reference page and the places of its nodes whose text most pages repeat."""
+def _both(rows: DataFrame, layouts: DataFrame, hosts: DataFrame) -> DataFrame:
+    """rows with the columns of their layout, and host_ref and so on; where both references are one page (alone), host_ref is null."""
+    weight = F.length("ref") + (4 * F.size("template") if "template" in hosts.columns else 0)
+    rows = _handed(rows, layouts, weight, ("host", "layout"))
+    names = {c: f"host_{c}" for c in hosts.columns if c != "host"}
+    rows = _handed(rows.withColumnsRenamed({c: f"own_{c}" for c in names}), hosts, weight).withColumnsRenamed(names).withColumnsRenamed({f"own_{c}": c for c in names})
+    alone = F.coalesce(F.col("digest") == F.col("host_digest"), F.lit(False))
+    return rows.withColumns({"alone": alone, "host_ref": F.when(~alone, F.col("host_ref"))})
+
+
+def induce(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, layout, digest, ref, template) of layouts and (host, digest, ref, template) of hosts: their reference pages
+    and the places of the nodes in these whose text most pages repeat."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
-    whole = F.col("html").rlike(r"(?i)</html\s*>\s*$")
-    firsts = rows.groupBy("host").agg(F.coalesce(F.min(F.when(whole, F.col("page_id"))), F.min("page_id")).alias("ref_id"), F.count("*").alias("pages"))
-    firsts = stage(firsts.where("ref_id is not null"), "references")
-    refs = _handed(rows, firsts, F.lit(64)).where("page_id = ref_id").groupBy("host").agg(F.max("html").alias("ref"), F.max("pages").alias("pages"))
-    refs = stage(refs, "references")
+    rows = rows.withColumns({"layout": layout(F.col("html")), "digest": F.md5(F.col("html").cast("binary"))})
+    broken = ~F.col("html").rlike(r"(?i)</html\s*>\s*$")
+    firsts = rows.groupBy("host", "layout").agg(F.min(F.struct(broken.alias("broken"), F.col("page_id").isNull().alias("none"), "page_id", "digest")).alias("first"), F.count("*").alias("pages"))
+    firsts = stage(firsts, "references")
+    hosts = firsts.groupBy("host").agg(F.min("first").alias("first"), F.sum("pages").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES).select("host", "first.digest")
+    layouts = firsts.where(F.col("pages") >= TEMPLATE_PAGES).select("host", "layout", "first.digest")
+    wanted = stage(hosts.unionByName(layouts.drop("layout")).distinct(), "references")
+    refs = stage(_handed(rows.select("host", "digest", "html"), wanted, F.lit(96), ("host", "digest"), "inner").groupBy("host", "digest").agg(F.max("html").alias("ref")), "references")
+    hosts, layouts = stage(hosts.join(refs, ["host", "digest"]), "references"), stage(layouts.join(refs, ["host", "digest"]), "references")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _References()
         for b in batches:
             rows = []
-            for name, text, ref in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                if ref.as_py() is None:
+            for name, kind, text, ref, whole, alone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
+                if not (ref.is_valid or whole.is_valid):
                     continue
-                root, places = known.get(name, ref.as_py())
                 page = parse(text.as_py())
                 content = hashlib.md5("\n".join(blocks(page, set())).encode("utf-8", "surrogatepass")).digest()
-                rows.append((name, content, *_bits(root, places, page)))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["host", "content", "met", "same"])
+                bits = None
+                if ref.is_valid:
+                    bits = _bits(*known.get((name, kind), ref.as_py()), page)
+                    rows.append((name, kind, content, *bits))
+                if alone or whole.is_valid:
+                    rows.append((name, None, content, *(bits if alone else _bits(*known.get((name, None), whole.as_py()), page))))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["host", "layout", "content", "met", "same"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-            for name, *bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            sums: dict[tuple[str, int | None, int], list[int]] = defaultdict(lambda: [0, 0])
+            for name, kind, *bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 met, same = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in bits)
                 for k in np.flatnonzero(met).tolist():
-                    seen = sums[name, k]
+                    seen = sums[name, kind, k]
                     seen[0] += 1
                     seen[1] += int(same[k])
-            yield pa.record_batch([pa.array([h for h, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.int64())], ["host", "node", "met", "same"])
+            keys = [pa.array([x[i] for x in sums], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32()))]
+            yield pa.record_batch([*keys, *(pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(2))], ["host", "layout", "node", "met", "same"])
 
-    aligned = _handed(rows.select("host", "html"), refs.select("host", "ref"), F.length("ref")).mapInArrow(align, "host string, content binary, met binary, same binary")
-    once = aligned.groupBy("host", "content").agg(F.min(F.struct("met", "same")).alias("bits")).select("host", "bits.met", "bits.same")
-    fixed = once.mapInArrow(count, "host string, node int, met long, same long").groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
-    fixed = fixed.where((F.col("met") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SHARE * F.col("met"))).groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("template"))
-    return stage(refs.join(fixed, F.col("host") == F.col("h"), "left").select("host", "ref", F.coalesce("template", F.array().cast("array<int>")).alias("template")), "wrappers")
+    aligned = _both(rows.select("host", "layout", "html"), layouts, hosts).select("host", "layout", "html", "ref", "host_ref", "alone").mapInArrow(align, "host string, layout long, content binary, met binary, same binary")
+    once = aligned.groupBy("host", "layout", "content").agg(F.min(F.struct("met", "same")).alias("bits")).select("host", "layout", "bits.met", "bits.same")
+    fixed = once.mapInArrow(count, "host string, layout long, node int, met long, same long").groupBy("host", "layout", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
+    fixed = fixed.where((F.col("met") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SHARE * F.col("met"))).groupBy("host", "layout").agg(F.collect_list("node").alias("template"))
+    fixed = stage(fixed, "wrappers")
+    none = F.coalesce("template", F.array().cast("array<int>")).alias("template")
+    layouts = layouts.join(fixed.where("layout is not null"), ["host", "layout"], "left").select("host", "layout", "digest", "ref", none)
+    hosts = hosts.join(fixed.where("layout is null").drop("layout"), "host", "left").select("host", "digest", "ref", none)
+    return stage(layouts, "wrappers"), stage(hosts, "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("layout", layout(F.col("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _References()
         for b in batches:
             texts = []
-            for name, text, ref, fixed in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5).to_pylist(), strict=True):
+            for name, kind, text, ref, fixed, whole, most, alone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), b.column(6).to_pylist(), b.column(7), b.column(8).to_pylist(), b.column(9).to_pylist(), strict=True):
                 root = parse(text.as_py() or "")
                 template: set[int] = set()
-                if fixed:
-                    first, places = known.get(name, ref.as_py())
-                    chosen = set(fixed)
-                    template = {id(y) for x, y in match(first, root)[1] if places[id(x)] in chosen and x.own_text() == y.own_text()}
+                if alone:
+                    fixed, most = [*fixed, *most], None
+                for key, held, places_of in (((name, kind), ref, fixed), ((name, None), whole, most)):
+                    if places_of:
+                        first, places = known.get(key, held.as_py())
+                        chosen = set(places_of)
+                        template |= {id(y) for x, y in match(first, root)[1] if places[id(x)] in chosen and x.own_text() == y.own_text()}
                 texts.append("\n".join(blocks(root, template)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    wrapped = _handed(rows, induce(pages), F.length("ref") + 4 * F.size("template"))
-    return wrapped.select("page_id", "url", "host", "html", "ref", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    wrapped = _both(rows, *induce(pages))
+    return wrapped.select("page_id", "url", "host", "layout", "html", "ref", "template", "host_ref", "host_template", "alone").mapInArrow(run, "page_id long, url string, text string, n_chars long")

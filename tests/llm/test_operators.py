@@ -460,6 +460,18 @@ def test_constant_blocks_of_articles_are_template(spark):
     assert [got[20 + i] for i in range(5)] == [f"part {i}" for i in range(5)]
 
 
+def test_copies_and_layouts_of_a_host(spark):
+    rows = [(i, "http://a.org/x", "<body><p>one</p><p>two</p></body></html>") for i in range(6)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<body><div id=top><p>slogan</p></div><div class=body><p>page {i}</p></div></body></html>") for i in range(8)]
+    rows += [(20 + i, f"http://b.org/{i}", f"<body><table class=frame><tr><td>masthead<tr><td>item {i}<tr><td>imprint</table></body></html>") for i in range(5)]
+    rows += [(None, f"http://c.org/{i}", f"<body><div><p>fixed</p></div><p>text {i}</p></body></html>") for i in range(5)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert [got[i] for i in range(6)] == ["one\ntwo"] * 6
+    assert [got[10 + i] for i in range(8)] == [f"page {i}" for i in range(8)] and [got[20 + i] for i in range(5)] == [f"item {i}" for i in range(5)]
+    assert sorted(r.text for r in out if r.page_id is None) == [f"text {i}" for i in range(5)]
+
+
 def test_main_text_of_given_pages(spark):
     from html import unescape
 
