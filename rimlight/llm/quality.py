@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rimlight.llm.common import stage
@@ -139,21 +139,27 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the five measures and the votes as one base-3 number per document."""
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", pattern long"
+    """doc_id, key (digest of the text), the five measures and the votes as one base-3 number per document."""
+    schema = "doc_id long, key string, " + ", ".join(f"{m} long" for m in MEASURES) + ", pattern long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [votes(x.as_py(), rules) for x in b.column(1)]
+            rows = [votes(x.as_py(), rules) for x in b.column(2)]
             found = np.array([m for m, _ in rows], np.int64).reshape(-1, 5)
             codes = [sum((v + 1) * 3**i for i, v in enumerate(vs)) for _, vs in rows]
-            yield pa.record_batch([b.column(0), *(pa.array(found[:, i]) for i in range(5)), pa.array(codes, pa.int64())], ["doc_id", *MEASURES, "pattern"])
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(found[:, i]) for i in range(5)), pa.array(codes, pa.int64())], ["doc_id", "key", *MEASURES, "pattern"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text")).mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """doc_id, measures, base_failed, quality (posterior that the text is good) and kept, one row per row of docs."""
+def _key(text: Column) -> Column:
+    """What a verdict depends on: the text; null and empty ones are judged alike."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _judged(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """The columns of `judge` and the texts' keys."""
     table = stage(measured(docs, rules), "quality")
     rows = table.groupBy("pattern").count().collect()  # 3 ** rules rows at most
     codes = np.array(sorted((r.pattern, r["count"]) for r in rows), np.int64).reshape(-1, 2)
@@ -163,10 +169,15 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RUL
     known = docs.sparkSession.createDataFrame(scores, "pattern long, quality double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     out = table.join(F.broadcast(known), "pattern")
-    return out.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality")
+    return out.select("doc_id", "key", *MEASURES, failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality")
+
+
+def judge(docs: DataFrame, **params: float) -> DataFrame:
+    """doc_id, measures, base_failed, quality (posterior that the text is good) and kept, one row per row of docs."""
+    return _judged(docs, **params).drop("key")
 
 
 def keep(docs: DataFrame, **params: float) -> DataFrame:
-    """The rows of docs that `judge` keeps, with docs' own columns. Rows of one id share a verdict: rejected if any is."""
-    bad = judge(docs, **params).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_rejected"]), "left_anti")
+    """The rows of docs that `judge` keeps, with docs' own columns. Each row has its own text's verdict, whatever its id."""
+    bad = _judged(docs, **params).where(~F.col("kept")).select(F.col("key").alias("_rejected")).distinct()
+    return docs.join(bad, _key(docs["text"].cast("string")) == bad["_rejected"], "left_anti")

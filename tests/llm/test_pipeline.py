@@ -97,6 +97,15 @@ def test_pipeline_like_brute_force(spark):
         assert at <= 1024
 
 
+def test_quality_verdicts_are_of_rows(spark):
+    docs = spark.read.parquet(f"{duck.DATA}/documents.parquet").select("doc_id", "text").limit(200)
+    kept = {r.text for r in quality.keep(docs).collect()}
+    shared = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 - 1).cast("long"))
+    shared = shared.unionByName(spark.createDataFrame([(None, ""), (None, None), (0, "")], shared.schema))
+    got = Counter((r.doc_id, r.text) for r in quality.keep(shared).collect())
+    assert got == Counter((r.doc_id, r.text) for r in shared.collect() if r.text in kept) and {d for d, _ in got} == {None, 0, 1}
+
+
 def test_stages_keep_columns_and_stand_odd_rows(spark):
     docs = spark.read.parquet(f"{duck.DATA}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (10**6 + 1, "word " * 5000, None, "src0", 7), (None, "a b " * 60, "en", "src1", 3)], docs.schema)
