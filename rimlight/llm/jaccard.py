@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimlight.llm.common import LOWER, mix, pieces, small, stage, utf8, word_hashes, words
@@ -79,19 +79,26 @@ def prefix_length(n: int) -> int:
     return n - math.ceil(PERCENT * n / 100) + 1
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n and cls (null for an empty set) of each row of docs."""
+def classes(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n and cls (null for an empty set) of each row of docs; with key, the row's digest, if keyed."""
+    key = [_row_key(docs).alias("key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(len(s), class_of(s) if len(s) else None) for s in _sets(b.column(1))]
-            yield pa.record_batch([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["doc_id", "n", "cls"])
+            yield pa.record_batch([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64()), *b.columns[2:]], ["doc_id", "n", "cls", "key"][: b.num_columns + 1])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cls long")
+    return _texts(docs, *key).mapInArrow(run, "doc_id long, n long, cls long" + ", key string" * keyed)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A digest of a row's id and text."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
 
 
 # A blob: uint32 counts of classes and shingles; classes int64, n int32, dealt int32; then, of the shingles in order,
@@ -378,10 +385,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "cls long, set binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+def _named(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the rows of `classes`, (c, first): the smallest id of each class's component, or if keyed the key of its first row)."""
     spark = docs.sparkSession
-    table = stage(classes(docs), "classes")
+    table = stage(classes(docs, keyed), "classes")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 << 20) + 1)
     prefix = stage(prefixes(shared(dealt_out(docs, buckets), buckets)), "prefixes")
@@ -399,21 +406,31 @@ def join(docs: DataFrame) -> DataFrame:
     more = stage(within(rearranged(stage(placed.join(open_groups, "token", "left_semi"), "open")), sets), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
-    first = table.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    first = table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key") if keyed else "doc_id").alias("rep"))
     first = first.join(roots, F.col("cls") == F.col("v"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
-    small = first.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = first.join(small, "comp").select(F.col("cls").alias("c"), "component_id")
+    small = first.groupBy("comp").agg(F.min("rep").alias("first"))
+    return table, first.join(small, "comp").select(F.col("cls").alias("c"), F.col("first.key" if keyed else "first").alias("first"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+    table, named = _named(docs)
     out = table.join(named, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs' rows with one document of each component: the one with the smallest id, once. Rows without an id stay."""
-    found = join(docs).where("doc_id is not null")
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    """docs' rows with one row of each component, once: the one with the smallest id, one without an id only if none has one.
+
+    Rows are told apart by id and text, so one id on several texts ties nothing. Rows with an empty set stay, but repeats
+    of an id count once.
+    """
+    table, named = _named(docs, keyed=True)
+    gone = table.join(named, F.col("cls") == F.col("c")).where("key != first").select(F.col("key").alias("_gone")).distinct()
+    kept = docs.join(gone, _row_key(docs) == gone["_gone"], "left_anti")
+    again = table.where("cls is not null or doc_id is not null").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_anti").unionByName(once)
+    rows = kept.withColumn("_row", _row_key(docs))
+    once = rows.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])
+    return rows.join(again, F.col("_row") == F.col("_again"), "left_anti").unionByName(once).drop("_row")

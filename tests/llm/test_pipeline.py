@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rimlight.llm import packing, quality
+from rimlight.llm import jaccard, packing, quality
 from tests import duck
 from tests.llm.test_operators import base_spans, groups_of
 
@@ -106,6 +106,15 @@ def test_quality_verdicts_are_of_rows(spark):
     assert got == Counter((r.doc_id, r.text) for r in shared.collect() if r.text in kept) and {d for d, _ in got} == {None, 0, 1}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = a.replace("a39", "zz")
+    rows = [(None, a), (None, a), (None, near), (7, a), (5, near), (5, b), (3, b), (9, c), (9, d), (None, d), (None, "e f g"), (None, "e f g"), (4, ""), (None, None), (8, c)]
+    out = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(5, near), (3, b), (8, c), (9, d), (None, "e f g"), (4, ""), (None, None)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr) and out.columns == ["doc_id", "text"]
+
+
 def test_stages_keep_columns_and_stand_odd_rows(spark):
     docs = spark.read.parquet(f"{duck.DATA}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (10**6 + 1, "word " * 5000, None, "src0", 7), (None, "a b " * 60, "en", "src1", 3)], docs.schema)
