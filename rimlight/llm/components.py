@@ -30,4 +30,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not closed after {rounds} rounds")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))

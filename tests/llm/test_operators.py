@@ -339,6 +339,8 @@ def test_components(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, 5: 3, 9: 3, 300: 200, 250: 200, 2: 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
