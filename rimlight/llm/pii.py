@@ -5,7 +5,9 @@ of its kind. Candidates are other words with a digit or an @. Patterns and what
 rounds: a pattern's confidence is the mean confidence of the distinct instances that follow it, an instance's is the
 noisy-or over its confident patterns; seeds start at 1, all else at 0. A pattern is confident if `support` distinct
 instances of weight carry it and its confidence reaches `precision`. Candidates behind confident patterns become
-spans of the pattern's kind, beside the base ones, which stay.
+spans of the pattern's kind, beside the base ones, which stay; a span that starts with a group of digits goes on over
+the groups that follow it, one white-space character apart. Contexts are taken from the text before a match, whatever
+matches lie in it.
 
 One pass over the texts finds base spans and candidates with their offsets; the rounds work on the pairs alone. A
 match's offset is the sum of what lies before it: the matches and the pieces between them, from `split` and
@@ -43,7 +45,10 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 CANDIDATE = rf"(?<!{_WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+"
+#: A word that is one group of a number written in several.
+GROUP = r"^[(+]*[0-9][0-9()./-]*[.,;:!?]*$"
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string,left:string>>"
+_LOOSE = _SPAN.replace(">>", ",last:int>>")
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -64,9 +69,9 @@ def _valid(kind: str, m: Column) -> Column:
     return F.when(n.between(12, 19), F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(19))), F.lit(0), luhn) % 10 == 0).otherwise(False)
 
 
-def _left(gap: Column) -> Column:
-    """The last two words before a match, lower-cased, digits as 0; within the last 80 characters."""
-    two = F.regexp_extract(F.right(gap, F.lit(80)), rf"(?:({_WORD}+){_SPACE}+)?({_WORD}+){_SPACE}*+$", 0)
+def _left(before: Column) -> Column:
+    """The last two words of the 80 characters before a match, lower-cased, digits as 0."""
+    two = F.regexp_extract(before, rf"(?:({_WORD}+){_SPACE}+)?({_WORD}+){_SPACE}*+$", 0)
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(two)), "[0-9]", "0"), rf"{_SPACE}+", " ")
 
 
@@ -74,14 +79,16 @@ def _spans(text: Column, pattern: str, kind: int, valid) -> Column:  # noqa: ANN
     """All valid matches of a pattern with offsets in code points, in order."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(matches.alias("m"), F.split(text, pattern, -1).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         m, begin = x["m"], state["at"] + F.length(x["g"])
+        before = F.right(F.concat(state["tail"], F.right(x["g"], F.lit(80))), F.lit(80))
         end = begin + F.length(m)
-        found = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"), _left(x["g"]).alias("left"))
+        found = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"), _left(before).alias("left"))
         out = F.when(m.isNotNull() & valid(m), F.concat(state["out"], F.array(found))).otherwise(state["out"])
-        return F.struct(F.coalesce(end, begin).alias("at"), out.alias("out"))
+        tail = F.right(F.concat(before, F.right(F.coalesce(m, F.lit("")), F.lit(80))), F.lit(80))
+        return F.struct(F.coalesce(end, begin).alias("at"), tail.alias("tail"), out.alias("out"))
 
     return F.aggregate(zipped, start, step, lambda s: s["out"])
 
@@ -104,12 +111,26 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text", base_spans(F.col("text")).alias("base"))
     could = F.col("text").rlike("[0-9@]")
     strip = r"^[(\[<\"']++|[)\]>\"'.,;:!?]++$"
-    loose = _spans(F.col("text"), CANDIDATE, -1, lambda m: F.length(m) <= 200)
-    inner = F.transform(loose, lambda s: F.struct((s["start"] + F.length(F.regexp_extract(s["value"], r"^[(\[<\"']*", 0))).alias("start"), F.regexp_replace(s["value"], strip, "").alias("value"), s["left"]))
-    inner = F.transform(inner, lambda s: F.struct(s["start"], (s["start"] + F.length(s["value"])).alias("end"), F.lit(-1).alias("kind"), s["value"], s["left"]))
-    rows = rows.withColumn("loose", F.when(could, inner).otherwise(F.array().cast(_SPAN)))
-    free = F.filter("loose", lambda c: (c["value"].rlike("[0-9@]")) & (c["left"] != "") & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return stage(rows.select("doc_id", "key", "base", free.alias("loose")), "pii")
+    loose = _spans(F.col("text"), CANDIDATE, -1, lambda m: F.lit(True))
+    first = lambda s: s["start"] + F.length(F.regexp_extract(s["value"], r"^[(\[<\"']*", 0))
+    inner = F.transform(loose, lambda s: F.struct(first(s).alias("start"), F.regexp_replace(s["value"], strip, "").alias("value"), s["left"], s["start"].alias("a"), s["end"].alias("b"), s["value"].rlike(GROUP).alias("group"), s["value"].rlike(r"[0-9)]$").alias("open")))
+    inner = F.transform(inner, lambda s: F.struct(s["start"], (s["start"] + F.length(s["value"])).alias("end"), F.lit(-1).alias("kind"), s["value"], s["left"], s["a"], s["b"], s["group"], s["open"]))
+    rows = rows.withColumn("loose", F.when(could, inner))
+    free = F.filter("loose", lambda c: (c["value"].rlike("[0-9@]")) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    rows = rows.withColumn("loose", F.coalesce(F.filter(_runs(free), lambda c: c["left"] != ""), F.array().cast(_LOOSE)))
+    return stage(rows.select("doc_id", "key", "base", "loose"), "pii")
+
+
+def _runs(found: Column) -> Column:
+    """Candidates with `last`, the end of the run of digit groups that starts with each; from the last one on."""
+    start = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("last"), F.lit(False).alias("group"), F.array().cast(_LOOSE).alias("out"))
+
+    def step(state: Column, c: Column) -> Column:
+        last = F.when(c["group"] & c["open"] & state["group"] & (state["a"] == c["b"] + 1), state["last"]).otherwise(c["end"])
+        one = F.struct(c["start"], c["end"], c["kind"], c["value"], c["left"], last.alias("last"))
+        return F.struct(c["a"].alias("a"), last.alias("last"), c["group"].alias("group"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(F.reverse(found), start, step, lambda s: s["out"])
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -118,7 +139,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 def patterns(found: DataFrame, rounds: int = 2, support: float = 3.0, precision: float = 0.9) -> DataFrame:
     """(left, kind, confidence) of the confident patterns of `scanned` rows, by rounds over the pattern-instance graph."""
-    both = found.select(F.explode(F.concat("base", "loose")).alias("s")).select(F.col("s.left").alias("left"), F.col("s.value").alias("value"), F.col("s.kind").alias("kind"))
+    both = found.select(F.explode(F.concat("base", F.transform("loose", lambda c: F.struct(c["start"], c["end"], c["kind"], c["value"], c["left"])))).alias("s")).select(F.col("s.left").alias("left"), F.col("s.value").alias("value"), F.col("s.kind").alias("kind"))
     pairs = stage(both.where("left != ''").groupBy("left", "value").agg(F.max("kind").alias("kind")), "pairs")
     # patterns that no two distinct seeds of a kind carry can never become confident, whatever the rounds
     seeds = pairs.where("kind >= 0").select("value", "kind", F.lit(1.0).alias("sure")).distinct()
@@ -137,7 +158,7 @@ def patterns(found: DataFrame, rounds: int = 2, support: float = 3.0, precision:
 def discovered(found: DataFrame, confident: DataFrame) -> DataFrame:
     """(key, more): the spans that confident patterns add to each row; of several kinds the surest, then the first, counts."""
     kinds = confident.groupBy("left").agg(F.min_by("kind", F.struct(-F.col("confidence"), "kind")).alias("kind"))
-    rows = found.select("key", F.explode("loose").alias("s")).select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.left").alias("left"))
+    rows = found.select("key", F.explode("loose").alias("s")).select("key", F.col("s.start").alias("start"), F.col("s.last").alias("end"), F.col("s.left").alias("left"))
     return rows.join(kinds, "left").groupBy("key").agg(F.collect_set(F.struct("start", F.col("kind").alias("k"), "end")).alias("more"))
 
 

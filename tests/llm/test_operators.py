@@ -426,6 +426,18 @@ def test_pii_patterns_discover_and_mask(spark):
     assert tie[0].endswith(" x") and "1111" not in tie[0] and tie[1] is None
 
 
+def test_pii_contexts_and_number_groups(spark):
+    long = "x" * 300 + "@intranet"
+    texts = [f"{i} call me at +49 (0) 30 12345{i:02d}" for i in range(12)] + ["call me at 030 1234 5678 or 7 times", "call me at (030) 1234."]
+    texts += [f"row {i} 00 mail u{i}@host.org" for i in range(12)] + [f"row 5 77 mail {long}"]
+    texts += [f"u{i}@one.org v{i}@two.org" for i in range(3)]
+    masked = {r.doc_id: r.text for r in pii.redact(documents(spark, texts)).collect()}
+    assert masked[12] == "call me at <PHONE> or 7 times" and masked[13] in ("call me at (<PHONE>.", "call me at (<PHONE>).")
+    assert masked[26] == "row 5 77 mail <EMAIL>"
+    left = {s.value: s.left for r in pii.scanned(documents(spark, texts)).collect() for s in r.base}
+    assert left["v1@two.org"] == "u0@one.org"
+
+
 def test_pii_is_native(spark):
     plan = pii.find(some(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
