@@ -30,7 +30,8 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing by the public byte-level vocabulary; its folder is found where the package of vocabularies lies."""
     import public_tokenizers
 
-    return packing.digest(packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, GPT_SPECIALS))
+    file, ranks = (str(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("json", "tiktoken"))
+    return packing.digest(packing.pack(docs, file, ranks, public_tokenizers.PATTERN, GPT_SPECIALS))
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,16 @@ def test_packing_is_exact(spark):
     assert queries.pack_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "\n" * 2_000_000, "a" * 1_000_000, "y " + "\u00a0\t" * 600_000 + "z", "ab " * 50_000 + " " * 150_000])
+def test_ids_of_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file, ranks = (str(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("json", "tiktoken"))
+    got = packing.encoder(file, ranks, public_tokenizers.PATTERN, queries.GPT_SPECIALS)(text)
+    assert got == Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+
+
 def test_harmonic_classes():
     for n in range(1, 3000):
         parts = packing.cut(n)
