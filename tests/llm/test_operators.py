@@ -461,12 +461,12 @@ def test_main_text(spark):
         return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var x='</p>';</script></head><body>{body}</body></html>"
 
     nav = "<nav><ul><li><a href=/>Home {0}</a></li></ul></nav><div class='cookie-notice'>cookies {0}</div>"
-    rows = [(i, f"http://a.org/{i}", page(i, nav.format(i) + f"<!-- c --><article><h1>T&eacute; {i}</h1><p>one  {i}<br>two<p>b <b>c</b>&nbsp;d</p><ul><li>x<li>y</ul><section class=comments>no</section></article><footer>f</footer>")) for i in range(6)]
+    rows = [(i, f"http://a.org/{i}", page(i, nav.format(i) + f"<!-- c --><article><h1>T&eacute; {i}</h1><p>one  {i}<br>two<p>b <b>c{i}</b>&nbsp;d</p><ul><li>x{i}<li>y{i}</ul><section class=comments>no {i}</section></article><footer>f</footer>")) for i in range(6)]
     rows += [(100 + i, f"http://b.org/{i}", page(i, f"<div id=top>Our slogan</div><div><p>words of page {i}</p></div><div>Fixed line</div><div><a href=/>all {i} links</a></div>")) for i in range(6)]
     rows += [(200, None, None), (201, "x", ""), (202, "http://c.org", "<p>cut &am"), (203, "http://c.org", "<article>" + "<div>" * 500 + "deep"), (None, "http://c.org", "<p>a<p>b <a href='x"), (204, "http://d", "plain &amp; simple")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
     got = {r.page_id: r for r in wrappers.extract(df).collect()}
-    assert got[3].text == "Té 3\none 3 two\nb c d\nx\ny" and got[3].n_chars == len(got[3].text)
+    assert got[3].text == "Té 3\none 3 two\nb c3 d\nx3\ny3" and got[3].n_chars == len(got[3].text)
     assert got[103].text == "words of page 3"
     assert [got[i].text for i in (200, 201, 202, 203, None, 204)] == ["", "", "cut &am", "deep", "a\nb", "plain & simple"]
     assert len(got) == len(rows) and wrappers.extract(df.limit(0)).count() == 0
@@ -512,6 +512,86 @@ def test_tree_matching():
     n, pairs = wrappers.match(a, b)
     assert n == len(pairs) == 5 and {x.tag for x, _ in pairs} == {"#page", "div", "p", "ul", "li"}
     assert wrappers.match(a, a)[0] == a.size
+    a, b = wrappers.parse("<div><div>ad</div><div><p>1</p><p>2</p><p>3</p></div></div>"), wrappers.parse("<div><div><p>4</p><p>5</p><p>6</p></div></div>")
+    assert wrappers.match(a, b)[0] == 6  # with the page itself
+
+
+def plain_matching(a, b):
+    """Simple tree matching as it is defined, without any short cut."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(x, y))
+    return best[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [1, wrappers.CELLS])
+def test_tree_matching_like_its_definition(monkeypatch, cells):
+    monkeypatch.setattr(wrappers, "CELLS", cells)
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        tag = ("div", "b", "i", "section")[rng.integers(0, 4)]
+        inner = "".join(tree(depth - 1) for _ in range(rng.integers(0, 5))) if depth else ""
+        return f"<{tag}>{'xyz'[rng.integers(0, 3)] * int(rng.integers(0, 2))}{inner}</{tag}>"
+
+    memo = {}
+    for _ in range(150):
+        a, b = (wrappers.parse("".join(tree(2) for _ in range(rng.integers(1, 6)))) for _ in range(2))
+        n, pairs = wrappers.match(a, b, memo)
+        assert n == len(pairs) == plain_matching(a, b)
+        place = [{id(x): i for i, x in enumerate(wrappers.in_order(t))} for t in (a, b)]
+        up = [{id(k): id(x) for x in wrappers.in_order(t) for k in x.kids} for t in (a, b)]
+        spots = sorted((place[0][id(x)], place[1][id(y)]) for x, y in pairs)
+        assert all(x.label == y.label for x, y in pairs) and len({p for p, _ in spots}) == len({q for _, q in spots}) == n
+        assert all(p[1] < q[1] for p, q in zip(spots, spots[1:], strict=False))  # order is kept
+        mates = {id(x): id(y) for x, y in pairs}
+        assert all(mates[up[0][x]] == up[1][y] for x, y in mates.items() if x in up[0])
+
+
+def test_equal_texts_are_paired():
+    a, b = wrappers.parse("<p>one<p>two<p>fixed"), wrappers.parse("<p>three<p>four<p>five<p>fixed<p>six")
+    assert ("fixed", "fixed") in {(x.said, y.said) for x, y in wrappers.match(a, b)[1]}
+
+
+def test_only_alignment_tells(spark, monkeypatch):
+    """No tag or name says what is content: a constant line in an article, a constant part, a short slot beside the long one."""
+    rows = [(i, f"http://a.org/{i}", f"<body><article><p>story {i} told at some length, as stories are</p><p>All rights with the paper</p><p>and its end {i} after more words of it</p></article></body></html>") for i in range(9)]
+    rows += [(20 + i, f"http://b.org/{i}", f"<body><div class=q1><div>buy {i}</div></div><div class=q2><div>fixed words</div><div>a long part {i} of this page that goes on for a while, longer than the other one and all of it</div><div>more {i}</div></div></body></html>") for i in range(9)]
+    rows += [(40, "http://b.org/x", "<body><table><tr><td>other layout</td></tr></table></body></html>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    for i in range(9):
+        assert got[i] == f"story {i} told at some length, as stories are\nand its end {i} after more words of it"
+        assert got[20 + i] == f"a long part {i} of this page that goes on for a while, longer than the other one and all of it\nmore {i}"
+    assert got[40] == "other layout"
+    assert {r.page_id: r.text for r in wrappers.extract(df, most=0).collect()} == got  # references dealt out instead of broadcast
+    for share in ("TEMPLATE_SHARE", "BARE_SHARE"):  # nothing is template any more
+        monkeypatch.setattr(wrappers, share, 1.1)
+    monkeypatch.setattr(wrappers, "REGION_SHARE", 1.1)
+    bare = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert "All rights with the paper" in bare[3] and "fixed words" in bare[23] and "buy 3" in bare[23]
+
+
+def test_near_copies_and_quotes_make_no_template(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"http://a.org/{i}", f"<body><article><p>{words}</p><p>{words[::-1]}</p><p>edit {i}</p></article></body></html>") for i in range(12)]
+    rows += [(20 + i, f"http://b.org/{i}", f"<body><article><p>{'a quoted line' if i % 4 else 'its own'}</p><p>{'word ' * 20}{i}</p></article></body></html>") for i in range(12)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(12)} == {i: f"{words}\n{words[::-1]}\nedit {i}" for i in range(12)}
+    assert all(got[20 + i].startswith("a quoted line" if i % 4 else "its own") for i in range(12))
+
+
+def test_odd_markup_is_read_in_linear_time():
+    deep = wrappers.parse("<div>" * 30000 + "<article><div>" + "<b>" * 20000 + "x<hr>" * 2000 + "</div>" * 40000)
+    assert wrappers.joined(((b, x, k) for b, x, _, _, k in wrappers.chunks(deep, {})[0]), True) == "\n".join(["x"] * 2000)
+    assert wrappers.match(deep, deep)[0] == deep.size
+    long = [wrappers.parse("<table>" + "".join(f"<tr><td>{i * k}</td><td>b</td></tr>" for i in range(3000)) + "</table>") for k in (1, 2)]
+    assert wrappers.match(*long)[0] == long[0].size
+    rows = wrappers.parse("<table><tr><td>a<td>b<tr><td>c</table>")
+    assert [k.tag for k in rows.kids[0].kids] == ["tr", "tr"]
 
 
 # --- 9 ---------------------------------------------------------------------------------------------------------------
