@@ -62,6 +62,14 @@ def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unused(columns: list[str]) -> str:
+    """A prefix that no column's name starts with."""
+    mark = "_"
+    while any(c.startswith(mark) for c in columns):
+        mark += "_"
+    return mark
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model learns from: crc32 of the id as text leaves remainder 2 by 4. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))

@@ -2,7 +2,8 @@
 
 Every whole text is measured once in Python and turned into one vote per rule. Votes are then counted by pattern
 (at most 3 ** rules of them, whatever the corpus holds), so that expectation-maximisation runs over all documents
-on a table of bounded size, and each pattern's posterior goes back to its documents by a broadcast of that table.
+on a table of bounded size, and each pattern's posterior goes back to its documents by a broadcast of that table. Where
+documents are filtered, their columns go through the same pass, so that each row meets its own verdict without a join.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept; a null id is a row like any
 other; repeated rows each get the same verdict; an empty table gives an empty result; further columns are ignored.
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rimlight.llm.common import stage
+from rimlight.llm.common import stage, unused
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACES = " \t\n\v\f\r"
@@ -138,46 +140,46 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
 
-def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, key (digest of the text), the five measures and the votes as one base-3 number per document."""
-    schema = "doc_id long, key string, " + ", ".join(f"{m} long" for m in MEASURES) + ", pattern long"
+def measured(docs: DataFrame, mark: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the five measures and the votes as one base-3 number (pattern); mark is put before these names."""
+    text = F.col("text").cast("string").alias(f"{mark}text")
+    rows = docs.select(text, *(F.col(f"`{c}`") for c in docs.columns))
+    schema = StructType([*rows.schema.fields[1:], *(StructField(f"{mark}{m}", LongType()) for m in (*MEASURES, "pattern"))])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [votes(x.as_py(), rules) for x in b.column(2)]
-            found = np.array([m for m, _ in rows], np.int64).reshape(-1, 5)
-            codes = [sum((v + 1) * 3**i for i, v in enumerate(vs)) for _, vs in rows]
-            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(found[:, i]) for i in range(5)), pa.array(codes, pa.int64())], ["doc_id", "key", *MEASURES, "pattern"])
+            found = [votes(x.as_py(), rules) for x in b.column(0)]
+            counts = np.array([m for m, _ in found], np.int64).reshape(-1, 5)
+            codes = [sum((v + 1) * 3**i for i, v in enumerate(vs)) for _, vs in found]
+            yield pa.record_batch([*b.columns[1:], *(pa.array(counts[:, i]) for i in range(5)), pa.array(codes, pa.int64())], names)
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _key(text: Column) -> Column:
-    """What a verdict depends on: the text; null and empty ones are judged alike."""
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-
-
-def _judged(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """The columns of `judge` and the texts' keys."""
-    table = stage(measured(docs, rules), "quality")
-    rows = table.groupBy("pattern").count().collect()  # 3 ** rules rows at most
-    codes = np.array(sorted((r.pattern, r["count"]) for r in rows), np.int64).reshape(-1, 2)
+def _judged(table: DataFrame, mark: str, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """Written `measured` rows with quality, failed and kept, after mark."""
+    rows = table.groupBy(F.col(f"{mark}pattern").alias("pattern")).count().collect()  # 3 ** rules rows at most
+    codes = np.array(sorted((r["pattern"], r["count"]) for r in rows), np.int64).reshape(-1, 2)
     patterns = np.stack([codes[:, 0] // 3**i % 3 - 1 for i in range(len(rules))], -1)
     prior, probs = fit(patterns, codes[:, 1].astype(float))
     scores = [(int(c), float(q)) for c, q in zip(codes[:, 0], posterior(patterns, prior, probs), strict=True)]
-    known = docs.sparkSession.createDataFrame(scores, "pattern long, quality double")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    out = table.join(F.broadcast(known), "pattern")
-    return out.select("doc_id", "key", *MEASURES, failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality")
+    known = table.sparkSession.createDataFrame(scores, f"{mark}pattern long, {mark}quality double")
+    n_words, repeats = F.col(f"{mark}n_words"), F.col(f"{mark}n_repeat_words")
+    failed = (n_words < min_words) | (100 * repeats > repeat_percent * n_words)
+    return table.join(F.broadcast(known), f"{mark}pattern").withColumns({f"{mark}failed": failed, f"{mark}kept": ~failed & (F.col(f"{mark}quality") >= threshold)})
 
 
 def judge(docs: DataFrame, **params: float) -> DataFrame:
     """doc_id, measures, base_failed, quality (posterior that the text is good) and kept, one row per row of docs."""
-    return _judged(docs, **params).drop("key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = stage(measured(rows, "_").drop("text"), "quality")
+    columns = [F.col(f"_{m}").alias(m) for m in MEASURES]
+    return _judged(table, "_", **params).select("doc_id", *columns, F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_quality").alias("quality"))
 
 
 def keep(docs: DataFrame, **params: float) -> DataFrame:
-    """The rows of docs that `judge` keeps, with docs' own columns. Each row has its own text's verdict, whatever its id."""
-    bad = _judged(docs, **params).where(~F.col("kept")).select(F.col("key").alias("_rejected")).distinct()
-    return docs.join(bad, _key(docs["text"].cast("string")) == bad["_rejected"], "left_anti")
+    """The rows of docs that `judge` keeps, with docs' own columns, which go through the one pass over the texts: no join, no shuffle."""
+    mark = unused(docs.columns)
+    table = stage(measured(docs, mark), "quality")
+    return _judged(table, mark, **params).where(F.col(f"{mark}kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -102,7 +102,9 @@ def test_quality_verdicts_are_of_rows(spark):
     kept = {r.text for r in quality.keep(docs).collect()}
     shared = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 - 1).cast("long"))
     shared = shared.unionByName(spark.createDataFrame([(None, ""), (None, None), (0, "")], shared.schema))
+    shared = shared.withColumns({"_text": F.lit("x"), "__pattern": F.lit(1)})
     got = Counter((r.doc_id, r.text) for r in quality.keep(shared).collect())
+    assert quality.keep(shared).columns == shared.columns
     assert got == Counter((r.doc_id, r.text) for r in shared.collect() if r.text in kept) and {d for d, _ in got} == {None, 0, 1}
 
 
