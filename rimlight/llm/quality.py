@@ -140,10 +140,9 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
 
-def measured(docs: DataFrame, mark: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the five measures and the votes as one base-3 number (pattern); mark is put before these names."""
-    text = F.col("text").cast("string").alias(f"{mark}text")
-    rows = docs.select(text, *(F.col(f"`{c}`") for c in docs.columns))
+def measured(docs: DataFrame, mark: str, columns: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """These columns of docs, the five measures and the votes as one base-3 number (pattern); mark is put before the new names."""
+    rows = docs.select(F.col("text").cast("string").alias(f"{mark}text"), *(F.col(f"`{c}`") for c in columns))
     schema = StructType([*rows.schema.fields[1:], *(StructField(f"{mark}{m}", LongType()) for m in (*MEASURES, "pattern"))])
     names = [f.name for f in schema.fields]
 
@@ -173,7 +172,7 @@ def _judged(table: DataFrame, mark: str, threshold: float = 0.5, rules: tuple[Ru
 def judge(docs: DataFrame, **params: float) -> DataFrame:
     """doc_id, measures, base_failed, quality (posterior that the text is good) and kept, one row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = stage(measured(rows, "_").drop("text"), "quality")
+    table = stage(measured(rows, "_", ["doc_id"]), "quality")
     columns = [F.col(f"_{m}").alias(m) for m in MEASURES]
     return _judged(table, "_", **params).select("doc_id", *columns, F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_quality").alias("quality"))
 
@@ -181,5 +180,5 @@ def judge(docs: DataFrame, **params: float) -> DataFrame:
 def keep(docs: DataFrame, **params: float) -> DataFrame:
     """The rows of docs that `judge` keeps, with docs' own columns, which go through the one pass over the texts: no join, no shuffle."""
     mark = unused(docs.columns)
-    table = stage(measured(docs, mark), "quality")
+    table = stage(measured(docs, mark, docs.columns), "quality")
     return _judged(table, mark, **params).where(F.col(f"{mark}kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
