@@ -498,7 +498,7 @@ def test_pii_patterns_like_a_loop(spark):
     texts = []
     for i in range(120):
         w = [words[k] for k in rng.integers(0, 8, 6)]
-        item = [f"u{i}@h.org", f"10.0.{i}.1", f"v{i}@h.org", f'"{hashlib.sha1(bytes([i])).hexdigest()}"!!', "plain", f"+49 30 12345{i:02d}"][i % 6]
+        item = [f"u{i}@h.org", f"10.0.{i}.1", f"v{i}@h.org", f'"{hashlib.sha1(bytes([i])).hexdigest()}"!!', "plain", f"+49 30 1234{i:03d}"][i % 6]
         texts.append(" ".join([*w[:3], ["mail", "host", "mail", "key =", w[0], "ring"][i % 6], item, ["now", w[1], "now", w[2], "now", "then"][i % 6], *w[3:]]))
     texts += ["key = 'hunter2x' is a key = none", "see mail (a77@x) now", "ring 030 1234 5678 then", None, ""]
     docs = documents(spark, texts)
