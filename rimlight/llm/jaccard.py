@@ -2,14 +2,16 @@
 
 1. One pass hashes every whole text's shingles; equal sets become one class, which is all that copies cost.
 2. A second pass deals (shingle, class) pairs, packed in blobs by shingle, for the half of all shingles with the
-   smaller hashes; classes sharing a shingle learn in how many classes it occurs. Global order: that half from rare to
-   common, then the others by hash. Two similar sets share a shingle within their first n - ceil(0.75 n) + 1.
-   Shingles of one class come first and match nothing, so most classes are done here, and a passage that many
-   documents share lies behind their own shingles.
+   smaller hashes; classes sharing a shingle learn in how many classes it occurs. A shingle that one worker meets in
+   many classes is hot: only its name goes to the others, the pairs are dealt anywhere, so that no task gets a whole
+   common line. Global order: that half from rare to common, then the hot ones, then the others by hash. Two similar
+   sets share a shingle within their first n - ceil(0.75 n) + 1. Shingles of one class come first and match nothing,
+   so most classes are done here, and a passage that many documents share lies behind their own shingles.
 3. Classes that share such a prefix shingle are a group; groups with equal members count once. The group's first
    class, its leader, is compared with the others, and links are closed to components.
-4. Groups whose other members still lie in several components are compared within, in blocks, after groups that
-   overlap are joined where that compares no more; this is the exact way for all that leaders don't settle.
+4. Groups whose other members still lie in several components are compared within, in blocks that grow with the root
+   of the group, after groups that overlap are joined where that compares no more; this is the exact way for all that
+   leaders don't settle.
 
 Comparisons (3, 4) put the sets, in order, in a radix trie: sets share the overlap of their common beginnings, and a
 subtree is cut off once the overlap so far plus what can remain is too small for its smallest set. Sets for them come
@@ -28,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ from rimlight.llm.components import components
 N, PERCENT = 5, 75
 HALF = np.uint64(1 << 63)
 CHUNK = 1 << 20  # shingles of a blob's chunk
-BLOCK = 256  # sets compared in one tree
+BLOCK, MOST_BLOCK = 256, 8192  # sets compared in one tree: 16 times the root of the group's number within these bounds
+HOT, HOT_RANK = 512, 2**31 - 1  # classes of one chunk from which on a shingle is hot; its place in the order
+PAIRS = 4 << 20  # of a bucket
 FILTER_BITS = 25
 SALTS = 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,46 +106,60 @@ def _row_key(docs: DataFrame) -> Column:
     return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
 
 
-# A blob: uint32 counts of classes and shingles; classes int64, n int32, dealt int32; then, of the shingles in order,
-# the steps between their upper 48 bits as three planes of uint16, and the places of their classes as uint16.
-def _blob(order: np.ndarray, place: np.ndarray, cls: np.ndarray, n: np.ndarray, dealt: np.ndarray) -> bytes:
+# A blob: uint32 counts of classes, shingles and hot shingles; classes int64, n int32, dealt int32; then, of the shingles
+# in order, the steps between their upper 48 bits as three planes of uint16, and the places of their classes as uint16;
+# then the hot shingles as uint64.
+def _blob(order: np.ndarray, place: np.ndarray, cls: np.ndarray, n: np.ndarray, dealt: np.ndarray, hot: np.ndarray) -> bytes:
     used, place = np.unique(place, return_inverse=True)
     step = np.diff(order, prepend=np.uint64(0))
     planes = [(step >> np.uint64(k) & np.uint64(0xFFFF)).astype("<u2") for k in (0, 16, 32)]
-    return b"".join([np.array([len(used), len(order)], "<u4").tobytes(), cls[used].astype("<i8").tobytes(), n[used].astype("<i4").tobytes(), dealt[used].astype("<i4").tobytes(), *(p.tobytes() for p in planes), place.astype("<u2").tobytes()])
+    return b"".join([np.array([len(used), len(order), len(hot)], "<u4").tobytes(), cls[used].astype("<i8").tobytes(), n[used].astype("<i4").tobytes(), dealt[used].astype("<i4").tobytes(), *(p.tobytes() for p in planes), place.astype("<u2").tobytes(), hot.astype("<u8").tobytes()])
 
 
 def _unblob(data: memoryview) -> tuple[np.ndarray, ...]:
-    k, m = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    at = 8
+    k, m, h = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    at = 12
     cls = np.frombuffer(data, "<i8", k, at)
     n, dealt = np.frombuffer(data, "<i4", k, at + 8 * k), np.frombuffer(data, "<i4", k, at + 12 * k)
     at += 16 * k
     planes = [np.frombuffer(data, "<u2", m, at + 2 * m * i).astype(np.uint64) for i in range(3)]
     place = np.frombuffer(data, "<u2", m, at + 6 * m)
     order = np.cumsum(planes[0] | planes[1] << np.uint64(16) | planes[2] << np.uint64(32), dtype=np.uint64)
-    return order, cls[place], n[place], dealt[place]
+    return order, cls[place], n[place], dealt[place], np.frombuffer(data, "<u8", h, at + 8 * m)
 
 
-def dealt_out(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, data): blobs of the shingles that each class deals out: the lower half, and more where that is less than its prefix."""
+def dealt_out(docs: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """(bucket, direct, data): blobs of the shingles that each class deals out: the lower half, and more where that is less than its prefix.
+
+    Direct ones hold shingles with at least `hot` classes in their chunk and go to any bucket; the bucket of such a
+    shingle gets its name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, int]] = {}
-        size = 0
+        size, chunk = 0, TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             cls = np.array(list(kept), np.int64)
             n, dealt = np.array([k for _, k in kept.values()]), np.array([len(s) for s, _ in kept.values()])
             order = np.concatenate([s for s, _ in kept.values()]) >> np.uint64(16)
             place = np.repeat(np.arange(len(cls)), dealt)
-            bucket = ((order >> np.uint64(15) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            by = np.lexsort((order, bucket))
-            order, place, bucket = order[by], place[by], bucket[by]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-            rows = [(int(bucket[i]), _blob(order[i:j], place[i:j], cls, n, dealt)) for i, j in zip(cuts, cuts[1:], strict=False)]
+            by = np.argsort(order, kind="stable")
+            order, place = order[by], place[by]
+            starts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+            counts = np.diff(np.append(starts, len(order)))
+            common = counts >= hot
+            named, many = order[starts[common]], np.repeat(common, counts)
+            rows = [(chunk % buckets, True, _blob(order[many], place[many], cls, n, dealt, named[:0]))] if many.any() else []
+            order, place = order[~many], place[~many]
+            bucket, named_bucket = ((x >> np.uint64(15) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32) for x in (order, named))
+            by = np.argsort(bucket, kind="stable")
+            order, place, bucket = order[by], place[by], bucket[by].astype(np.int64)
+            spots = np.unique(np.concatenate([bucket, named_bucket.astype(np.int64)]))
+            for x, i, j in zip(spots.tolist(), np.searchsorted(bucket, spots).tolist(), np.searchsorted(bucket, spots, "right").tolist(), strict=True):
+                rows.append((x, False, _blob(order[i:j], place[i:j], cls, n, dealt, named[named_bucket == x])))
             kept.clear()
-            return pa.record_batch([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "data"])
+            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "direct", "data"])
 
         for b in batches:
             for s in _sets(b.column(1)):
@@ -151,44 +170,64 @@ def dealt_out(docs: DataFrame, buckets: int) -> DataFrame:
                 size += len(some)
                 if size >= CHUNK or len(kept) >= 60_000:
                     yield flush()
-                    size = 0
+                    size, chunk = 0, chunk + 7919
         if kept:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "bucket int, data binary")
+    return _texts(docs).mapInArrow(run, "bucket int, direct boolean, data binary")
 
 
 def shared(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(cls, n, dealt, token, df): the dealt shingles that several classes have, and how many have each."""
+    """(cls, n, dealt, token, df): the dealt shingles that several classes have, and how many have each (HOT_RANK: hot ones).
+
+    A pair can come more than once where copies of a class lie in several chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unblob(memoryview(x.as_buffer())) for b in batches for x in b.column(0)]
+        def rows(token: np.ndarray, cls: np.ndarray, n: np.ndarray, dealt: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cols = [cls, n.astype(np.int32), dealt.astype(np.int32), token.astype(np.int64), df.astype(np.int32)]
+            for i in range(0, len(cls), 1 << 16):
+                yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], ["cls", "n", "dealt", "token", "df"])
+
+        parts = []
+        for b in batches:
+            for direct, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = _unblob(memoryview(x.as_buffer()))
+                if direct:
+                    yield from rows(*found[:4], np.full(len(found[0]), HOT_RANK))
+                else:
+                    parts.append(found)
         if not parts:
             return
-        token, cls, n, dealt = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, cls, n, dealt, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         by = np.lexsort((cls, token))
         token, cls, n, dealt = token[by], cls[by], n[by], dealt[by]
         once = np.ones(len(token), bool)
         once[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
         token, cls, n, dealt = token[once], cls[once], n[once], dealt[once]
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        df = np.repeat(np.diff(np.append(cuts, len(token))), np.diff(np.append(cuts, len(token))))
+        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+        counts = np.diff(np.append(cuts, len(token)))
+        df = np.repeat(np.where(np.isin(token[cuts], hot), HOT_RANK, counts), counts)
         many = df > 1
-        cols = [cls[many], n[many].astype(np.int32), dealt[many].astype(np.int32), token[many].astype(np.int64), df[many].astype(np.int32)]
-        for i in range(0, len(cols[0]), 1 << 16):
-            yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], ["cls", "n", "dealt", "token", "df"])
+        yield from rows(token[many], cls[many], n[many], dealt[many], df[many])
 
-    return blobs.repartition(buckets, "bucket").select("data").mapInArrow(run, "cls long, n int, dealt int, token long, df int")
+    return blobs.repartition(buckets, "bucket").select("direct", "data").mapInArrow(run, "cls long, n int, dealt int, token long, df int")
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
     """(cls, n, token): the shared shingles within each class's prefix; shingles of no other class fill it first."""
     own = Window.partitionBy("cls")
     order = own.orderBy(F.col("token") >= F.lit(1 << 47), F.when(F.col("token") < F.lit(1 << 47), F.col("df")), "token")
-    rows = rows.withColumns({"rank": F.row_number().over(order), "count": F.count("*").over(own)})
+    rows = rows.withColumn("rank", F.dense_rank().over(order)).withColumn("count", F.max("rank").over(own))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    return rows.where(F.col("rank") <= length - (F.col("dealt") - F.col("count"))).select("cls", "n", "token")
+    return rows.where(F.col("rank") <= length - (F.col("dealt") - F.col("count"))).select("cls", "n", "token").distinct()
+
+
+def _blocks(members: Column) -> Column:
+    """How many blocks a group of so many sets is compared in."""
+    size = F.least(F.greatest(F.lit(float(BLOCK)), 16 * F.sqrt(members)), F.greatest(F.lit(float(BLOCK)), F.lit(float(MOST_BLOCK))))
+    return (F.floor(members / size) + 1).cast("int")
 
 
 class Trie:
@@ -264,7 +303,7 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def led(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs (leader, cls) whose sets are similar; a leader's partners are dealt to blocks, each a tree."""
     sized = pairs.groupBy("leader").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-    rows = pairs.join(sized, "leader").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    rows = pairs.join(small(stage(sized, "sized")), "leader").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
     ones = rows.join(sets, "cls").select("leader", "block", F.lit(1).alias("role"), "cls", "set")
     heads = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, F.col("leader") == F.col("cls"))
     heads = heads.select("leader", "block", F.lit(0).alias("role"), "cls", "set")
@@ -290,8 +329,8 @@ def rearranged(members: DataFrame) -> DataFrame:
     rows = members.join(chained, F.col("cls") == F.col("v"), "left").select("token", "cls", "comp", F.coalesce("root", "cls").alias("cluster"))
     rows = stage(rows, "open")
     once = stage(rows.select("cluster", "cls", "comp").distinct(), "open")
-    one = once.groupBy("cluster").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("joint"))
-    each = rows.groupBy("cluster", "token").agg((F.count("*") * (F.floor(F.count("*") / BLOCK) + 1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("single"))
+    one = once.groupBy("cluster").agg((F.count("*") * _blocks(F.count("*"))).alias("joint"))
+    each = rows.groupBy("cluster", "token").agg((F.count("*") * _blocks(F.count("*"))).alias("n")).groupBy("cluster").agg(F.sum("n").alias("single"))
     # a cluster may hold a large share of all rows: they are told what becomes of it by several copies of its row
     joined = one.join(each, "cluster").where("joint <= single").select("cluster", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
@@ -301,8 +340,8 @@ def rearranged(members: DataFrame) -> DataFrame:
 
 def within(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): similar sets of different components (comp) within each group (grp), by pairs of blocks of its members."""
-    sized = members.groupBy("grp").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-    rows = members.join(sized, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    sized = members.groupBy("grp").agg(_blocks(F.count("*")).alias("blocks"))
+    rows = members.join(small(stage(sized, "sized")), "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
     rows = rows.join(sets, "cls").select("grp", "i", "j", "own", "cls", "comp", "set")
@@ -390,11 +429,12 @@ def _named(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     table = stage(classes(docs, keyed), "classes")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 << 20) + 1)
-    prefix = stage(prefixes(shared(dealt_out(docs, buckets), buckets)), "prefixes")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PAIRS + 1)
+    hot = max(2, min(HOT, PAIRS // (total // CHUNK + 1)))  # so that what isn't hot in any chunk fits a bucket
+    prefix = stage(prefixes(shared(dealt_out(docs, buckets, hot), buckets)), "prefixes")
     groups = prefix.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x"), F.min(F.struct("cls", "n")).alias("lead"))
     groups = groups.where("k > 1").groupBy("k", "s", "x").agg(F.min(F.struct("token", "lead")).alias("g")).select("g.token", F.col("g.lead.cls").alias("leader"), F.col("g.lead.n").alias("leader_n"))
-    members = stage(prefix.join(groups, "token").where("cls != leader"), "members")
+    members = stage(prefix.join(small(stage(groups, "groups")), "token").where("cls != leader"), "members")
     fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * PERCENT
     pairs = stage(members.where(fits).select("leader", "cls").distinct(), "pairs")
     wanted = stage(members.select("cls").unionByName(members.select(F.col("leader").alias("cls"))).distinct(), "wanted")
@@ -403,13 +443,13 @@ def _named(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
     placed = members.join(roots, F.col("cls") == F.col("v"), "left").select("token", "cls", F.coalesce("root", "cls").alias("comp"))
     open_groups = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    more = stage(within(rearranged(stage(placed.join(open_groups, "token", "left_semi"), "open")), sets), "links")
+    more = stage(within(rearranged(stage(placed.join(small(stage(open_groups, "open")), "token", "left_semi"), "open")), sets), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
     first = table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key") if keyed else "doc_id").alias("rep"))
     first = first.join(roots, F.col("cls") == F.col("v"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
-    small = first.groupBy("comp").agg(F.min("rep").alias("first"))
-    return table, first.join(small, "comp").select(F.col("cls").alias("c"), F.col("first.key" if keyed else "first").alias("first"))
+    least = first.groupBy("comp").agg(F.min("rep").alias("first"))
+    return table, first.join(least, "comp").select(F.col("cls").alias("c"), F.col("first.key" if keyed else "first").alias("first"))
 
 
 def join(docs: DataFrame) -> DataFrame:

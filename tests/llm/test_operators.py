@@ -309,6 +309,9 @@ def test_jaccard_like_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("x"))
     want = groups_of(rows)
     assert sorted(map(tuple, jaccard.join(df).collect()), key=repr) == want
+    for hot in (2, 10):  # any number of classes can make a shingle hot, the result is the same
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        assert sorted(map(tuple, jaccard.join(df.repartition(3)).collect()), key=repr) == want
     assert sum(a != c for a, _, c in want) > 60
     kept = [r.doc_id for r in jaccard.deduplicate(df).select("doc_id").collect()]
     assert sorted(k for k in kept if k is not None) == sorted({c for _, _, c in want if c is not None})
@@ -345,6 +348,20 @@ def test_groups_within_blocks(spark, monkeypatch):
     assert got == want and want
 
 
+def test_hot_shingles_are_dealt_anywhere(spark):
+    line = "one line that many a document holds in it"
+    rows = [(i, f"{line} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blobs = jaccard.dealt_out(df, 8, 20).collect()
+    names = [(r.bucket, *jaccard._unblob(memoryview(bytes(r.data)))) for r in blobs if not r.direct]
+    hot = {int(t) for _, *_, h in names for t in h}
+    direct = [jaccard._unblob(memoryview(bytes(r.data))) for r in blobs if r.direct]
+    assert hot and len(direct) == 4 and {int(t) for x in direct for t in x[0]} == hot
+    assert all(int(t) not in hot for _, tokens, *_ in names for t in tokens) and sum(len(x[0]) for x in direct) == 400 * len(hot)
+    out = jaccard.shared(jaccard.dealt_out(df, 8, 20), 8).collect()
+    assert {(r.token, r.df) for r in out} == {(t, jaccard.HOT_RANK) for t in hot} and len(out) == 400 * len(hot)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 9), (7, 7), (200, 300), (300, 250), (1, 2), (2, 1)]
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
