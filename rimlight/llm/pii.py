@@ -23,6 +23,7 @@ an empty table gives an empty result; spans may touch or overlap between kinds;
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ _TOKEN = rf"[\p{{L}}\p{{N}}]{_WORD}*+"
 _LEAD, _TRAIL = r"^[^\p{L}\p{N}@+]*+", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 _MORE = "array<struct<start:int,kind:int,end:int>>"
-FEW = 1000  # patterns up to which texts are looked through for their words first
+FEW = 32  # words of patterns up to which texts are looked through for them first
 _BLOCK, _CHARS = 256, 10  # matches of a block; characters of a block, as a power of 2
 
 
@@ -176,10 +177,12 @@ def _beside(s: Column) -> Column:
 def neighbours(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pattern, plain): how many distinct words without digit or @ stand beside each of the wanted patterns in texts (text)."""
     wanted = small(stage(wanted.select("pattern", F.substring_index("pattern", " ", 1).alias("side"), F.expr("substring(pattern, 2 + length(substring_index(pattern, ' ', 1)))").alias("words")), "wanted"))
-    rows = texts.select(_tokens(F.col("text").cast("string")).alias("t")).where(F.size("t") > 1)
-    if wanted.count() <= FEW:  # then texts without any of their words needn't be taken apart
-        last = wanted.select(F.substring_index("words", " ", -1).alias("w")).distinct()
-        rows = rows.where(F.arrays_overlap("t", F.array(*(F.lit(r.w) for r in last.collect())).cast("array<string>")))
+    rows = texts.select(F.col("text").cast("string").alias("text"))
+    last = wanted.select(F.substring_index("words", " ", -1).alias("w")).distinct().limit(FEW + 1).collect()
+    if len(last) <= FEW:  # then texts without any of these words needn't be taken apart
+        low = _plain(F.col("text"))
+        rows = rows.where(reduce(Column.__or__, (F.contains(low, F.lit(r.w)) for r in last)))
+    rows = rows.select(_tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
     cut = lambda first, drop: F.slice("t", F.lit(first), F.greatest(F.size("t") - drop, F.lit(0)))
     pairs = {
         "L": F.arrays_zip(cut(1, 1).alias("w"), cut(2, 1).alias("f")),
