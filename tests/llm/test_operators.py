@@ -746,13 +746,37 @@ def test_nearest_like_brute_force(spark, block):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_bounds_hold():
+def test_repeated_vectors_and_many_dimensions(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=2048).astype(np.float32)
+    near = [(base + rng.normal(size=2048).astype(np.float32) * 1e-3).tolist() for _ in range(60)]  # closer than the first int8 form tells
+    rows = [(i, (base * 2).tolist()) for i in range(90)] + [(100 + i, x) for i, x in enumerate(near)] + [(200 + i, rng.normal(size=2048).astype(np.float32).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, F.col("id") % 20 == 0, block_bytes=10_000).collect())
+    assert got == nearest([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+
+
+@pytest.mark.parametrize("dim", [16, 2500])
+def test_bounds_hold(dim):
     rng = np.random.default_rng(3)
-    q, c = rng.normal(size=(40, 16)), rng.normal(size=(90, 16)) * rng.uniform(0.01, 100, (90, 1))
+    q, c = rng.normal(size=(40, dim)), rng.normal(size=(90, dim)) * rng.uniform(0.01, 100, (90, 1))
     (q8, qs, qe), (c8, cs, ce) = ann.quantise(q), ann.quantise(c)
     qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     slack = qn[:, None] * ce + qe[:, None] * (cn + ce)
-    assert (np.abs((q8 @ c8.T) * qs[:, None] * cs - q @ c.T) <= slack + 1e-9).all() and np.abs(q8).max() <= 127
+    assert (np.abs(ann.products(q8, c8) * qs[:, None] * cs - q @ c.T) <= slack + 1e-9).all() and np.abs(q8).max() <= 127
+    big = np.full((2, dim), 127, np.int8)
+    assert (ann.products(big, big) == 127 * 127 * dim).all()
+    tiles = [ann.Tile.of(dim, *ann.Tile.pack(np.arange(n), x).bytes()) for n, x in ((40, q), (90, c))]
+    assert all((np.linalg.norm(t.fine(np.arange(len(x))) - x, axis=1) <= t.lost_b).all() and (t.lost_b < 0.01 * t.lost_a).all() for t, x in zip(tiles, (q, c), strict=True))
+    best = ann.Nearest(tiles[0], 5)
+    best.meet(tiles[1])
+    query, vec, low, high = best.pairs
+    exact = (q[query] * c[vec]).sum(1)
+    assert (low <= exact).all() and (exact <= high).all()
+    for i in range(40):
+        want = {j for j in np.argsort(-(q[i] @ c.T))[:6].tolist() if j != i}
+        assert set(sorted(want, key=lambda j: -(q[i] @ c[j]))[:5]) <= set(vec[query == i].tolist())
+    assert len(query) <= 40 * 7
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------
