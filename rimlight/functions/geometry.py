@@ -100,12 +100,13 @@ def annulus_score(b: Column, cx: Column, cy: Column, inner: Column, outer: Colum
 
 def radius_range(b: Column, cx: Column, cy: Column, inner: Column, outer: Column, narrow: bool = False) -> Column:
     """struct(min, max): the ring that a box covers, from the quartiles of a 5 x 5 grid of its points."""
-    grid = [(b["x"] + b["w"] * F.lit(i / 4), b["y"] + b["h"] * F.lit(j / 4)) for j in range(5) for i in range(5)]
-    r = F.array(*(F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) for x, y in grid))
-    r = F.array_sort(F.filter(r, lambda v: (v >= inner * 0.90) & (v <= outer * 1.05)))
-    r = F.when(F.size(r) == 0, F.array((inner + outer) * 0.5)).otherwise(r)
+    # ten squared distances are enough for the grid; those within the squared bounds are sorted as they are
+    across, down = ([F.pow(b[p] + b[s] * F.lit(i / 4) - c, F.lit(2)) for i in range(5)] for p, s, c in (("x", "w", cx), ("y", "h", cy)))
+    squares = F.transform(F.array(F.struct(F.array(*across).alias("x"), F.array(*down).alias("y"))), lambda g: F.array(*(F.sqrt(F.element_at(g["x"], i + 1) + F.element_at(g["y"], j + 1)) for j in range(5) for i in range(5))))[0]
+    r = F.sort_array(F.filter(squares, lambda v: (v >= inner * 0.90) & (v <= outer * 1.05)))
+    r = F.transform(F.array(r), lambda v: F.when(F.size(v) == 0, F.array((inner + outer) * 0.5)).otherwise(v))[0]
     # bound to a lambda's variables, the sorted radii are made once and not for each quartile
-    thirds = F.transform(F.array(r), lambda v: F.struct(*(F.element_at(v, (F.floor(F.size(v) * k / 4) + 1).cast("int")).alias(f"q{k}") for k in (1, 2, 3))))
+    thirds = F.transform(F.array(r), lambda v: F.struct(*(F.element_at(v, F.shiftright(F.size(v) * k, 2) + 1).alias(f"q{k}") for k in (1, 2, 3))))
     return F.transform(thirds, lambda q: _ring(q["q1"], q["q2"], q["q3"], inner, outer, narrow))[0]
 
 
@@ -129,6 +130,31 @@ def band_rect(width: Column, height: Column, inner: Column, outer: Column, lo: C
     return box(F.lit(0), a, width, b - a)
 
 
+def sector_columns(start: Column, end: Column, width: Column) -> Column:
+    """struct(x, w): the columns of an unwrapped ring, repeated once past its seam, from one angle to another."""
+    a, b = normal_angle(start), normal_angle(end)
+    b = F.when(F.abs(b - a) < 1e-6, a + 360.0).when(b <= a, b + 360.0).otherwise(b)
+    per = width / F.lit(360.0)
+    x0 = F.least(F.greatest(F.floor(a * per).cast("int"), F.lit(0)), F.greatest(F.lit(0), 2 * width - 1))
+    x1 = F.least(F.greatest(F.ceil(b * per).cast("int"), x0 + 1), 2 * width)
+    return F.struct(x0.cast("int").alias("x"), (x1 - x0).cast("int").alias("w"))
+
+
+def local_ring(b: Column, cx: Column, cy: Column, inner: Column, outer: Column, width: Column, height: Column, narrow: bool = False) -> Column:
+    """Where a box lies on an unwrapped ring: struct(start, end, min, max, x, y, w, h), from its angles and radii.
+
+    x and w are columns of the ring repeated past its seam, y and h its rows.
+    """
+    arc, ring = angle_range(b, cx, cy), radius_range(b, cx, cy, inner, outer, narrow)
+
+    def made(p: Column) -> Column:
+        across = sector_columns(p["a"]["start"], p["a"]["end"], width)
+        return F.transform(F.array(F.struct(across.alias("s"), band_rect(width, height, inner, outer, p["r"]["min"], p["r"]["max"]).alias("band"))), lambda q: F.struct(
+            p["a"]["start"].alias("start"), p["a"]["end"].alias("end"), p["r"]["min"].alias("min"), p["r"]["max"].alias("max"), q["s"]["x"].alias("x"), q["band"]["y"].alias("y"), q["s"]["w"].alias("w"), q["band"]["h"].alias("h")))[0]
+
+    return F.transform(F.array(F.struct(arc.alias("a"), ring.alias("r"))), made)[0]
+
+
 def letterbox(width: Column, height: Column, target: int = 640) -> Column:
     """struct(scale, pad_x, pad_y, w, h) of an image fitted into a square."""
     scale = F.least(F.lit(float(target)) / F.greatest(F.lit(1), width), F.lit(float(target)) / F.greatest(F.lit(1), height))

@@ -6,6 +6,8 @@ Missing text is '' and never null: every function turns null into ''.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,19 +68,28 @@ def week_ok(c: Column) -> Column:
     return (F.length(c) == 4) & F.coalesce(F.substring(c, 1, 2).try_cast("int").between(*WEEKS), F.lit(False))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is bound to a lambda's variable and so computed once, however often f looks at it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def parse_size(c: Column) -> Column:
     """struct(found, raw, normalized, quality); only the first match counts, in range or not."""
-    found = F.regexp_extract(sanitize(c), SIZE, 0)
+    match = F.regexp_extract(sanitize(c), SIZE, 0)
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(found, SIZE, i)
+    def made(m: Column, raw: Column) -> Column:
+        # all groups from one match: width, aspect, construction, rim, speed
+        return _once(F.split(F.regexp_replace(m, SIZE, "$2|$3|$4|$5|$6"), r"\|", -1), lambda p: read(p, F.contains(m, F.lit("/")), raw))
 
-    width, aspect, rim, speed = part(2), part(3), part(5), part(6)
-    ok = F.coalesce(width.try_cast("int").between(*WIDTHS) & aspect.try_cast("int").between(*ASPECTS) & rim.try_cast("int").between(*RIMS), F.lit(False))
-    construction = F.when(part(4) == "", "R").otherwise(part(4))
-    text = F.concat(width, F.lit("/"), aspect, F.lit(" "), construction, rim, F.when(speed == "", "").otherwise(F.concat(F.lit(" "), speed)))
-    quality = F.least(F.lit(1.0), F.when(F.contains(found, F.lit("/")), 1.0).otherwise(0.88) + F.when(speed == "", 0.0).otherwise(0.03))
-    return F.struct(ok.alias("found"), F.when(ok, squeeze(c)).otherwise("").alias("raw"), F.when(ok, text).otherwise("").alias("normalized"), F.when(ok, quality).otherwise(0.0).alias("quality"))
+    def read(p: Column, slash: Column, raw: Column) -> Column:
+        width, aspect, letter, rim, speed = (F.element_at(p, i) for i in range(1, 6))
+        ok = F.coalesce(width.try_cast("int").between(*WIDTHS) & aspect.try_cast("int").between(*ASPECTS) & rim.try_cast("int").between(*RIMS), F.lit(False))
+        text = F.concat(width, F.lit("/"), aspect, F.lit(" "), F.when(letter == "", "R").otherwise(letter), rim, F.when(speed == "", "").otherwise(F.concat(F.lit(" "), speed)))
+        quality = F.least(F.lit(1.0), F.when(slash, 1.0).otherwise(0.88) + F.when(speed == "", 0.0).otherwise(0.03))
+        return F.when(ok, F.struct(F.lit(True).alias("found"), squeeze(raw).alias("raw"), text.alias("normalized"), quality.alias("quality"))).otherwise(none)
+
+    none = F.struct(F.lit(False).alias("found"), F.lit("").alias("raw"), F.lit("").alias("normalized"), F.lit(0.0).alias("quality"))
+    return _once(F.struct(match.alias("m"), blank(c).alias("raw")), lambda x: F.when(x["m"] == "", none).otherwise(made(x["m"], x["raw"])))
 
 
 def parse_dot(c: Column) -> Column:
@@ -86,17 +97,21 @@ def parse_dot(c: Column) -> Column:
 
     The code comes from the plain text, the week and year from the sanitized one; either makes it found.
     """
-    body = F.regexp_extract(key(c), DOT, 1)
-    digits = F.regexp_extract(key(sanitize(c)), WEEK_YEAR, 1)
-    named, dated = body != "", week_ok(digits)
-    full = F.length(body) >= 8
-    code, wy = F.concat(F.lit("DOT"), body), F.when(dated, digits).otherwise("")
-    quality = F.when(full & dated, 1.0).when(dated, 0.82).when(named, 0.55).otherwise(0.0)
-    return F.struct(
-        (named | dated).alias("found"), squeeze(c).alias("raw"), F.when(named, code).otherwise(wy).alias("normalized"), full.alias("full"),
-        F.when(named, F.concat(F.lit("DOT "), body)).otherwise("").alias("full_raw"), F.when(named, code).otherwise("").alias("full_normalized"),
-        dated.alias("week_year_found"), wy.alias("week_year"), quality.alias("quality"),
-    )
+
+    def read(x: Column) -> Column:
+        body, digits = x["body"], x["digits"]
+        named, dated = body != "", week_ok(digits)
+        full = F.length(body) >= 8
+        code, wy = F.concat(F.lit("DOT"), body), F.when(dated, digits).otherwise("")
+        quality = F.when(full & dated, 1.0).when(dated, 0.82).when(named, 0.55).otherwise(0.0)
+        return F.struct(
+            (named | dated).alias("found"), x["raw"].alias("raw"), F.when(named, code).otherwise(wy).alias("normalized"), full.alias("full"),
+            F.when(named, F.concat(F.lit("DOT "), body)).otherwise("").alias("full_raw"), F.when(named, code).otherwise("").alias("full_normalized"),
+            dated.alias("week_year_found"), wy.alias("week_year"), quality.alias("quality"),
+        )
+
+    body, digits = F.regexp_extract(key(c), DOT, 1), F.regexp_extract(key(sanitize(c)), WEEK_YEAR, 1)
+    return _once(F.struct(body.alias("body"), digits.alias("digits"), squeeze(c).alias("raw")), read)
 
 
 def _loose(text: Column, i: int, pattern: str) -> Column:
@@ -105,7 +120,7 @@ def _loose(text: Column, i: int, pattern: str) -> Column:
 
 def extract_size(c: Column, zr: bool = True) -> Column:
     """struct(base, full) by the batch tools' pattern; zr: ZR counts as R."""
-    s = F.replace(F.replace(F.upper(blank(c)), F.lit("I5"), F.lit("15")), F.lit("RI5"), F.lit("R15"))
+    s = F.replace(F.upper(blank(c)), F.lit("I5"), F.lit("15"))
     s = squeeze_unicode(F.replace(s, F.lit("ZR"), F.lit("R")) if zr else s)
 
     def normal(pattern: str) -> Column:
@@ -160,6 +175,11 @@ def from_wsl(c: Column) -> Column:
     return F.when(p.startswith("/mnt/") & (F.length(p) > 6), F.concat(F.upper(F.substring(p, 6, 1)), F.lit(":"), tail)).otherwise(p)
 
 
+def step_name(c: Column) -> Column:
+    """A file's name without its last extension, or blank."""
+    return F.regexp_replace(file_name(c), r"\.[^.]*$", "")
+
+
 def step_label(c: Column) -> Column:
     """A file's name without its last extension."""
     return F.regexp_replace(file_name(c), r"\.[^.]*$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimlight.functions import text as t
-from rimlight.functions.geometry import to_yolo
+from rimlight.functions.geometry import expand_corners, to_yolo
 from rimlight.operators.select import last_wins
 
 
@@ -42,7 +42,8 @@ def split(images: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 
     The share is exact: hashes are counted in 1,024 classes first, and only the class where the share ends is ordered.
     """
-    rows = images.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_c", F.shiftright("_h", 54))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    rows = images.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("_c", F.shiftright("_h", 50))
     sums = rows.groupBy("_c").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -52,6 +53,11 @@ def split(images: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     return rows.withColumn("split", F.when(F.col("_before") + rank <= F.col("_want"), "val").otherwise("train")).drop("_h", "_c", "_before", "_want")
 
 
+def dot_reading(text: Column, week_year: Column) -> Column:
+    """Whether a DOT reading counts: a text or a week and year was found."""
+    return (t.blank(text) != "") | (t.blank(week_year) != "")
+
+
 def preferred(engines: Sequence[tuple[Column, str, Column, Column]]) -> Column:
     """struct(text, engine, confidence) of the first engine whose reading parsed; blank and 0 if none did."""
 
@@ -106,9 +112,44 @@ def union_datasets(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def latest(rows: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:
+def latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """One row per key, the one with the greatest version."""
-    return last_wins(rows, keys, [version]) if version else rows
+    return last_wins(rows, keys, [version])
+
+
+def chosen(detections: DataFrame, selected: DataFrame, keys: Sequence[str] = ("image",)) -> DataFrame:
+    """The detections whose box is that of a selected one of their image."""
+    return detections.join(selected.select(*keys, "box").distinct(), [*keys, "box"], "left_semi")
+
+
+def pending_with(images: DataFrame, done: DataFrame, details: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what isn't computed yet, the results kept, their detail rows), for a run that goes on where the last one ended."""
+    kept = done.join(images.select(key).distinct(), key, "left_semi")
+    return pending(images, done, key), kept, details.join(kept.select(key).distinct(), key, "left_semi")
+
+
+def detection_rows(detections: DataFrame, images: DataFrame, margin: float = 0.04) -> tuple[DataFrame, DataFrame]:
+    """(one row per image, one per detection) as the detector's files hold them.
+
+    detections: dataset, image_path, idx, label, conf, x, y, w, h; images: dataset, image_path, image_width, image_height.
+    Crops go below crops/<dataset>/<label>; the box and crop of an image's label are those of its most confident detection.
+    """
+    keys = ["dataset", "image_path"]
+    rows = detections.join(images, keys)
+    corners = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    rows = rows.withColumn("_c", expand_corners(corners, F.col("image_width"), F.col("image_height"), margin))
+    crop = F.array(F.col("_c.x0"), F.col("_c.y0"), F.col("_c.x1") - F.col("_c.x0"), F.col("_c.y1") - F.col("_c.y0"))
+    path = F.concat(F.lit("crops/"), "dataset", F.lit("/"), "label", F.lit("/"), t.safe_stem(t.step_name(F.col("image_path")), "image"), F.lit(".png"))
+    every = rows.select(*keys, "idx", "label", F.col("conf").alias("confidence"), F.array("x", "y", "w", "h").alias("box"), crop.alias("crop_box"), path.alias("crop_path"))
+    order = F.struct(-F.col("confidence"), "idx")
+    best = []
+    for label in ("Brand", "Model", "Size", "DOT"):
+        mine = F.when(F.col("label") == label, order)
+        best += [F.coalesce(F.min_by("crop_path", mine), F.lit("")).alias(f"{label.lower()}_crop_path"), F.coalesce(F.min_by("box", mine), F.array().cast("array<int>")).alias(f"{label.lower()}_box")]
+    found = every.groupBy(*keys).agg(*best, F.count("*").cast("int").alias("num_detections"))
+    none = [F.coalesce(c, F.array().cast("array<int>") if c.endswith("_box") else F.lit(0) if c == "num_detections" else F.lit("")).alias(c) for c in found.columns[2:]]
+    summary = images.join(found, keys, "left").select(*keys, F.lit("ok").alias("status"), "image_width", "image_height", *none)
+    return summary, every.drop("idx")
 
 
 def fill_wheel(current: Column, found: Column, override: Column) -> Column:

@@ -61,6 +61,31 @@ def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
+def capped(rows: DataFrame, keys: Sequence[str], field: str, seq: str = "seq", probes: tuple[int, int] = (5, 6)) -> DataFrame:
+    """The first probes of each key: 5 for a size, 6 for a DOT."""
+    limit = F.when(F.col(field) == "size", probes[0]).otherwise(probes[1])
+    order = Window.partitionBy(*keys, field).orderBy(seq)
+    return rows.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= max(probes)) & (F.col("_n") <= limit)).drop("_n")
+
+
+def ranked_report(rows: DataFrame, keys: Sequence[str], score: str, quality: str, k: int = 10) -> DataFrame:
+    """The candidates' report: the k best by score with their place from 0, box, scores and why they are there."""
+    order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), "name")
+    best = rows.withColumn("index", (F.row_number().over(order) - 1).cast("int")).where(F.col("index") < k)
+    box = [F.col("x"), F.col("y"), F.col("w").alias("width"), F.col("h").alias("height")]
+    return best.select(*keys, "index", "name", *box, F.col(score).alias("structure_score"), F.col(quality).alias("roi_quality"), F.lit("top_size_candidate").alias("selection_reason"))
+
+
+def report(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The recognition report's 14 columns (after keys): what was read where, how it was scored and whether it was the best so far."""
+    best = status([*keys, "field"], F.col("conf"), F.col("found"))
+    columns = {
+        "branch": F.col("field"), "roi_id": F.col("roi_id"), "variant": F.col("variant"), "psm": F.col("psm"), "width": F.col("width"), "height": F.col("height"), "elapsed_ms": F.col("elapsed_ms"),
+        "ocr_conf": F.col("ocr"), "regex_valid": F.col("found"), "domain_score": F.col("score"), "final_score": F.col("conf"), "status": best, "text": F.col("text"), "normalized": F.col("normalized"),
+    }
+    return rows.select(*keys, "seq", *(v.alias(k) for k, v in columns.items()))
+
+
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the last in the given order, as a keyed table built row by row would hold."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_w")).select("_w.*")

@@ -70,24 +70,31 @@ def run_stats(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def best_range(rows: DataFrame, keys: Sequence[str], i: str, value: str, least: int, most: int) -> DataFrame:
+def best_range(rows: DataFrame, keys: Sequence[str], i: str, value: str, least: Column | int, most: Column | int) -> DataFrame:
     """Per key the span [start, end) of least to most values with the largest sum, the first of equals; the whole if none fits.
 
-    rows: places 0, 1, ... per key. The pairs of places are a join within the key and the span, at most n * (most - least).
+    rows: places 0, 1, ... per key; least and most: numbers, or columns over n, the values of the key. The best start of
+    an end is the least running sum in a window that ends `least` before it: with places cut in blocks of a window's
+    length, that is the least of a block's end and the next one's beginning, so all is linear in the values.
     """
-    least = max(1, least)
-    most = max(least, most)
-    w = Window.partitionBy(*keys).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select(*keys, (F.col(i) + 1).cast("int").alias("at"), F.sum(value).over(w).alias("upto"))
-    whole = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
-    ends = sums.unionByName(whole.select(*keys, F.lit(0).alias("at"), F.lit(0.0).alias("upto")))
-    # the span is dealt as equality on its length, so that the join hashes rather than compares every pair
-    starts = ends.select(*keys, F.col("at").alias("start"), F.col("upto").alias("before"), F.explode(F.sequence(F.lit(least), F.lit(most))).alias("_len"))
-    starts = starts.withColumn("at", F.col("start") + F.col("_len"))
-    spans = starts.join(ends, [*keys, "at"])
-    best = spans.groupBy(*keys).agg(F.min_by(F.struct("start", F.col("at").alias("end")), F.struct(F.col("before") - F.col("upto"), "start", "at")).alias("_b"))
-    out = whole.join(best, list(keys), "left")
-    return out.select(*keys, F.coalesce("_b.start", F.lit(0)).alias("start"), F.coalesce("_b.end", "n").alias("end"))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    upto = F.sum(value).over(Window.partitionBy(*keys).orderBy(i).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(*keys, (F.col(i) + 1).cast("int").alias("at"), upto.alias("upto"), n.cast("int").alias("n"))
+    rows = rows.unionByName(rows.groupBy(*keys).agg(F.lit(0).alias("at"), F.lit(0.0).alias("upto"), F.max("n").alias("n")))
+    low = F.greatest(F.lit(1), least if isinstance(least, Column) else F.lit(least)).cast("int")
+    rows = rows.withColumn("_low", low)
+    rows = rows.withColumn("_len", (F.greatest(F.col("_low"), (most if isinstance(most, Column) else F.lit(most)).cast("int")) - F.col("_low") + 1).cast("int"))
+    rows = rows.withColumns({"_b": F.floor(F.col("at") / F.col("_len")).cast("int"), "_s": F.struct(F.col("upto").alias("upto"), F.col("at").alias("start"))})
+    own = Window.partitionBy(*keys, "_b").orderBy("at")
+    rows = rows.withColumns({"_head": F.min("_s").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_tail": F.min("_s").over(own.rowsBetween(0, Window.unboundedFollowing))})
+    heads = rows.select(*keys, (F.col("at") + F.col("_low")).alias("at"), F.col("_head").alias("_h"))
+    tails = rows.select(*keys, (F.col("at") + F.col("_low") + F.col("_len") - 1).alias("at"), F.col("_tail").alias("_t"))
+    ends = rows.select(*keys, "at", "upto", "n").join(heads, [*keys, "at"], "left").join(tails, [*keys, "at"], "left")
+    first = F.when(F.col("_t").isNotNull(), F.least("_h", "_t")).otherwise(F.col("_h"))
+    ends = ends.withColumn("_f", first)
+    order = F.when(F.col("_f").isNotNull(), F.struct(F.col("_f.upto") - F.col("upto"), F.col("_f.start"), F.col("at")))
+    best = ends.groupBy(*keys).agg(F.max("n").alias("n"), F.min_by(F.struct(F.col("_f.start").alias("start"), F.col("at").alias("end")), order).alias("_b"))
+    return best.select(*keys, F.coalesce("_b.start", F.lit(0)).alias("start"), F.coalesce("_b.end", "n").alias("end"))
 
 
 def circle_fit(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", flat: float = 1e-12) -> DataFrame:
@@ -105,6 +112,11 @@ def circle_fit(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y",
     return s.select(*keys, (F.col("_mx") + a).alias("cx"), (F.col("_my") + b).alias("cy"), radius.alias("radius"))
 
 
+def whole_circle(rows: DataFrame) -> DataFrame:
+    """A fitted circle in whole numbers, cut off as the batch tool does."""
+    return rows.withColumns({c: F.col(c).cast("int") for c in ("cx", "cy", "radius")})
+
+
 def order_stats(values: Column) -> Column:
     """struct(q25, median, q75, upper): sorted values at n/4, n/2 and 3n/4 without interpolation."""
     s, n = F.sort_array(values), F.size(values)

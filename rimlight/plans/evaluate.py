@@ -13,16 +13,19 @@ KEYS = ["image", "field"]
 
 
 def scored(ocr: DataFrame) -> DataFrame:
-    """Candidates with what the parsers find and the two confidences: of strips (conf) and of single regions (score)."""
-    rows = ocr.withColumns({"ocr": F.col("conf"), "size": t.parse_size(F.col("text")), "dot": t.parse_dot(F.col("text"))})
+    """Candidates with what the parsers find and the two confidences: of strips (conf) and of single regions (score).
+
+    Each text is parsed once, as what its field needs; what only the other field has is null, false or blank.
+    """
     is_size = F.col("field") == "size"
+    rows = ocr.withColumns({"ocr": F.col("conf"), "size": F.when(is_size, t.parse_size(F.col("text"))), "dot": F.when(~is_size, t.parse_dot(F.col("text")))})
     dot = F.col("dot")
     done = F.when(dot["full"], 1.0).when(dot["week_year_found"], 0.78).when(dot["found"], 0.55).otherwise(0.0)
     strip = F.when(is_size, 0.50 * F.col("ocr") + 0.35 * F.col("size.quality") + 0.15 * F.col("quality")).otherwise(0.45 * F.col("ocr") + 0.35 * done + 0.20 * F.col("quality"))
     region = F.when(is_size, 0.55 * F.col("ocr") + 0.45 * F.col("size.quality")).otherwise(0.55 * F.col("ocr") + 0.45 * done)
     found = F.when(is_size, F.col("size.found")).otherwise(dot["found"])
     return rows.select(
-        "image", "field", "seq", "text", "ocr", "quality", found.alias("found"), dot["week_year_found"].alias("week_year_found"), dot["full"].alias("full"),
+        "image", "field", "seq", "text", "ocr", "quality", found.alias("found"), F.coalesce(dot["week_year_found"], F.lit(False)).alias("week_year_found"), F.coalesce(dot["full"], F.lit(False)).alias("full"),
         F.when(is_size, F.col("size.normalized")).otherwise(dot["normalized"]).alias("normalized"), dot["full_normalized"].alias("full_normalized"), dot["week_year"].alias("week_year"),
         F.when(found, t.clamp01(strip)).otherwise(0.0).alias("conf"), t.clamp01(region).alias("score"),
         F.when(is_size, F.col("size.found")).otherwise(dot["full"]).alias("ok"),
@@ -83,9 +86,9 @@ def summary(rows: DataFrame) -> DataFrame:
         return F.coalesce(F.avg(c), F.lit(0.0))
 
     return rows.agg(
-        F.count("*").alias("images"), F.count_if("size_found").alias("size_detected"), F.count_if("size_match").alias("size_matches"), F.count_if("dot_found").alias("dot_detected"),
-        F.count_if("dot4_match").alias("dot4_matches"), F.count_if("full_match").alias("full_matches"), mean("size_conf").alias("avg_size_conf"), mean("dot_conf").alias("avg_dot_conf"),
-        mean("total_ms").alias("avg_ms"), F.coalesce(F.percentile("total_ms", F.lit(0.5)), F.lit(0.0)).alias("p50_ms"), F.coalesce(F.percentile("total_ms", F.lit(0.9)), F.lit(0.0)).alias("p90_ms"), F.coalesce(F.max("total_ms"), F.lit(0.0)).alias("max_ms"),
+        F.count("*").alias("totalImages"), F.count_if("size_found").alias("sizeDetectedCount"), F.count_if("size_match").alias("sizeExactMatchCount"), F.count_if("dot_found").alias("dotDetectedCount"),
+        F.count_if("dot4_match").alias("dot4MatchCount"), F.count_if("full_match").alias("dotFullMatchCount"), mean("size_conf").alias("avgSizeConfidence"), mean("dot_conf").alias("avgDotConfidence"),
+        mean("total_ms").alias("avgTotalMs"), F.coalesce(F.percentile("total_ms", F.lit(0.5)), F.lit(0.0)).alias("p50TotalMs"), F.coalesce(F.percentile("total_ms", F.lit(0.9)), F.lit(0.0)).alias("p90TotalMs"), F.coalesce(F.max("total_ms"), F.lit(0.0)).alias("maxTotalMs"),
     )
 
 
@@ -94,13 +97,23 @@ def metrics(one: DataFrame) -> DataFrame:
     return one.unpivot([], [F.col(c).cast("double").alias(c) for c in one.columns], "metric", "value")
 
 
-PER_IMAGE = ["image", "expected_size", "size", "expected_dot4", "week_year", "expected_full", "full_normalized", "size_found", "size_conf", "dot_found", "dot_conf", "total_ms", "size_match", "dot4_match", "full_match", "reason", "difficulty"]
-ERRORS = ["image", "reason", "expected_size", "size", "expected_dot4", "week_year", "expected_full", "full_normalized", "size_conf", "dot_conf", "difficulty"]
+# The reports' columns, and what each holds here.
+PER_IMAGE = {
+    "filename": "image", "expected_size": "expected_size", "predicted_size": "size", "expected_dot4": "expected_dot4", "predicted_dot4": "week_year", "expected_dot_full": "expected_full", "predicted_dot_full": "full_normalized",
+    "size_found": "size_found", "size_confidence": "size_conf", "dot_found": "dot_found", "dot_confidence": "dot_conf", "total_ms": "total_ms", "size_exact_match": "size_match", "dot4_match": "dot4_match",
+    "dot_full_match": "full_match", "suspected_reason": "reason", "brand": "brand", "model": "model", "difficulty": "difficulty", "notes": "notes",
+}
+ERRORS = ("filename", "expected_size", "predicted_size", "expected_dot4", "predicted_dot4", "expected_dot_full", "predicted_dot_full", "size_confidence", "dot_confidence", "total_ms", "suspected_reason")
+
+
+def per_image(rows: DataFrame) -> DataFrame:
+    """One line per compared image."""
+    return rows.select(*((F.col(old).cast("string") if new == "filename" else F.col(old)).alias(new) for new, old in PER_IMAGE.items()))
 
 
 def errors(rows: DataFrame) -> DataFrame:
     """All rows but those right in size and DOT4 and, where it is expected, in the full DOT."""
-    return rows.where(~(F.col("size_match") & F.col("dot4_match") & ((F.col("expected_full") == "") | F.col("full_match")))).select(ERRORS)
+    return per_image(rows.where(~(F.col("size_match") & F.col("dot4_match") & ((F.col("expected_full") == "") | F.col("full_match"))))).select(*ERRORS)
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ SQL = {
         select o_orderkey as image, rank, case when o_orderkey % 7 = 0 then '' else concat('', 125 + 10 * (o_custkey % 28), '/', 20 + 5 * (o_custkey % 16), ' R', 10 + o_orderkey % 15) end as expected_size,
           case when o_orderkey % 5 = 0 then '' else concat(lpad(concat('', 1 + o_custkey % 53), 2, '0'), lpad(concat('', o_custkey % 30), 2, '0')) end as expected_dot4,
           case when o_orderkey % 3 = 0 then '' else concat('DOT1AB', 125 + 10 * (o_custkey % 28), lpad(concat('', 1 + o_custkey % 53), 2, '0')) end as expected_full,
-          o_orderpriority as difficulty
+          o_orderstatus as brand, concat('M', o_custkey % 9) as model, o_orderpriority as difficulty, case when o_orderkey % 4 = 0 then 'a, "b"' else '' end as notes
         from (select *, 2 as rank from {orders} union all select o_orderkey, o_custkey + 1 as o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 1 as rank from {orders} where o_orderkey % 5 = 1) o""",
     # detections: image, idx, label, conf, box in a 640 x 480 image
     "detections": f"""

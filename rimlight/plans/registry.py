@@ -221,20 +221,24 @@ def suspected_reason(spark, sf_dir):
     return ev.evaluated(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""select metric, ~value~ from (unpivot (select count(*)::double as images, (count(*) filter (size_found))::double as size_detected, (count(*) filter (size_match))::double as size_matches,
-  (count(*) filter (dot_found))::double as dot_detected, (count(*) filter (dot4_match))::double as dot4_matches, (count(*) filter (full_match))::double as full_matches, coalesce(avg(size_conf), 0)::double as avg_size_conf,
-  coalesce(avg(dot_conf), 0)::double as avg_dot_conf, coalesce(avg(total_ms), 0)::double as avg_ms, coalesce(quantile_cont(total_ms, 0.5), 0)::double as p50_ms, coalesce(quantile_cont(total_ms, 0.9), 0)::double as p90_ms,
-  coalesce(max(total_ms), 0)::double as max_ms from {COMPARED}) on columns(*) into name metric value value)""")
+@query(f"""select metric, ~value~ from (unpivot (select count(*)::double as "totalImages", (count(*) filter (size_found))::double as "sizeDetectedCount", (count(*) filter (size_match))::double as "sizeExactMatchCount",
+  (count(*) filter (dot_found))::double as "dotDetectedCount", (count(*) filter (dot4_match))::double as "dot4MatchCount", (count(*) filter (full_match))::double as "dotFullMatchCount", coalesce(avg(size_conf), 0)::double as "avgSizeConfidence",
+  coalesce(avg(dot_conf), 0)::double as "avgDotConfidence", coalesce(avg(total_ms), 0)::double as "avgTotalMs", coalesce(quantile_cont(total_ms, 0.5), 0)::double as "p50TotalMs", coalesce(quantile_cont(total_ms, 0.9), 0)::double as "p90TotalMs",
+  coalesce(max(total_ms), 0)::double as "maxTotalMs" from {COMPARED}) on columns(*) into name metric value value)""")
 def benchmark_summary(spark, sf_dir):
     return ev.metrics(ev.summary(ev.evaluated(spark, sf_dir)))
 
 
-@query(f"select image, expected_size, size, expected_dot4, week_year, expected_full, full_normalized, size_found, ~size_conf~, dot_found, ~dot_conf~, ~total_ms~, size_match, dot4_match, full_match, reason, difficulty from {COMPARED}")
+_LINES = f"""(select image::varchar as filename, expected_size, size as predicted_size, expected_dot4, week_year as predicted_dot4, expected_full as expected_dot_full, full_normalized as predicted_dot_full, size_found,
+  size_conf as size_confidence, dot_found, dot_conf as dot_confidence, total_ms, size_match as size_exact_match, dot4_match, full_match as dot_full_match, reason as suspected_reason, brand, model, difficulty, notes from {COMPARED})"""
+
+
+@query(f"select * exclude (size_confidence, dot_confidence, total_ms), ~size_confidence~, ~dot_confidence~, ~total_ms~ from {_LINES}")
 def per_image_report(spark, sf_dir):
-    return ev.evaluated(spark, sf_dir).select(ev.PER_IMAGE)
+    return ev.per_image(ev.evaluated(spark, sf_dir))
 
 
-@query(f"select image, reason, expected_size, size, expected_dot4, week_year, expected_full, full_normalized, ~size_conf~, ~dot_conf~, difficulty from {COMPARED} where not (size_match and dot4_match and (expected_full = '' or full_match))")
+@query(f"select filename, expected_size, predicted_size, expected_dot4, predicted_dot4, expected_dot_full, predicted_dot_full, ~size_confidence~, ~dot_confidence~, ~total_ms~, suspected_reason from {_LINES} where not (size_exact_match and dot4_match and (expected_dot_full = '' or dot_full_match))")
 def errors_report(spark, sf_dir):
     return ev.errors(ev.evaluated(spark, sf_dir))
 
@@ -382,9 +386,10 @@ def border_transition(spark, sf_dir):
     return signal.border(derived(spark, sf_dir, "signal"), ["image"], "x", "value").na.fill(-1)
 
 
-@query(f"select image, coalesce(max(case when nxt - value < -10 and x > 3 then x end), -1) as radius from (select *, lead(value) over (partition by image order by x) as nxt from {SIGNAL}) group by image")
+@query(f"select image, coalesce(arg_max(case when nxt - value < -10 and x > 0 and 70 + 5 * x > 100 then 70 + 5 * x end, case when nxt - value < -10 and x > 0 and 70 + 5 * x > 100 then x end), -1)::int as radius from (select *, lead(value) over (partition by image order by x) as nxt from {SIGNAL}) group by image")
 def last_gradient(spark, sf_dir):
-    return signal.last_drop(derived(spark, sf_dir, "signal"), ["image"], "x", "value", beyond=3.0).na.fill(-1)
+    rows = derived(spark, sf_dir, "signal").withColumn("r", (70 + 5 * F.col("x")).cast("int"))
+    return signal.last_drop(rows, ["image"], "x", "value", place="r").na.fill(-1)
 
 
 COMPONENTS = duck("components")
@@ -486,13 +491,13 @@ def category_index(spark, sf_dir):
 
 
 _ENGINES = f"""(select image, max(case when seq % 2 = 0 then text end) as a, max(case when seq % 2 = 0 then conf end) as ca, max(case when seq % 2 = 1 then text end) as b, max(case when seq % 2 = 1 then conf end) as cb
-  from {duck('ocr')} where field = 'size' and seq <= 2 group by image)"""
+  from {duck('ocr')} where field = 'size' group by image)"""
 
 
 @query(f"""select image, case when pa then a when pb then b else '' end as text, case when pa then 'paddleocr' when pb then 'easyocr' else '' end as engine, case when pa then ca when pb then cb else 0.0::double end as ~conf~
   from (select *, coalesce(a, '') like '%/%' as pa, coalesce(b, '') like '%/%' as pb from {_ENGINES})""")
 def engine_preference(spark, sf_dir):
-    rows = derived(spark, sf_dir, "ocr").where("field = 'size' and seq <= 2")
+    rows = derived(spark, sf_dir, "ocr").where("field = 'size'")
     by = rows.groupBy("image").agg(*(F.max(F.when(F.col("seq") % 2 == k, F.col(c))).alias(n) for k, c, n in ((0, "text", "a"), (0, "conf", "ca"), (1, "text", "b"), (1, "conf", "cb"))))
     ok = [F.contains(t.blank(F.col(c)), F.lit("/")) for c in "ab"]
     pick = etl.preferred([(ok[0], "paddleocr", F.col("a"), F.col("ca")), (ok[1], "easyocr", F.col("b"), F.col("cb"))])
@@ -559,10 +564,11 @@ def crop_percents(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), c["bottom"].cast("int").alias("bottom"), c["top"].cast("int").alias("top"), F.contains(F.lower("p_name"), F.lower(F.lit("1"))).alias("shown"))
 
 
-@query("select user_id, arg_max(value, event_id) as ~value~, max(case when event_type = 'purchase' then value end) as ~kept~ from events group by user_id")
+@query("select user_id, event_id, ~value~, case when event_type <> 'click' and event_id % 2 = 0 and value is not null then value else -1 end as ~wheel~ from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def keyed_upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return etl.latest(e.groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("kept")), ["user_id"])
+    rows = etl.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type"), ["user_id"], "event_id")
+    found = F.when(F.col("event_id") % 2 == 0, F.col("value"))
+    return rows.select("user_id", "event_id", "value", etl.fill_wheel(F.lit(-1.0), found, F.col("event_type") == "click").alias("wheel"))
 
 
 @query()
@@ -694,15 +700,15 @@ def attempt_order(spark, sf_dir):
 
 
 @query("""select user_id, first_text, ~first_conf~, all_text, ~all_conf~ from (select user_id, string_agg(event_type, ' ' order by event_id) filter (n <= 3) as first_text, avg(value) filter (n <= 3) as first_conf,
-  string_agg(event_type, ' ' order by event_id) filter (n <= 5) as all_text, avg(value) filter (n <= 5) as all_conf from (select *, row_number() over (partition by user_id order by event_id) as n from events) group by user_id)""")
+  string_agg(event_type, ' ' order by event_id) as all_text, avg(value) as all_conf from (select *, row_number() over (partition by user_id order by event_id) as n from events) group by user_id)""")
 def paired_lists(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("e"))
 
     def page(a, n):
-        part = F.slice("e", a, n)
+        part = F.slice("e", F.lit(a), F.lit(n) if isinstance(n, int) else n)
         return F.struct(F.transform(part, lambda x: x["event_type"]).alias("texts"), F.transform(part, lambda x: x["value"]).alias("scores"))
 
-    pages = F.array(page(1, 3), page(4, 2))
+    pages = F.array(page(1, 3), page(4, F.size("e")))
     rows = e.select("user_id", etl.paired_text(pages, True).alias("a"), etl.paired_text(pages, False).alias("b"))
     return rows.select("user_id", F.col("a.text").alias("first_text"), F.col("a.confidence").alias("first_conf"), F.col("b.text").alias("all_text"), F.col("b.confidence").alias("all_conf"))
 
@@ -727,3 +733,204 @@ def format_double(spark, sf_dir):
 def shell_and_labels(spark, sf_dir):
     name = F.concat(F.lit("/x.y/a.b-"), F.col("event_id"), F.lit(".png"))
     return table(spark, sf_dir, "events").select("event_id", t.shell_quote(F.concat(F.col("event_type"), F.lit("'s"))).alias("quoted"), t.run_id(F.col("ts")).alias("run"), t.step_label(name).alias("label"))
+
+
+# --- choices and shapes that the queries above don't reach ----------------------------------------------------------
+
+
+@query(f"select image, coalesce(b.s, 0)::int as start, coalesce(b.e, n)::int as \"end\" from (select image, count(*) as n from {SIGNAL} group by image) left join (select image, arg_min(row(s, e)::struct(s int, e int), row(p - q, s, e)) as b from (select a.image, a.at as s, z.at as e, a.upto as p, z.upto as q from u a join (select image, count(*) as n from {SIGNAL} group by image) c on a.image = c.image join u z on a.image = z.image and z.at between a.at + greatest(1, n // 4) and a.at + greatest(greatest(1, n // 4), n * 3 // 5)) group by image) using (image)")
+def best_band(spark, sf_dir):
+    n = F.col("n")
+    return signal.best_range(derived(spark, sf_dir, "signal"), ["image"], "x", "value", F.floor(n / 4), F.floor(n * 3 / 5))
+
+
+ORACLES["best_band"] = f"with {_SUMS} {ORACLES['best_band']}"
+
+
+@query(f"select image, field, seq, text from (select *, row_number() over (partition by image, field order by seq) as n from {duck('ocr')}) where n <= case when field = 'size' then 5 else 6 end")
+def probe_caps(spark, sf_dir):
+    return select.capped(derived(spark, sf_dir, "ocr"), ["image"], "field").select("image", "field", "seq", "text")
+
+
+@query(f"select a.image, a.idx from {DETECTIONS} a where exists (select 1 from (select * from {DETECTIONS} qualify row_number() over (partition by image order by conf desc, idx) <= 2) b where a.image = b.image and a.x = b.x and a.y = b.y and a.w = b.w and a.h = b.h)")
+def selected_detections(spark, sf_dir):
+    found = _detections(spark, sf_dir)
+    best = select.top(found, ["image"], [F.col("conf").desc(), F.col("idx")], 2)
+    return etl.chosen(found, best).select("image", "idx")
+
+
+_DOT_ENGINES = f"""(select image, max(case when seq % 2 = 0 then text end) as a, max(case when seq % 2 = 0 then conf end) as ca, max(case when seq % 2 = 1 then text end) as b, max(case when seq % 2 = 1 then conf end) as cb
+  from {duck('ocr')} where field = 'dot' group by image)"""
+
+
+def _dot_of(c: str) -> str:
+    s = d.squeeze_unicode(f"upper(coalesce({c}, ''))")
+    body = f"case when regexp_extract({s}, '{t.LOOSE_DOT}', 0) = '' then '' else 'DOT ' || {d.squeeze_unicode(f"regexp_extract({s}, '{t.LOOSE_DOT}', 1)")} end"
+    dated = f"regexp_extract({s}, '{t.LOOSE_WEEK_YEAR}', 0)"
+    return f"{body} as {c}_text, case when {d.week_ok(dated)} then {dated} else '' end as {c}_wy"
+
+
+@query(f"""select image, case when pa then a_text when pb then b_text else '' end as text, case when pa then a_wy when pb then b_wy else '' end as dot4, case when pa then 'paddleocr' when pb then 'easyocr' else '' end as engine, case when pa then ca when pb then cb else 0.0::double end as ~conf~
+  from (select *, a_text <> '' or a_wy <> '' as pa, b_text <> '' or b_wy <> '' as pb from (select image, ca, cb, {_dot_of('a')}, {_dot_of('b')} from {_DOT_ENGINES}))""")
+def engine_preference_dot(spark, sf_dir):
+    rows = derived(spark, sf_dir, "ocr").where("field = 'dot'")
+    by = rows.groupBy("image").agg(*(F.max(F.when(F.col("seq") % 2 == k, F.col(c))).alias(n) for k, c, n in ((0, "text", "a"), (0, "conf", "ca"), (1, "text", "b"), (1, "conf", "cb"))))
+    by = by.withColumns({x: t.extract_dot(F.col(x)) for x in "ab"})
+    ok = {x: etl.dot_reading(F.col(f"{x}.text"), F.col(f"{x}.week_year")) for x in "ab"}
+    by = by.withColumn("p", etl.preferred([(ok[x], name, F.col(f"{x}.text"), F.col(f"c{x}")) for x, name in (("a", "paddleocr"), ("b", "easyocr"))]))
+    return by.select("image", "p.text", F.when(ok["a"], F.col("a.week_year")).when(ok["b"], F.col("b.week_year")).otherwise("").alias("dot4"), "p.engine", F.col("p.confidence").alias("conf"))
+
+
+_NARROW = ORACLES["radius_range"].replace("0.16::double", "0.10::double").replace("140 * 0.08::double", "140 * 0.05::double")
+
+
+@query()
+def radius_range_narrow(spark, sf_dir):
+    r = g.radius_range(F.col("box"), F.lit(320.0), F.lit(240.0), F.lit(90.0), F.lit(230.0), narrow=True)
+    return _detections(spark, sf_dir).withColumn("r", r).select("image", "idx", F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
+
+
+ORACLES["radius_range_narrow"] = _NARROW
+
+
+@query()
+def local_ring(spark, sf_dir):
+    p = g.local_ring(F.col("box"), F.lit(320.0), F.lit(240.0), F.lit(90.0), F.lit(230.0), F.lit(1440), F.lit(200))
+    return _detections(spark, sf_dir).withColumn("p", p).select("image", "idx", F.col("p.x").alias("sx"), F.col("p.y").alias("top"), F.col("p.w").alias("sw"), F.col("p.h").alias("height"))
+
+
+_ARC, _BAND = (re.sub(r"^select \* replace \(.*?\) from \((.*)\)$", r"(\1)", ORACLES[k], flags=re.S) for k in ("angle_range", "radius_range"))
+ORACLES["local_ring"] = f"""select image, idx, x0 as sx, a as top, greatest(x1, x0 + 1) - x0 as sw, greatest(least(b, 200), a + 1) - a as height from (
+  select image, idx, least(greatest(floor(first * 4)::int, 0), 2879) as x0, least(ceil(fin * 4)::int, 2880) as x1, least(greatest(floor((1 - {d.clamp01('(hi - 90) / 140.0::double')}) * 200)::int, 0), 199) as a, ceil((1 - {d.clamp01('(lo - 90) / 140.0::double')}) * 200)::int as b
+  from (select *, case when abs(last - first) < 1e-6 then first + 360 when last <= first then last + 360 else last end as fin from {_ARC} join {_BAND} using (image, idx)))"""
+
+
+@query()
+def circle_fit_whole(spark, sf_dir):
+    rows = QUERIES["circle_fit"](spark, sf_dir).where("abs(cx) < 100000 and abs(cy) < 100000")
+    return signal.whole_circle(rows)
+
+
+ORACLES["circle_fit_whole"] = f"select vec_id, trunc(cx)::int as cx, trunc(cy)::int as cy, trunc(radius)::int as radius from ({ORACLES['circle_fit']}) where abs(cx) < 100000 and abs(cy) < 100000"
+
+
+@query("""select image, name, x, y, w, h from (select image, name, x, y, least(w, iw - x)::int as w, least(h, ih - y)::int as h from (
+  select image, iw, ih, 'dot_' || n as name, 0 as x, case n when 'mid' then ih // 4 when 'bottom' then ih // 2 when 'center_band' then ih // 3 else 0 end::int as y, iw as w,
+    case n when 'full' then ih when 'center_band' then greatest(24, ih // 3) else ih // 2 end as h from i, (values ('full'), ('mid'), ('top'), ('bottom'), ('center_band')) b(n)
+  union all select image, iw, ih, 'dot_win_' || k, (k * greatest(120, iw // 5))::int, (ih // 4)::int, greatest(180, iw // 3), greatest(28, ih // 2) from i, range(50) r(k) where k * greatest(120, iw // 5) < iw)) where w >= 80 and h >= 20""")
+def dot_probes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), (F.col("o_custkey") * 13 % 3000 + 40).cast("int").alias("iw"), (F.col("o_custkey") * 7 % 400 + 10).cast("int").alias("ih"))
+    return rows.select("image", F.inline(signal.probes(F.col("iw"), F.col("ih"), "dot")))
+
+
+ORACLES["dot_probes"] = f"with i as (select o_orderkey as image, (o_custkey * 13 % 3000 + 40)::int as iw, (o_custkey * 7 % 400 + 10)::int as ih from orders) {ORACLES['dot_probes']}"
+
+
+@query("select event_id, case event_id % 4 when 0 then event_type || '|a, b|say \"hi\"|' || user_id when 1 then event_type || '|x\"y\"|' when 2 then '|,|' || user_id else event_type || 'tail, all' end as fields, (case event_id % 4 when 0 then 4 when 1 then 3 when 2 then 3 else 1 end)::bigint as n from events")
+def csv_hard_lines(spark, sf_dir):
+    from rimlight.sources.files import csv_fields as split
+
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    quoted = F.concat(kind, F.lit(',"a, b","say ""hi""",'), user)  # a comma and doubled quotes inside quotes
+    comma, opened = F.concat(F.lit(',",",'), user), F.concat(kind, F.lit('"tail, all'))
+    inner = F.concat(kind, F.lit(',x"""y""","'))  # quotes that start within a field, and one that isn't closed
+    line = F.when(F.col("event_id") % 4 == 0, quoted).when(F.col("event_id") % 4 == 1, inner).when(F.col("event_id") % 4 == 2, comma).otherwise(opened)
+    return table(spark, sf_dir, "events").select("event_id", split(line).alias("f")).select("event_id", F.array_join("f", "|").alias("fields"), F.size("f").cast("long").alias("n"))
+
+
+@query("select o_orderkey, case when row_number() over (order by ('0x' || substr(md5('7:' || o_orderkey), 1, 15))::bigint, o_orderkey) <= greatest(1, round_even(0.15::double * count(*) over (), 0)) then 'val' else 'train' end as split from orders")
+def split_members(spark, sf_dir):
+    return etl.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.15, 7)
+
+
+@query(f"select path as image, coalesce(size, '') as size_base_guess, '' as size_full_guess, conf::varchar as size_confidence, box as size_location_hint, '' as dot_text_guess, '' as dot4_guess, '' as dot_confidence, '' as dot_location_hint, '' as review_status, '' as notes from (select '/set/' || image || '.png' as path, label as size, idx as conf, concat_ws(',', x, y, w, h) as box from {DETECTIONS})")
+def gui_suggestions(spark, sf_dir):
+    rows = _detections(spark, sf_dir).select(F.concat(F.lit("/set/"), "image", F.lit(".png")).alias("image_path"), F.col("label").alias("size_base"), F.lit("").alias("size_full"), F.col("idx").alias("size_confidence"), g.box_text(F.col("box")).alias("size_box"))
+    return etl.gui_columns(rows.withColumns({c: F.lit(None).cast("string") for c in ("dot_text", "dot4", "dot_confidence", "dot_box")}))
+
+
+def _expanded(c: str, at: str, size: str, limit: int) -> str:
+    low = f"greatest(0, least({at} - round_even({size} * 0.04::double, 0)::int, {limit - 1}))"
+    high = f"greatest({low} + 1, least({at} + {size} + round_even({size} * 0.04::double, 0)::int, {limit}))"
+    return f"{low} as {c}0, {high} - {low} as {c}1"
+
+
+_EVERY = f"(select image, idx, label, conf, concat_ws(',', x, y, w, h) as box, concat_ws(',', x0, y0, x1, y1) as crop_box, 'crops/set/' || label || '/' || image || '.png' as crop_path from (select *, {_expanded('x', 'x', 'w', 640)}, {_expanded('y', 'y', 'h', 480)} from {DETECTIONS}))"
+
+
+def _files(spark, sf_dir):
+    name = F.concat(F.lit("/set/"), "image", F.lit(".png")).alias("image_path")
+    found = derived(spark, sf_dir, "detections").select(F.lit("set").alias("dataset"), name, "idx", "label", "conf", "x", "y", "w", "h")
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")).select(F.lit("set").alias("dataset"), name, F.lit(640).alias("image_width"), F.lit(480).alias("image_height"))
+    return etl.detection_rows(found, images)
+
+
+@query(f"select 'set' as dataset, '/set/' || image || '.png' as image_path, label, conf as ~confidence~, box, crop_box, crop_path from {_EVERY}")
+def detections_all(spark, sf_dir):
+    every = _files(spark, sf_dir)[1]
+    return every.withColumns({c: F.array_join(c, ",") for c in ("box", "crop_box")})
+
+
+_BEST = ", ".join(f"coalesce(arg_min(case when label = '{x}' then {c} end, case when label = '{x}' then row(-conf, idx) end), '') as {x.lower()}_{n}" for x in ("Brand", "Model", "Size", "DOT") for c, n in (("crop_path", "crop_path"), ("box", "box")))
+
+
+@query(f"select 'set' as dataset, '/set/' || o_orderkey || '.png' as image_path, 'ok' as status, 640 as image_width, 480 as image_height, b.* exclude (image) replace ({', '.join(f"coalesce({x}_{c}, '') as {x}_{c}" for x in ('brand', 'model', 'size', 'dot') for c in ('crop_path', 'box'))}, coalesce(num_detections, 0)::int as num_detections) from orders left join (select image, {_BEST}, count(*)::int as num_detections from {_EVERY} group by image) b on b.image = o_orderkey")
+def detections_summary(spark, sf_dir):
+    summary = _files(spark, sf_dir)[0]
+    return summary.withColumns({f"{x}_box": F.array_join(f"{x}_box", ",") for x in ("brand", "model", "size", "dot")})
+
+
+_REPORT = f"(select image, seq, field as branch, 'roi_' || seq as roi_id, 'gray' as variant, '7' as psm, (100 + seq)::int as width, 40 as height, seq * 1.5::double as elapsed_ms, ocr as ocr_conf, found as regex_valid, score as domain_score, conf as final_score, case when not found then 'parse_miss' when conf > before then 'candidate_best' else 'candidate_weaker' end as status, text, normalized from (select *, coalesce(max(case when found then conf end) over (partition by image, field order by seq rows between unbounded preceding and 1 preceding), 0.0::double) as before from {SCORED}))"
+
+
+@query(f"select image, seq, branch, roi_id, variant, psm, width, height, ~elapsed_ms~, ~ocr_conf~, regex_valid, ~domain_score~, ~final_score~, status, text, normalized from {_REPORT}")
+def candidates_report(spark, sf_dir):
+    seq = F.col("seq")
+    rows = _scored(spark, sf_dir).withColumns({"roi_id": F.concat(F.lit("roi_"), seq), "variant": F.lit("gray"), "psm": F.lit("7"), "width": (100 + seq).cast("int"), "height": F.lit(40), "elapsed_ms": seq * 1.5})
+    return select.report(rows, ["image"])
+
+
+@query(f"select image, (n - 1)::int as index, 'c' || idx as name, x, y, w as width, h as height, conf as ~structure_score~, 0.5::double as ~roi_quality~, 'top_size_candidate' as selection_reason from (select *, row_number() over (partition by image order by conf desc, 'c' || idx) as n from {DETECTIONS}) where n <= 10")
+def size_candidates(spark, sf_dir):
+    rows = derived(spark, sf_dir, "detections").withColumns({"name": F.concat(F.lit("c"), "idx"), "q": F.lit(0.5)})
+    return select.ranked_report(rows, ["image"], "conf", "q")
+
+
+_STRIPS = """(select image, cols, rows, quality, over, cols + 2 * over as wide from (select *, case when cols > rows * 4 then least(greatest(cols // 6, 120), 640) else 0 end::int as over from
+  (select distinct user_id as image, (1500 + user_id % 700)::int as cols, (case when user_id % 3 = 0 then 500 else 40 + user_id % 60 end)::int as rows, (user_id * 13 % 101)::double / 100 as quality from events)))"""
+_KEPT = f"(select c.* exclude (area) from (select *, w * h * (1 + idx % 6) / 6 as area from {COMPONENTS}) c join {_STRIPS} s using (image) where h between rows * 0.16::double and rows * 0.78::double and w between 4 and wide * 0.035::double and area >= w * h * 0.15::double)"
+
+
+def _seamed(kind: str, score: str) -> str:
+    return f"select image, '{kind}' as kind, i::int as idx, (case when over > 0 then (qx - over + 2 * cols) % cols else qx end)::int as x, qy::int as y, (case when over > 0 then least(qw, cols) else qw end)::int as w, qh::int as h, {score} as score, quality"
+
+
+def _clamped(x: str, y: str, w: str, h: str) -> str:
+    return f"greatest({x}, 0) as qx, greatest({y}, 0) as qy, least({x} + {w}, wide) - greatest({x}, 0) as qw, least({y} + {h}, rows) - greatest({y}, 0) as qh"
+
+
+_LINE = d.clamp01(f"0.24::double * {_near('n', 8, 6)} + 0.18::double * {_near('aspect', 4.2, 3.6)} + 0.16::double * (1.0::double - least(jitter / greatest(6.0::double, avg_height * 0.35::double), 1.0::double)) + 0.14::double * case when gap_mean is null then 0.0::double else 1.0::double - least(gap_std / greatest(3.0::double, gap_mean + 1), 1.0::double) end + 0.14::double * least(slender / 2.0::double, 1.0::double) + 0.06::double * least(broad / 4.0::double, 1.0::double) + 0.08::double * least(avg_height / greatest(1.0::double, rows * 0.35::double), 1.0::double)")
+ORACLES["sidewall_candidates"] = f"""with st as materialized {_STRIPS},
+  runs as ({_seamed('run', d.clamp01('0.78::double * structure + 0.22::double * quality'))} from (select *, row_number() over (partition by image order by run) - 1 as i from (select *, {_LINE} as structure from (select *, qw::double / greatest(1, qh) as aspect from
+    (select *, {_clamped('rx', 'ry', 'rw', 'rh')} from (select st.*, q.run, q.n, q.avg_height, q.jitter, q.gap_mean, q.gap_std, q.slender, q.wide as broad, q.x - greatest(12, q.w // 12) as rx, q.y - greatest(8, floor(q.avg_height * 0.25::double)) as ry, q.w + greatest(24, q.w // 6) as rw, q.h + greatest(18, floor(q.avg_height * 0.45::double)) as rh
+      from ({re.sub(r'~(\w+)~', r'\1', re.sub(r"^select \* replace \(.*?\) from \((.*)\)$", r"\1", _STATS, flags=re.S)).replace(COMPONENTS, _KEPT)}) q join st using (image))))
+    where qw > 0 and qh > 0) where aspect between 2.2::double and 12 and n between 4 and 14 and qw between 160 and greatest(320, wide // 3) and structure >= 0.46::double)),
+  edges as ({_seamed('edge', '0.62::double')} from (select *, {_clamped('ex', '0', 'ew', 'eh')} from (select *, case i when 0 then over + margin when 1 then over + margin + ew // 2 when 2 then over + cols - margin - ew else over + cols - margin - ew - ew // 2 end as ex from
+    (select *, least(greatest(floor(rows * 0.34::double)::int, 48), greatest(48, rows // 2)) as eh, least(greatest(floor(cols * 0.16::double)::int, 260), greatest(260, cols // 4)) as ew, least(greatest(floor(cols * 0.03::double)::int, 24), 160) as margin from st where over > 0), range(4) r(i)))
+    where qw >= 120 and qh >= 40),
+  found as (select * from runs union all select * from edges),
+  energy as ({_seamed('energy', '0.30::double')} from (select *, {_clamped('center - ww // 2', 'rows // 8', 'ww', 'greatest(32, rows * 6 // 8)')} from (select *, least(greatest(wide // 32, 160), 540) as ww, floor(wide * a / b)::int as center from st, (values (0, 1, 8), (1, 1, 3), (2, 1, 2), (3, 2, 3), (4, 7, 8)) c(i, a, b) where image not in (select image from found)))
+    where qw >= 60 and qh >= 24)
+  select image, kind, idx, x, y, w, h, round(score, 6) as score, round(quality, 6) as quality, (row_number() over (partition by image order by score + quality desc, kind, idx) - 1)::int as rank from (select * from found union all select * from energy) qualify rank < 6"""
+
+
+def sidewall_candidates(spark, sf_dir):
+    from rimlight.operators import candidates
+
+    c, k = F.col, F.col("user_id")
+    strips = table(spark, sf_dir, "events").select(k).distinct().select(k.alias("image"), (1500 + k % 700).cast("int").alias("cols"), F.when(k % 3 == 0, 500).otherwise(40 + k % 60).cast("int").alias("rows"), ((k * 13 % 101).cast("double") / 100).alias("quality"), F.array().cast("array<int>").alias("centers"))
+    parts = derived(spark, sf_dir, "components").withColumn("area", c("w") * c("h") * (1 + c("idx") % 6) / 6)
+    return candidates.sidewall(parts, strips, "size").withColumns({x: F.round(x, 6) for x in ("score", "quality")})
+
+
+QUERIES["sidewall_candidates"] = sidewall_candidates

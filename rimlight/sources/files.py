@@ -66,31 +66,48 @@ def dataset_folder(spark: SparkSession, root: str) -> str:
 def csv_fields(line: Column) -> Column:
     """The fields of a CSV line; a quote toggles wherever it stands, and a doubled one inside quotes is itself.
 
-    Every field ends in the pattern: what lies between commas outside quotes.
+    A field is what lies between commas outside quotes; quotes that aren't closed reach to the line's end.
     """
-    raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'((?:[^",]|"(?:[^"]|"")*+(?:"|$))*+),'), F.lit(1))
-    # a lone quote goes, a doubled one inside quotes stays as one
-    return F.transform(raw, lambda x: F.replace(F.replace(F.replace(x, F.lit('""'), F.lit("\x00")), F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"')))
+    quoted = '"((?:[^"]++|"")*+)(?:"|$)'
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f',((?:[^",]++|{quoted.replace("(", "(?:", 1)})*+)'), F.lit(1))
+    # without the quotes around its parts, all that are left in a field are doubled ones
+    return F.transform(raw, lambda x: F.replace(F.regexp_replace(x, quoted, "$1"), F.lit('""'), F.lit('"')))
 
 
-def expected(spark: SparkSession, path: str) -> DataFrame:
-    """Ground truth by position: the first line is skipped, as are blank lines and those with fewer than 8 fields; the last row of a file name counts.
+def csv_field(fields: Column, place: Column) -> Column:
+    """A field by its place (from 1), trimmed; blank beyond the last."""
+    return F.trim(F.coalesce(F.try_element_at(fields, place.cast("int")), F.lit("")))
 
-    Lines are kept in order by file and offset: a text scan of one file yields them in place.
-    """
-    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("line"))
-    rows = lines.where("line > 0 and value != ''").select("line", csv_fields(F.col("value")).alias("f")).where(F.size("f") >= len(EXPECTED))
-    rows = rows.select("line", *(F.col("f")[i].alias(c) for i, c in enumerate(EXPECTED)))
-    return last_wins(rows, ["filename"], ["line"]).drop("line")
+
+#: What lines are in order by: their file, the part of it that a task reads, their place there.
+ORDER = ["file", "block", "line"]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) of text files, with their order, however many files and tasks there are."""
+    value = F.regexp_replace("value", "\r$", "").alias("value")
+    return spark.read.text(path, lineSep="\n").select(value, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def expected(spark: SparkSession, path: str) -> DataFrame:
+    """Ground truth by position: each file's first line is skipped, as are blank lines and those with fewer than 8 fields; the last row of a file name counts."""
+    lines = _lines(spark, path)
+    heads = lines.where("block = 0").groupBy("file").agg(F.min("line").alias("_head"))
+    rows = lines.join(F.broadcast(heads), "file")  # a row per file
+    rows = rows.where("line != _head and value != ''").select(*ORDER, csv_fields(F.col("value")).alias("f")).where(F.size("f") >= len(EXPECTED))
+    rows = rows.select(*ORDER, *(F.col("f")[i].alias(c) for i, c in enumerate(EXPECTED)))
+    return last_wins(rows, ["filename"], ORDER).drop(*ORDER)
 
 
 def suggestions(spark: SparkSession, path: str) -> DataFrame:
     """Suggestions by column name under the path key of their image (key); missing columns are blank, the last row of a key counts."""
-    rows = spark.read.csv(path, header=True, escape='"', multiLine=False)
-    have = {c.strip(): c for c in rows.columns}
-    rows = rows.select(F.monotonically_increasing_id().alias("line"), *((F.trim(t.blank(F.col(f"`{have[c]}`"))) if c in have else F.lit("")).alias(c) for c in SUGGESTIONS))
+    lines = _lines(spark, path)
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by(csv_fields(F.col("value")), "line").alias("_names"), F.min("line").alias("_head"))
+    rows = lines.join(F.broadcast(heads), "file").where("line != _head").withColumn("f", csv_fields(F.col("value")))  # a row per file
+    names = F.transform("_names", F.trim)
+    rows = rows.select(*ORDER, *(F.when(F.array_contains(names, c), csv_field(F.col("f"), F.array_position(names, c))).otherwise("").alias(c) for c in SUGGESTIONS))
     rows = rows.withColumn("key", t.path_key(F.col("image"))).where("key != ''")
-    return last_wins(rows, ["key"], ["line"]).drop("line")
+    return last_wins(rows, ["key"], ORDER).drop(*ORDER)
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:

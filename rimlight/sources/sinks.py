@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import shutil
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rimlight.operators import etl
 from rimlight.plans import evaluate
@@ -48,9 +54,15 @@ def write_csv(df: DataFrame, path: str, every_field_quoted: bool = False) -> Non
 
 def write_reports(rows: DataFrame, folder: str) -> None:
     """summary, per_image and errors of `evaluate.compared` rows."""
-    write_csv(evaluate.metrics(evaluate.summary(rows)), f"{folder}/summary.csv")
-    write_csv(rows.select(evaluate.PER_IMAGE).orderBy("image"), f"{folder}/per_image.csv")
-    write_csv(evaluate.errors(rows).orderBy("image"), f"{folder}/errors.csv")
+    write_csv(summary_lines(evaluate.summary(rows)), f"{folder}/summary.csv")
+    write_csv(evaluate.per_image(rows).orderBy("filename"), f"{folder}/per_image.csv")
+    write_csv(evaluate.errors(rows).orderBy("filename"), f"{folder}/errors.csv")
+
+
+def summary_lines(one: DataFrame) -> DataFrame:
+    """The summary as (metric, value) lines of text: counts as whole numbers, the others with 4 digits."""
+    kinds = dict(one.dtypes)
+    return one.unpivot([], [(number(F.col(c)) if kinds[c] == "double" else F.col(c).cast("string")).alias(c) for c in one.columns], "metric", "value")
 
 
 def write_timings(steps: DataFrame, path: str) -> None:
@@ -66,11 +78,43 @@ def write_annotations(rows: DataFrame, path: str) -> None:
     doc.write.mode("overwrite").text(path)
 
 
-def write_labels(rows: DataFrame, path: str) -> None:
-    """One label file per image: rows of yolo_labels with split; the text sink writes a folder per split and stem."""
+def _open_store(uri: str):  # noqa: ANN202 - (pyarrow file system, path)
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri) if "://" in uri else os.path.abspath(uri))
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes each row's data (text or bytes) to the file `path` below a folder that all executors share; returns their number.
+
+    A file is written under a name of its own and then moved, so that a repeated task leaves whole files only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _open_store(folder)
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = f"{root.rstrip('/')}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(part := f"{target}.{uuid.uuid4().hex}", compression=None) as out:
+                    out.write(data)
+                store.move(part, target)
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", F.col("data").cast("binary").alias("data")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_labels(rows: DataFrame, folder: str, names: list[str]) -> dict:
+    """labels/<split>/<stem>.txt per image (rows of yolo_labels with split), dataset.yaml and summary.json; returns the summary."""
     lines = etl.label_lines(rows).join(rows.select("image", "split").distinct(), "image")
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    lines.select(F.col("lines").alias("value"), "split", stem.alias("stem")).write.mode("overwrite").partitionBy("split", "stem").text(path)
+    text = F.when(F.col("lines") == "", "").otherwise(F.concat("lines", F.lit("\n")))
+    write_files(lines.select(F.concat(F.lit("labels/"), "split", F.lit("/"), stem, F.lit(".txt")).alias("path"), text.alias("data")), folder)
+    counts = {r.split: r.n for r in rows.groupBy("split").agg(F.countDistinct("image").alias("n")).collect()}
+    summary = {"images_total": sum(counts.values()), "annotations_total": rows.where("cls is not null").count(), "class_names": names, "splits": {"train": counts.get("train", 0), "val": counts.get("val", 0)}}
+    extra = [("dataset.yaml", dataset_yaml(names)), ("summary.json", json.dumps(summary, indent=2))]
+    write_files(rows.sparkSession.createDataFrame(extra, "path string, data string"), folder)
+    return summary
 
 
 def dataset_yaml(names: list[str]) -> str:
@@ -98,10 +142,43 @@ def preprocess_report(rows: DataFrame) -> DataFrame:
     return rows.select("image", F.explode(F.concat(head, steps, F.array(F.lit("")))).alias("value"))
 
 
+_MARK = "\ue000"  # around numbers that are already text, until they stand in the document
+
+
+def _shown(c: Column, kind: T.DataType) -> Column:
+    """A value as it is written: numbers with 4 digits, boxes as 'x,y,w,h' at any depth."""
+    if isinstance(kind, T.DoubleType):
+        return F.concat(F.lit(_MARK), number(c), F.lit(_MARK))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _shown(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        if kind.names == list("xywh"):
+            return F.when(c.isNotNull(), F.concat_ws(",", *(c[k] for k in "xywh")))
+        return F.when(c.isNotNull(), F.struct(*(_shown(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
+
+
 def result_json(rows: DataFrame, pretty: bool = False) -> DataFrame:
-    """Rows as JSON documents (value), nested structs and arrays included; boxes are 'x,y,w,h'."""
-    cols = [F.concat_ws(",", *(F.col(f"{c}.{k}") for k in "xywh")).alias(c) if kind == "struct<x:int,y:int,w:int,h:int>" else F.col(c) for c, kind in rows.dtypes]
-    return rows.select(F.to_json(F.struct(*cols), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("value"))
+    """Rows as JSON documents (value), nested structs and arrays included; numbers have 4 digits, boxes are 'x,y,w,h'."""
+    cols = [_shown(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]
+    text = F.to_json(F.struct(*cols), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"})
+    return rows.select(F.regexp_replace(text, f'"{_MARK}([^"{_MARK}]*){_MARK}"', "$1").alias("value"))
+
+
+def write_candidates(rows: DataFrame, path: str) -> None:
+    """The recognition report: 14 columns of `select.report` rows, texts in quotes."""
+    quoted = {"roi_id", "variant", "psm", "status", "text", "normalized"}
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) if c in quoted else F.col(c).cast("string") for c in _texts(rows).columns]
+    lines = _texts(rows).select(F.concat_ws(",", *cells).alias("value"))
+    head = rows.sparkSession.createDataFrame([(",".join(rows.columns),)], "value string")
+    head.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_detections(summary: DataFrame, every: DataFrame, folder: str) -> None:
+    """detections_summary and detections_all of `etl.detection_rows`; boxes are 'a,b,c,d'."""
+    for df, name in ((summary, "detections_summary"), (every, "detections_all")):
+        write_csv(df.select(*(F.array_join(c, ",").alias(c) if kind == "array<int>" else F.col(c) for c, kind in df.dtypes)), f"{folder}/{name}.csv")
+    write_json_array(summary, f"{folder}/detections_summary.json")
 
 
 def write_json_array(rows: DataFrame, path: str) -> None:

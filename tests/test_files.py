@@ -34,7 +34,15 @@ def test_expected_and_reports(spark, tmp_path):
     row = found.collect()[0]
     assert (row.size_match, row.dot4_match, row.reason) == (True, False, "image_quality_issue")
     sinks.write_reports(found, str(tmp_path / "out"))
-    assert "size_matches,1.0000" in "".join(p.read_text() for p in (tmp_path / "out/summary.csv").glob("part-*"))
+    text = {n: "".join(p.read_text() for p in (tmp_path / f"out/{n}.csv").glob("part-*")) for n in ("summary", "per_image", "errors")}
+    assert text["summary"].startswith("metric,value\ntotalImages,1\n") and "sizeExactMatchCount,1\n" in text["summary"] and "avgTotalMs,12.5000\n" in text["summary"]
+    assert text["per_image"].splitlines()[1] == "a.png,225/40 R18,225/40 R18,3523,,DOT1ABC3523,,true,0.9000,false,0.0000,12.5000,true,false,false,image_quality_issue,M,P,medium,new"
+    assert text["errors"].splitlines() == ["filename,expected_size,predicted_size,expected_dot4,predicted_dot4,expected_dot_full,predicted_dot_full,size_confidence,dot_confidence,total_ms,suspected_reason", "a.png,225/40 R18,225/40 R18,3523,,DOT1ABC3523,,0.9000,0.0000,12.5000,image_quality_issue"]
+    more = tmp_path / "parts"
+    more.mkdir()
+    for k in range(3):  # each file has a line of names, and the last row of a file name counts
+        (more / f"{k}.csv").write_text("filename,a,b,c,d,e,f,g\n" + f"z.png,{k},,,,,,\n" + f"{k}.png,{k},,,,,,\n")
+    assert {r.filename: r.expected_size for r in files.expected(spark, str(more)).collect()} == {"z.png": "2", "0.png": "0", "1.png": "1", "2.png": "2"}
     answers = files.payloads(spark.read.text(str(tmp_path / "answers.jsonl"))).withColumns({"dataset": F.lit("d"), "image_path": F.lit("p")})
     flat = files.program_rows(answers).orderBy("status", "error").collect()
     assert [r.status for r in flat] == ["error", "error", "ok"] and flat[2].wheel_total_ms == 2.0 and flat[2].notes == "n1 | n2" and flat[0].size_raw is None
