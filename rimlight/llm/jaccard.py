@@ -43,7 +43,7 @@ CHUNK = 1 << 20  # shingles of a blob's chunk
 BLOCK, MOST_BLOCK = 256, 8192  # sets compared in one tree: 16 times the root of the group's number within these bounds
 HOT, HOT_RANK = 512, 2**31 - 1  # classes of one chunk from which on a shingle is hot; its place in the order
 PAIRS = 4 << 20  # of a bucket
-FILTER_BITS = 25
+FILTER_BITS, FILTER_TASKS = 25, 32
 SALTS = 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -379,7 +379,7 @@ def _places(cls: np.ndarray) -> np.ndarray:
 
 
 def filter_of(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2 ** FILTER_BITS bits over (cls): 4 MB, whatever the input; once full it lets all pass."""
+    """A Bloom filter of 2 ** FILTER_BITS bits over (cls): 4 MB from a fixed number of tasks, whatever the input; once full it lets all pass."""
     part = 1 << 19  # bits of a row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +394,7 @@ def filter_of(wanted: DataFrame) -> np.ndarray:
         return pa.table([pa.array([table.column("i")[0].as_py()], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["i", "bits"])
 
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in wanted.mapInArrow(run, "i int, bits binary").groupBy("i").applyInArrow(merge, "i int, bits binary").collect():
+    for row in wanted.repartition(FILTER_TASKS).mapInArrow(run, "i int, bits binary").groupBy("i").applyInArrow(merge, "i int, bits binary").collect():
         out[row.i * part // 8 : (row.i + 1) * part // 8] = np.frombuffer(row.bits, np.uint8)
     return out
 
