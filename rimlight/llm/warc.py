@@ -33,6 +33,7 @@ from rimlight.llm.common import shared_dir, stage
 DATE = "1970-01-01T00:00:00Z"
 ROLL = 32 << 20  # bytes after which a task starts another archive
 READ = 1 << 20
+MOST_HEADER, MOST_MEMBER = 1 << 20, (1 << 31) - (1 << 20)  # bytes of a record's header, and of what a member inflates to; more is damage
 MOST_TASKS = 100_000  # tasks of a read; more archives share them
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "kind string, path string, start long, end long, record_type string, record_id string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, reason string"
@@ -148,11 +149,13 @@ class Salvage:
             start += len(x)
 
     def _inflated(self, start: int) -> tuple[bytes, int]:
-        z, out, used = zlib.decompressobj(31), [], 0
+        z, out, used, size = zlib.decompressobj(31), [], 0, 0
         try:
             for x in self._stream(start):
                 out.append(z.decompress(x))
-                used += len(x)
+                used, size = used + len(x), size + len(out[-1])
+                if size > MOST_MEMBER:
+                    raise Damage("member: too long")
                 if z.eof:
                     return b"".join(out), start + used - len(z.unused_data)
         except zlib.error as e:
@@ -161,7 +164,7 @@ class Salvage:
 
     @staticmethod
     def _headers(data: bytes) -> tuple[dict[str, str], int]:
-        end = data.find(b"\r\n\r\n")
+        end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
         if end < 0:
             raise Damage("header: no end")
         first, *lines = data[:end].split(b"\r\n")
@@ -180,7 +183,7 @@ class Salvage:
     def _plain(self, start: int) -> tuple[dict[str, str], bytes, int]:
         n = 1 << 12
         while b"\r\n\r\n" not in (data := self._bytes(start, min(n, self.size - start))):
-            if n >= min(1 << 20, self.size - start):
+            if n >= min(MOST_HEADER, self.size - start):
                 raise Damage("header: no end")
             n *= 4
         found, body = self._headers(data)
@@ -292,11 +295,25 @@ def page_of(urn: Column) -> Column:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes archives of pages, reads them back and returns one row per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes archives of pages, reads them back and returns one row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    What was read is written first, the quarantined gaps with it. A record that was lost on the way is an error, which
+    tells where the gaps are.
+    """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    found = read(write(planned(pages), folder), payloads=False).where("kind = 'record'")
-    return found.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+    manifest = write(planned(pages), folder)
+    return whole(manifest, stage(read(manifest, payloads=False), "records")).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+
+
 
+def whole(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """The records of written `read` rows, if they are as many as the manifest says."""
+    wrote = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    got = found.where("kind = 'record'").count()
+    if got != wrote:
+        gaps = [f"{r.path} {r.start}-{r.end}: {r.reason}" for r in found.where("kind = 'gap'").orderBy("path", "start").limit(20).collect()]
+        raise RuntimeError(f"{wrote} records were written and {got} read; the first gaps: {gaps}")
+    return found.where("kind = 'record'")
 
 
 ORACLE = """
