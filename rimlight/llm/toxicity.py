@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentences get probabilities, a document's is their noisy-or.
 
-Only documents are labelled. A sentence's logit is a sum of weights of its words and of their first 3 to 6 bytes
+Only documents are labelled. A sentence ends at a line's end, a full stop, an exclamation or question mark, or one of
+their wide forms. A sentence's logit is a sum of weights of its words and of their first 3 to 6 bytes
 (hashed, ASCII letters lower-cased); the document is toxic unless every sentence is clean, 1 - prod(1 - p). The
 gradient of the document's loss reaches the sentences that explain its label, so that the trained model also tells
 which sentences offend. It is fitted in one task on at most `sample` labelled documents of each label, chosen by a
@@ -31,6 +32,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
+_WIDE_ENDS = tuple(x.encode() for x in "。！？")  # three bytes each
 
 
 class Sentences:
@@ -39,13 +41,19 @@ class Sentences:
     def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
         data = LOWER[data]
         n_docs = len(at) - 1
-        inside = _LETTER[data]
+        inside, ends = _LETTER[data], [np.flatnonzero(_END[data]) + 1]
+        for a, b, c in _WIDE_ENDS:
+            at_ = np.flatnonzero(data[: max(0, len(data) - 2)] == a)
+            at_ = at_[(data[at_ + 1] == b) & (data[at_ + 2] == c)]
+            for k in range(3):
+                inside[at_ + k] = False
+            ends.append(at_ + 3)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
         cuts = at[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(data))]
         cuts = cuts[inside[cuts] & inside[cuts - 1]] if len(cuts) else cuts  # words of two documents that touch
         start, end = np.sort(np.concatenate([edge[::2], cuts])), np.sort(np.concatenate([edge[1::2], cuts]))
-        bounds = np.unique(np.concatenate([at[:-1], np.flatnonzero(_END[data]) + 1]))
+        bounds = np.unique(np.concatenate([at[:-1], *ends]))
         place = np.searchsorted(bounds, start, "right") - 1
         used, self.word_sentence = np.unique(place, return_inverse=True)
         limit = np.append(bounds, len(data))
