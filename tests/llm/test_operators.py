@@ -88,6 +88,21 @@ def test_round_trip_of_archives(spark):
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
 
 
+def test_damage_is_logged_and_told(spark, tmp_path):
+    manifest = warc.write(warc.planned(pages(spark).coalesce(1)), f"file://{tmp_path}/w")
+    (path,) = (tmp_path / "w").glob("*.warc.gz")
+    data = bytearray(path.read_bytes())
+    starts = [s for k, s, *_ in walk(bytes(data)) if k == "record"]
+    data[starts[2] + 40] ^= 0x55
+    path.write_bytes(data)
+    rows = warc.read(manifest).collect()
+    gaps = [r for r in rows if r.kind == "gap"]
+    assert len(rows) == 9 and [(g.start, g.end) for g in gaps] == [(starts[2], starts[3])] and gaps[0].reason and gaps[0].path.endswith(".warc.gz")
+    with pytest.raises(RuntimeError, match="9 records were written and 8 read"):
+        warc.whole(manifest, warc.read(manifest))
+    assert warc.whole(manifest.limit(0), warc.read(manifest).limit(0)).count() == 0
+
+
 def test_payloads_survive_and_archives_roll(spark, tmp_path):
     manifest = warc.write(warc.planned(pages(spark).coalesce(1)), f"file://{tmp_path}/w", roll=300)
     assert manifest.count() > 1 and manifest.agg(F.sum("records")).first()[0] == 9
@@ -150,6 +165,41 @@ def test_codes_correct_errors():
     assert (np.abs(far @ far.T) - np.diag(np.diag(far @ far.T))).max() < 0.6 * far.shape[1]
 
 
+def plain_grams(text):
+    """Counts of the hashed letter n-grams of a text, letter by letter."""
+    low = "".join(c.lower()[0] if c.isalpha() and ord(c) < 0x40000 else " " for c in text)
+    low = re.sub(" +", " ", low).rstrip(" ")  # one blank before every word that isn't the first character
+    counts, mask = Counter(), (1 << 64) - 1
+    for size, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
+        for i in range(len(low) - size + 1):
+            if low[i + size // 2 if size > 1 else i] == " ":
+                continue
+            h = salt
+            for c in low[i : i + size]:
+                h = (h ^ (0 if c == " " else ord(c))) * 0xFF51AFD7ED558CCD & mask
+                h ^= h >> 29
+            counts[h & (langid.DIM - 1)] += 1
+    return counts
+
+
+def test_language_like_brute_force(spark):
+    docs = some(spark).select("doc_id", "text", "lang")
+    names, (w, bits, code) = langid.train(docs)
+    docs = docs.unionByName(spark.createDataFrame([(90001, "Ünïted 12 x", "en"), (90002, "日本 a", "en"), (90003, " a\n", None)], docs.schema))
+    got = {r.doc_id: r for r in langid.predict(docs, names, (w, bits, code)).collect()}
+    for r in docs.collect():
+        counts = plain_grams(r.text or "")
+        total = sum(counts.values())
+        if not total:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        margin = [sum(math.sqrt(n / total) * float(w[k, b]) for k, n in counts.items()) + float(w[-1, b]) for b in range(w.shape[1])]
+        loss = [sum(bits[b] * math.exp(-code[c, b] * max(-3, min(3, margin[b]))) for b in range(w.shape[1])) / sum(bits) for c in range(len(names))]
+        want = min(range(len(names)), key=loss.__getitem__)
+        chance = [math.exp(-2 * (x - loss[want])) for x in loss]
+        assert got[r.doc_id].lang_pred == names[want] and abs(got[r.doc_id].score - 1 / sum(chance)) < 1e-3
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -396,6 +446,45 @@ def test_toxicity_cases_and_places(spark):
     assert max(r.score for r in toxicity.detect(docs, labels.where("toxic = 0")).collect()) < 1e-6
 
 
+def test_toxicity_like_brute_force(spark):
+    """Scores from the weights by loops over sentences and words, with the hash as it is defined."""
+    from rimlight.llm import common
+
+    docs, labels = some(spark, n=400).select("doc_id", "text"), some(spark, "labels", 400)
+    weights, bias = toxicity.fit(docs, labels)
+    if not weights.any():
+        weights = np.where(np.arange(len(weights)) % 7 == 0, 1.5, 0).astype(np.float32)
+        bias = -6.0
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def digest(word):
+        total, power = 0, 1
+        for b in word:
+            total, power = (total + int(common._BYTES[b]) * power) & mask, power * int(common._BASE) & mask
+        return mixed((total + len(word)) & mask)
+
+    shift = 64 - toxicity.BITS
+    docs = docs.unionByName(spark.createDataFrame([(9001, "悪い。とても！ x"), (9002, None), (9003, "..")], docs.schema))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (weights, bias)).collect()}
+    for r in docs.collect():
+        clean = 1.0
+        for sentence in re.split(rb"[\n!.?]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f", (r.text or "").encode()):
+            words = re.findall(rb"[0-9a-z\x80-\xff]+", sentence.lower())
+            if not words:
+                continue
+            seen = {((digest(x) ^ 0x5BD1E995) * 0x9E3779B97F4A7C15 & mask) >> shift for x in words}
+            seen |= {digest(x[:k]) >> shift for x in words for k in toxicity.PREFIXES if len(x) >= k}
+            clean *= 1 - 1 / (1 + math.exp(-max(-40, min(30, bias + sum(float(weights[f]) for f in seen)))))
+        assert abs(got[r.doc_id] - (1 - clean)) < 1e-9
+    parts = toxicity.Sentences(*utf8(pa.array(["悪い。とても！ x"])))
+    assert len(parts.start) == 3
+
+
 def test_noisy_or_gradient_trains_the_sentence():
     part = toxicity.Sentences(*utf8(pa.array(["a b. c d! e", "", "f"])))
     assert part.sentence_doc.tolist() == [0, 0, 0, 2]

@@ -119,7 +119,7 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_stages_keep_columns_and_stand_odd_rows(spark):
     docs = spark.read.parquet(f"{duck.DATA}/documents.parquet").limit(60)
-    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (10**6 + 1, "word " * 5000, None, "src0", 7), (None, "a b " * 60, "en", "src1", 3)], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (10**6 + 1, "word " * 5000, None, "src0", 7), (None, "a b " * 60, "en", "src1", 3), (10**6 + 2, " ".join(f"w{i % 90} of {i}." for i in range(200)) + "\n" * 1_200_000, "en", "src2", 9)], docs.schema)
     docs = docs.unionByName(odd).withColumns({c: F.lit("x") for c in ("size", "cls", "key", "kept", "component_id")})
     for part in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
