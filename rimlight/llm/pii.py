@@ -23,7 +23,6 @@ an empty table gives an empty result; spans may touch or overlap between kinds;
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +59,7 @@ _TOKEN = rf"[\p{{L}}\p{{N}}]{_WORD}*+"
 _LEAD, _TRAIL = r"^[^\p{L}\p{N}@+]*+", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>"
 _MORE = "array<struct<start:int,kind:int,end:int>>"
-FEW = 32  # words of patterns up to which texts are looked through for them first
+FEW = 1000  # last words of patterns up to which their places are picked by them first
 _BLOCK, _CHARS = 256, 10  # matches of a block; characters of a block, as a power of 2
 
 
@@ -110,7 +109,7 @@ def _valid(kind: int, m: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.translate(F.lower(text), "123456789", "000000000")
+    return F.regexp_replace(F.lower(text), "[1-9]", "0")
 
 
 def _tokens(text: Column) -> Column:
@@ -132,7 +131,7 @@ def scanned(docs: DataFrame, mark: str = "", columns: tuple[str, ...] = ("doc_id
     rows = rows.withColumns({f"{mark}m{k}": F.when(needs[k], F.regexp_extract_all(t, F.lit("".join(FAST[k])), F.lit(0))) for k in kinds})
     some = [F.coalesce(F.size(col(f"m{k}")), F.lit(0)) > 0 for k in kinds]
     lengths = lambda k: F.zip_with(col(f"m{k}"), F.slice(F.split(t, "".join(FAST[k]), -1), F.lit(1), F.size(col(f"m{k}"))), lambda m, gap: F.length(m) + F.length(gap))
-    around = lambda k: f"{FAST[k][0]}(?:(?<=([\\s\\S]{{{PAD}}}))|){FAST[k][1]}(?=([\\s\\S]{{0,{PAD}}}))"
+    around = lambda k: f"{FAST[k][0]}(?:(?<=((?s:.{{{PAD}}})))|){FAST[k][1]}(?=((?s:.{{0,{PAD}}})))"
     sides = {f"{mark}{side}{k}": F.when(some[k], F.regexp_extract_all(t, F.lit(around(k)), F.lit(g))) for k in kinds for g, side in ((1, "l"), (2, "r"))}
     rows = rows.withColumns({f"{mark}n{k}": F.when(some[k], lengths(k)) for k in kinds} | sides)
     rows = rows.withColumns({f"{mark}e{k}": F.when(some[k], running(col(f"n{k}"), _plus)) for k in kinds})
@@ -177,21 +176,17 @@ def _beside(s: Column) -> Column:
 def neighbours(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pattern, plain): how many distinct words without digit or @ stand beside each of the wanted patterns in texts (text)."""
     wanted = small(stage(wanted.select("pattern", F.substring_index("pattern", " ", 1).alias("side"), F.expr("substring(pattern, 2 + length(substring_index(pattern, ' ', 1)))").alias("words")), "wanted"))
-    rows = texts.select(F.col("text").cast("string").alias("text"))
-    last = wanted.select(F.substring_index("words", " ", -1).alias("w")).distinct().limit(FEW + 1).collect()
-    if len(last) <= FEW:  # then texts without any of these words needn't be taken apart
-        low = _plain(F.col("text"))
-        rows = rows.where(reduce(Column.__or__, (F.contains(low, F.lit(r.w)) for r in last)))
-    rows = rows.select(_tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
+    rows = texts.select(_tokens(F.col("text").cast("string")).alias("t")).where(F.size("t") > 1)
+    last = wanted.select("side", F.substring_index("words", " ", -1).alias("w")).distinct().limit(FEW + 1).collect()
     cut = lambda first, drop: F.slice("t", F.lit(first), F.greatest(F.size("t") - drop, F.lit(0)))
-    pairs = {
-        "L": F.arrays_zip(cut(1, 1).alias("w"), cut(2, 1).alias("f")),
-        "LL": F.arrays_zip(F.zip_with(cut(1, 2), cut(2, 2), lambda a, b: F.concat_ws(" ", a, b)).alias("w"), cut(3, 2).alias("f")),
-        "R": F.arrays_zip(cut(2, 1).alias("w"), cut(1, 1).alias("f")),
-    }
 
     def told(side: str) -> Column:
-        return F.transform(pairs[side], lambda p: F.struct(F.lit(side).alias("s"), p["w"].alias("w"), p["f"].alias("f")))
+        """Places of a pattern's side: its words (w) and the word beside them (f); of few patterns those with their last word only."""
+        shape = {"L": [("w", 1, 1), ("f", 2, 1)], "LL": [("v", 1, 2), ("w", 2, 2), ("f", 3, 2)], "R": [("w", 2, 1), ("f", 1, 1)]}[side]
+        pairs = F.arrays_zip(*(cut(first, drop).alias(name) for name, first, drop in shape))
+        if len(last) <= FEW:
+            pairs = F.filter(pairs, lambda p: p["w"].isin([r.w for r in last if r.side == side]))
+        return F.transform(pairs, lambda p: F.struct(F.lit(side).alias("s"), (F.concat_ws(" ", p["v"], p["w"]) if side == "LL" else p["w"]).alias("w"), p["f"].alias("f")))
 
     sides = [told(r.side) for r in wanted.select("side").distinct().collect()]  # three at most
     beside = rows.select(F.explode(F.concat(*sides)).alias("p")).select("p.*").where(~F.col("f").rlike("[0-9@]"))
@@ -278,7 +273,7 @@ def redact(docs: DataFrame, **params: float) -> DataFrame:
     text = F.col("text").cast("string")
     some = F.size(col("spans")) > 0
     rows = rows.withColumn(f"{mark}spans", F.array_sort(F.concat(col("base"), col("more"))))
-    rows = rows.withColumns({f"{mark}blocks": F.when(some, F.regexp_extract_all(text, F.lit(f"[\\s\\S]{{1,{1 << _CHARS}}}"), F.lit(0))), f"{mark}ends": F.when(some, F.transform(col("spans"), lambda s: s["end"]))})
+    rows = rows.withColumns({f"{mark}blocks": F.when(some, F.regexp_extract_all(text, F.lit(f"(?s:.{{1,{1 << _CHARS}}})"), F.lit(0))), f"{mark}ends": F.when(some, F.transform(col("spans"), lambda s: s["end"]))})
     rows = rows.withColumn(f"{mark}ends", F.when(some, F.concat(F.array(F.lit(0)), running(col("ends"), F.greatest))))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     new = F.filter(F.arrays_zip(col("spans").alias("s"), F.slice(col("ends"), F.lit(1), F.size(col("spans"))).alias("at")), lambda x: x["s"]["start"] >= x["at"])
