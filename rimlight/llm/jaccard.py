@@ -39,10 +39,10 @@ from rimlight.llm.components import components
 
 N, PERCENT = 5, 75
 HALF = np.uint64(1 << 63)
-CHUNK = 1 << 20  # shingles of a blob's chunk
-BLOCK, MOST_BLOCK = 256, 8192  # sets compared in one tree: 16 times the root of the group's number within these bounds
+CHUNK = 1 << 19  # shingles of a blob's chunk
+BLOCK, MOST_BLOCK = 256, 2048  # sets compared in one tree: 16 times the root of the group's number within these bounds
 HOT, HOT_RANK = 512, 2**31 - 1  # classes of one chunk from which on a shingle is hot; its place in the order
-PAIRS = 4 << 20  # of a bucket
+PAIRS = 1 << 20  # of a bucket; a worker holds some 100 bytes of each at once
 FILTER_BITS, FILTER_TASKS = 25, 32
 SALTS = 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
