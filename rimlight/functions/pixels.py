@@ -168,6 +168,16 @@ def sector(strip: np.ndarray, start: float, end: float) -> np.ndarray:
     return np.hstack([strip, strip])[:, x0:x1]
 
 
+def unwrap_inside(a: np.ndarray, cx: float, cy: float, inner: float, outer: float, margin: float = 0.02, height: int | None = None) -> np.ndarray:
+    """The ring without a margin at both edges as a strip as long as its outer edge, the outer one on top."""
+    wall = max(int(outer - inner), 1)
+    height = max(220, min(420, 2 * wall)) if height is None else height
+    far, near = int(outer - wall * margin), int(inner + wall * margin)
+    t = np.arange(int(2 * np.pi * far)) * 2 * np.pi / max(1, int(2 * np.pi * far))
+    r = np.linspace(far, near, height)[:, None]
+    return np.rint(sample(a, cy + r * np.sin(t), cx + r * np.cos(t))).astype(np.uint8)
+
+
 def energies(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of white by row and by column."""
     return a.sum(1) / 255.0, a.sum(0) / 255.0

@@ -30,5 +30,10 @@ def results_of(answers: DataFrame) -> DataFrame:
 
 def report(spark: SparkSession, expected_csv: str, answers_path: str) -> DataFrame:
     """`evaluate.compared` rows for answers in JSON lines."""
+    return compared(spark, expected_csv, spark.read.text(answers_path))
+
+
+def compared(spark: SparkSession, expected_csv: str, answers: DataFrame) -> DataFrame:
+    """`evaluate.compared` rows for answers (value: JSON)."""
     truth = files.expected(spark, expected_csv).select(F.col("filename").alias("image"), "expected_size", "expected_dot4", F.col("expected_dot_full").alias("expected_full"), "brand", "model", "difficulty", "notes", F.lit(1).alias("rank"))
-    return evaluate.compared(results_of(files.payloads(spark.read.text(answers_path))), truth)
+    return evaluate.compared(results_of(files.payloads(answers)), truth)

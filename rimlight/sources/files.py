@@ -23,8 +23,8 @@ RESULT = (
     "timings struct<preprocessMs:double,roiProposalMs:double,ocrMs:double,parsingMs:double,cropSaveMs:double,overlaySaveMs:double,totalMs:double>, "
     "stepTimings array<struct<name:string,ms:double>>, error string"
 )
-ROI = "inputPath string, branch string, boundingBox string, rawText string, normalizedText string, found boolean, confidence double, notes array<string>, stepTimings array<struct<name:string,ms:double>>, error string"
-SECTOR = "inputPath string, branch string, startAngleDeg double, endAngleDeg double, wheelFound boolean, notes array<string>, stepTimings array<struct<name:string,ms:double>>, error string"
+ROI = "imagePath string, branch string, roi string, rawText string, normalizedText string, found boolean, confidence double, cropPath string, notes array<string>, stepTimings array<struct<name:string,ms:double>>, error string"
+SECTOR = "imagePath string, branch string, startAngleDeg double, endAngleDeg double, wheelFound boolean, wheelCenterX double, wheelCenterY double, wheelInnerRadius double, wheelOuterRadius double, overlayPath string, unwrappedPath string, notes array<string>, stepTimings array<struct<name:string,ms:double>>, error string"
 COCO = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, categories array<struct<id:bigint,name:string>>, annotations array<struct<image_id:bigint,category_id:bigint,bbox:array<double>>>"
 #: Field of an annotation: type and default.
 ANNOTATION = {
@@ -138,7 +138,7 @@ def payloads(texts: DataFrame, column: str = "value", schema: str = RESULT) -> D
 
 def rois(texts: DataFrame, column: str = "value") -> DataFrame:
     """Answers for single regions, their 'x,y,w,h' as a box."""
-    return payloads(texts, column, ROI).withColumn("box", g.parse_box(F.col("p.boundingBox")))
+    return payloads(texts, column, ROI).withColumn("box", g.parse_box(F.col("p.roi")))
 
 
 def sectors(texts: DataFrame, column: str = "value") -> DataFrame:

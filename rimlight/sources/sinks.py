@@ -169,9 +169,9 @@ def write_candidates(rows: DataFrame, path: str) -> None:
     """The recognition report: 14 columns of `select.report` rows, texts in quotes."""
     quoted = {"roi_id", "variant", "psm", "status", "text", "normalized"}
     cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) if c in quoted else F.col(c).cast("string") for c in _texts(rows).columns]
-    lines = _texts(rows).select(F.concat_ws(",", *cells).alias("value"))
-    head = rows.sparkSession.createDataFrame([(",".join(rows.columns),)], "value string")
-    head.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    lines = _texts(rows).select(F.concat_ws(",", *cells).alias("value"), F.monotonically_increasing_id().alias("_line"))
+    head = rows.sparkSession.createDataFrame([(",".join(rows.columns), -1)], "value string, _line long")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("_line").select("value").write.mode("overwrite").text(path)
 
 
 def write_detections(summary: DataFrame, every: DataFrame, folder: str) -> None:
@@ -192,6 +192,16 @@ def wheel_report(rows: DataFrame) -> DataFrame:
     return rows.select("image", F.explode(lines).alias("value"))
 
 
+def write_training_export(rows: DataFrame, existing: DataFrame, folder: str) -> None:
+    """annotations.csv, size_crops.csv, dot_crops.csv and the crops themselves below a folder; existing: (path, content) of previews."""
+    manifest, *crops = training_export(rows, existing.select("path"))
+    write_csv(manifest, f"{folder}/annotations.csv")
+    for df, field in zip(crops, ("size", "dot"), strict=True):
+        write_csv(df, f"{folder}/{field}_crops.csv")
+        previews = rows.select("image", F.col(f"{field}PreviewPath").alias("path"))
+        write_files(df.select("image", "crop").join(previews, "image").join(existing, "path").select(F.col("crop").alias("path"), F.col("content").alias("data")), folder)
+
+
 def training_export(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, size crops, dot crops) of annotation rows (with annotation_image); existing: (path) of previews that are there."""
     manifest = rows.select("image", "sizeStartAngleDeg", "sizeEndAngleDeg", "sizePreviewPath", "sizeText", "sizeVisible", "dotStartAngleDeg", "dotEndAngleDeg", "dotPreviewPath", "dotText", "dotVisible", "dotDateVisible", "dot4Text")

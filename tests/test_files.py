@@ -66,6 +66,10 @@ def test_annotations_suggestions_coco(spark, tmp_path):
     lines = {r.file_name: r.lines for r in etl.label_lines(etl.yolo_labels(images, found, etl.category_index(used, "label"))).collect()}
     assert lines == {"a.png": "0 0.200000 0.300000 0.200000 0.200000", "b.png": ""}
     assert sinks.dataset_yaml(["a"]).endswith("names: ['a']\n")
+    found_ = etl.yolo_labels(images, found, etl.category_index(used, "label")).withColumn("split", F.when(F.col("image") == 1, "train").otherwise("val"))
+    assert sinks.write_labels(found_, str(tmp_path / "set"), ["Size"]) == {"images_total": 2, "annotations_total": 1, "class_names": ["Size"], "splits": {"train": 1, "val": 1}}
+    assert (tmp_path / "set/labels/train/a.txt").read_text() == "0 0.200000 0.300000 0.200000 0.200000\n" and (tmp_path / "set/labels/val/b.txt").read_text() == ""
+    assert json.loads((tmp_path / "set/summary.json").read_text())["splits"]["val"] == 1 and sorted(p.name for p in (tmp_path / "set").iterdir()) == ["dataset.yaml", "labels", "summary.json"]
     sinks.place_file(str(path), str(tmp_path / "x/y.json"))
     assert (tmp_path / "x/y.json").read_text() == path.read_text()
 
@@ -129,6 +133,83 @@ def test_pixels(spark, tmp_path):
     assert [(r.seq, r.conf) for r in read] == [(0, 0.9)]
 
 
+def test_answers_as_text(spark):
+    df = spark.sql("""select 'a"b' as name, 0.5D as score, cast(null as double) as none, array(named_struct('label', 'Size', 'confidence', 1/3D, 'box', named_struct('x', 1, 'y', 2, 'w', 3, 'h', 4))) as found, named_struct('ms', 2.00005D) as timings, true as ok""")
+    text = sinks.result_json(df).first().value
+    assert text == r'{"name":"a\"b","score":0.5000,"none":null,"found":[{"label":"Size","confidence":0.3333,"box":"1,2,3,4"}],"timings":{"ms":2.0000},"ok":true}'
+    assert json.loads(sinks.result_json(df, pretty=True).first().value)["timings"] == {"ms": 2.0}
+
+
+def reader():
+    return lambda data, h, w: ("225/40 R18", 0.9)
+
+
+def test_image_modes(spark, tmp_path):
+    from rimlight import cli
+
+    folder = tmp_path / "root/images"
+    folder.mkdir(parents=True)
+    big = np.full((500, 500), 60, np.uint8)
+    y, x = np.mgrid[:500, :500]
+    r = np.hypot(x - 250, y - 250)
+    big[r < 220] = 160
+    big[r < 130] = 20
+    for name, a in (("a.png", big), ("b.png", disc())):
+        png(folder / name, np.repeat(a[:, :, None], 3, 2))
+    (tmp_path / "root/expected.csv").write_text("filename,a,b,c,d,e,f,g\na.png,225/40 R18,,,x,y,easy,n\n")
+
+    def answers(out):
+        return [json.loads(x) for p in sorted((out / "answers").glob("part-*")) for x in p.read_text().splitlines()]
+
+    assert cli.main(["--wheel-image", str(folder / "a.png"), "--output", str(tmp_path / "w")]) == 0
+    (one,) = answers(tmp_path / "w")
+    assert one["wheelFound"] and abs(one["wheelInnerRadius"] - 130) < 12 and (tmp_path / "w" / one["unwrappedBandPath"]).read_bytes().startswith(b"P5")
+    assert cli.main(["--unwrap-sector", str(folder / "a.png"), "--angles", "350,10", "--branch", "dot", "--output", str(tmp_path / "s")]) == 0
+    (one,) = answers(tmp_path / "s")
+    assert one["branch"] == "dot" and one["startAngleDeg"] == 350 and (tmp_path / "s/a/dot_sector.pgm").exists()
+    assert cli.main(["--ocr-roi", str(folder / "a.png"), "--roi", "10,10,100,50", "--recognizer", "tests.test_files:reader", "--output", str(tmp_path / "r")]) == 0
+    (one,) = answers(tmp_path / "r")
+    assert (one["roi"], one["normalizedText"], one["found"]) == ("10,10,100,50", "225/40 R18", True) and (tmp_path / "r" / one["cropPath"]).exists()
+    back = files.rois(spark.createDataFrame([(json.dumps(one),)], "value string")).first()
+    assert back.status == "ok" and tuple(back.box) == (10, 10, 100, 50)
+    assert cli.main(["--dir", str(folder), "--skip-ocr", "--output", str(tmp_path / "d")]) == 0
+    assert [(x["frameId"], x["wheelFound"], x["tyreSizeFound"]) for x in sorted(answers(tmp_path / "d"), key=lambda x: x["frameId"])] == [("a", True, False), ("b", False, False)]
+    assert cli.main(["--dataset", str(tmp_path / "root"), "--recognizer", "tests.test_files:reader", "--output", str(tmp_path / "e")]) == 0
+    assert "sizeExactMatchCount,1\n" in "".join(p.read_text() for p in (tmp_path / "e/summary.csv").glob("part-*"))
+    assert cli.main(["--wheel-debug-dir", str(folder), "--output", str(tmp_path / "x")]) == 0
+    assert (tmp_path / "x/a/wheel_report.txt").read_text().startswith("found: true\ncenter_x: ")
+    strip = pixels.unwrap_inside(big, 250, 250, 130, 220)
+    assert strip.shape == (220, int(2 * np.pi * 218)) and abs(int(strip[110].mean()) - 160) < 3
+
+
+def test_training_export(spark, tmp_path):
+    rows = files.annotations(spark, str(_annotated(tmp_path))).withColumn("annotation_image", F.col("image"))
+    existing = spark.createDataFrame([("/p/s.png", b"S"), ("/p/none.png", b"N")], "path string, content binary")
+    sinks.write_training_export(rows, existing, str(tmp_path / "out"))
+    assert (tmp_path / "out/size_crops/x_size.png").read_bytes() == b"S" and not (tmp_path / "out/dot_crops").exists()
+    assert len("".join(p.read_text() for p in (tmp_path / "out/annotations.csv").glob("part-*")).splitlines()) == 2
+
+
+def _annotated(tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"items": [{"image": "/A/x.png", "sizePreviewPath": "/p/s.png", "dotPreviewPath": "/p/gone.png"}]}))
+    return path
+
+
+def test_reports_of_candidates_and_detections(spark, tmp_path):
+    from rimlight.plans import registry
+
+    sinks.write_candidates(registry.QUERIES["candidates_report"](spark, "/root/testdata/sf0.001").drop("image", "seq").limit(20), str(tmp_path / "c"))
+    lines = "".join(p.read_text() for p in (tmp_path / "c").glob("part-*")).splitlines()
+    assert lines[0] == "branch,roi_id,variant,psm,width,height,elapsed_ms,ocr_conf,regex_valid,domain_score,final_score,status,text,normalized" and len(lines) == 21
+    assert lines[1].split(",")[1].startswith('"roi_') and len(lines[1].split(",")[6].split(".")[1]) == 4
+    assert files.ocr_candidates(spark, str(tmp_path / "c")).where("status is null").count() == 0
+    summary, every = registry._files(spark, "/root/testdata/sf0.001")
+    sinks.write_detections(summary.limit(5), every.limit(5), str(tmp_path / "det"))
+    head = "".join(p.read_text() for p in (tmp_path / "det/detections_all.csv").glob("part-*")).splitlines()
+    assert head[0] == "dataset,image_path,label,confidence,box,crop_box,crop_path" and len(head) == 6
+
+
 def test_stream_votes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [("c", f"2026-01-01T00:00:0{i}Z", text, 0.9) for i, text in enumerate(["225/40 R18", "225/40 R18", "205/55 R16", "junk"])] + [("c", "2026-01-01T00:05:00Z", "205/55 R16", 0.9), ("c", "2026-01-01T00:10:00Z", "205/55 R16", 0.9)]
