@@ -119,6 +119,24 @@ def test_circle_and_ranges(spark):
     assert got[99].radius is None
 
 
+def test_resumed_runs_keep_their_details(spark):
+    images, done = spark.createDataFrame([("a",), ("b",)], "image string"), spark.createDataFrame([("a", 1), ("x", 2)], "image string, v int")
+    left, kept, rows = etl.pending_with(images, done, spark.createDataFrame([("a", "d1"), ("a", "d2"), ("x", "d3")], "image string, d string"), "image")
+    assert [r.image for r in left.collect()] == ["b"] and [r.v for r in kept.collect()] == [1] and sorted(r.d for r in rows.collect()) == ["d1", "d2"]
+
+
+def test_spans_of_other_lengths(spark):
+    rng = random.Random(3)
+    data = [(k, i, float(rng.randint(0, 9))) for k in range(30) for i in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(data, "k int, x int, v double")
+    for least, most in ((1, 1), (2, 9), (5, 40), (50, 60)):
+        got = {x.k: (x.start, x.end) for x in signal.best_range(df, ["k"], "x", "v", least, most).collect()}
+        for k in range(30):
+            v = [x for a, _, x in data if a == k]
+            spans = [(-sum(v[s:e]), s, e) for s in range(len(v)) for e in range(s + least, min(len(v), s + most) + 1)]
+            assert got[k] == (min(spans)[1:] if spans else (0, len(v)))
+
+
 def test_merge_tables_and_detector(spark):
     assert boxes.merged(pd.DataFrame([(0, 0, 10, 10), (12, 0, 10, 10), (300, 300, 5, 5)], columns=list("xywh")), 640, 480) == [(0, 0, 22, 10), (300, 300, 5, 5)]
     images = spark.range(200).withColumnRenamed("id", "image")
