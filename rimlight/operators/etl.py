@@ -181,6 +181,15 @@ def paired_text(pages: Column, first_only: bool) -> Column:
     return F.struct(t.squeeze_unicode(F.array_join(texts, " ")).alias("text"), F.coalesce(mean, F.lit(0.0)).alias("confidence"))
 
 
+def page_items(pages: Column) -> Column:
+    """array of struct(text, score, box): what was read on all pages (struct texts, scores, boxes), in order; lists of a page are as long as its texts."""
+
+    def items(p: Column) -> Column:
+        return F.transform(p["texts"], lambda x, i: F.struct(x.alias("text"), F.coalesce(F.try_element_at(p["scores"], i + 1), F.lit(0.0)).alias("score"), F.try_element_at(p["boxes"], i + 1).alias("box")))
+
+    return F.flatten(F.transform(pages, items))
+
+
 def with_overlay(annotations: DataFrame, answers: DataFrame) -> DataFrame:
     """annotations (image) with the overlay of the answer (path, overlay) for the same path, else the image itself."""
     keyed = answers.select(t.path_key(F.col("path")).alias("_key"), "overlay").groupBy("_key").agg(F.max("overlay").alias("_overlay"))

@@ -896,6 +896,29 @@ def size_candidates(spark, sf_dir):
     return select.ranked_report(rows, ["image"], "conf", "q")
 
 
+@query("select user_id, (n - 1)::int as place, event_type as text, value as ~score~, event_id || ',' || n || ',5,6' as box from (select *, row_number() over (partition by user_id order by event_id) as n from events)")
+def page_boxes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("e"))
+
+    def page(a, n, before):
+        part = F.slice("e", F.lit(a), n)
+        boxes_ = F.transform(part, lambda x, i: F.concat_ws(",", x["event_id"], i + 1 + before, F.lit(5), F.lit(6)))
+        return F.struct(F.transform(part, lambda x: x["event_type"]).alias("texts"), F.transform(part, lambda x: x["value"]).alias("scores"), boxes_.alias("boxes"))
+
+    pages = F.array(page(1, F.lit(3), 0), page(4, F.size("e"), 3))
+    return e.select("user_id", F.posexplode(etl.page_items(pages)).alias("place", "i")).select("user_id", "place", "i.text", "i.score", "i.box")
+
+
+@query(f"""select image, idx, ~score~, (row_number() over (partition by image order by score desc, idx) - 1)::int as rank from (select image, idx, area, {d.clamp01("least(w::double / h, 10.0::double) / 10 * 0.6::double + least(area / 307201 * 8, 0.4::double)")} as score from (select *, w::double * h as area from {DETECTIONS})
+  where area between 307201 * 0.0004::double and 307201 * 0.28::double and w >= 40 and h >= 12 and w::double / h between 1.6::double and 18) qualify rank < 8""")
+def roi_proposals(spark, sf_dir):
+    c, whole = F.col, F.lit(307201.0)
+    rows = derived(spark, sf_dir, "detections").where(filters.proposal(c("w"), c("h"), whole))
+    rows = rows.withColumn("score", g.flat_score(c("w").cast("double") / c("h"), c("w").cast("double") * c("h"), whole))
+    rank = F.row_number().over(Window.partitionBy("image").orderBy(c("score").desc(), "idx")) - 1
+    return rows.withColumn("rank", rank).where("rank < 8").select("image", "idx", "score", "rank")
+
+
 _STRIPS = """(select image, cols, rows, quality, over, cols + 2 * over as wide from (select *, case when cols > rows * 4 then least(greatest(cols // 6, 120), 640) else 0 end::int as over from
   (select distinct user_id as image, (1500 + user_id % 700)::int as cols, (case when user_id % 3 = 0 then 500 else 40 + user_id % 60 end)::int as rows, (user_id * 13 % 101)::double / 100 as quality from events)))"""
 _KEPT = f"(select c.* exclude (area) from (select *, w * h * (1 + idx % 6) / 6 as area from {COMPONENTS}) c join {_STRIPS} s using (image) where h between rows * 0.16::double and rows * 0.78::double and w between 4 and wide * 0.035::double and area >= w * h * 0.15::double)"
