@@ -6,8 +6,8 @@ against a language's bit, weighed by the classifier's accuracy on rows kept out
 Texts whose best two sums are close are flagged as ambiguous.
 
 Up to 7 languages get all distinct splits of the languages (exhaustive codes), more get seeded random codewords of
-15 bits per doubling. The classifiers are fitted in one task on at most `sample` labelled rows of each language,
-chosen by a hash of their ids; the features of whole texts are counted in array code in one pass.
+15 bits per doubling. The classifiers are fitted in one task on at most `sample` labelled rows of each language (fewer
+with more than 20 languages, so that the sample stays below MOST_ROWS), chosen by a hash of their ids; the features of whole texts are counted in array code in one pass.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0; a null id counts as held out; with a
 single learned language every text with a letter gets it, with none all are 'und'; repeated rows are predicted once
@@ -30,6 +30,7 @@ from rimlight.llm.common import held_out, pieces, utf8
 DIM = 1 << 12
 #: What is counted at once: a row of DIM numbers per document, however short it is, and some numbers per letter.
 CHUNK_BYTES, CHUNK_DOCS = 1 << 19, 256
+MOST_ROWS = 16_000  # of a training sample, each of which is a row of DIM numbers: 256 MB
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
@@ -126,11 +127,12 @@ def decode(margins: np.ndarray, bit_weights: np.ndarray, code: np.ndarray) -> tu
 
 
 def train(docs: DataFrame, sample: int = 800) -> tuple[list[str], tuple]:
-    """(languages, model) from at most `sample` rows of each language that are not held out."""
+    """(languages, model) from at most `sample` rows of each language that are not held out, MOST_ROWS in all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and lang is not null").where(~held_out()).dropDuplicates(["doc_id", "lang"])
     # the rows with the smallest hashes; a language's others go by a bound on the hash before they are shuffled
     counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_rows"))
+    sample = max(1, min(sample, MOST_ROWS // max(1, counts.count())))
     share = F.least(F.lit(1.0), 4.0 * sample / F.col("_rows"))
     rows = rows.join(counts, F.col("lang") == F.col("_lang")).where(F.xxhash64("doc_id") <= F.lit(-(2.0**63)) + share * 2.0**64).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
