@@ -7,7 +7,8 @@ Texts whose best two sums are close are flagged as ambiguous.
 
 Up to 7 languages get all distinct splits of the languages (exhaustive codes), more get seeded random codewords of
 15 bits per doubling. The classifiers are fitted in one task on at most `sample` labelled rows of each language (fewer
-with more than 20 languages, so that the sample stays below MOST_ROWS), chosen by a hash of their ids; the features of whole texts are counted in array code in one pass.
+with more than 20 languages, so that the sample stays below MOST_ROWS), chosen by a hash of their ids; the features of
+whole texts are counted in array code in one pass.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0; a null id counts as held out; with a
 single learned language every text with a letter gets it, with none all are 'und'; repeated rows are predicted once

@@ -6,10 +6,10 @@ go to the wrapper of the host's commonest. Every page is aligned with its refere
 labels (tag, id, class) match, children keep their order, and a matching with most nodes is taken, among these one that
 pairs equal texts. A node's text is its own and that of the inline elements within it, so that running text is one.
 Over the pages of a wrapper, a reference node that is matched and has the same text in most of them is template; one
-whose text varies is a slot. Pages are counted by distinct content, so copies count once, and
-pages that say nearly the same as the reference (`COPY_SHARE`) have no vote on elements without id or class in articles
-and main parts; such an element of an article must be the same in nearly all of at least `BARE_PAGES` contents. So near
-copies, and passages that many documents quote, are no template.
+whose text varies is a slot. Pages are counted by distinct content, so copies count once, and pages that say nearly the
+same as the reference (`COPY_SHARE`) have no vote on elements without id or class in articles and main parts; such an
+element of an article must be the same in nearly all of at least `BARE_PAGES` contents. So near copies, and passages that
+many documents quote, are no template.
 
 A page's text is that of its slots, and of nodes that match nothing, in its content region: its articles, else its main
 part, else the region that the wrapper finds, the innermost section of the reference that holds nearly all varying text
