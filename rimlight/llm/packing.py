@@ -48,11 +48,14 @@ def encoder(file: str, ranks_path: str, pattern: str, specials: tuple[tuple[str,
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
-    exact = Tokenizer.from_file(file)
+
+    @cache
+    def exact() -> Tokenizer:
+        return Tokenizer.from_file(file)
 
     def encode(text: str) -> list[int]:
         if len(text) >= LONG_RUN and _RUN.search(text):
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact().encode(text, add_special_tokens=False).ids
         return fast.encode(text, allowed_special="all")
 
     return encode
