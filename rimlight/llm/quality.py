@@ -142,16 +142,20 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
 
 def measured(docs: DataFrame, mark: str, columns: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """These columns of docs, the five measures and the votes as one base-3 number (pattern); mark is put before the new names."""
-    rows = docs.select(F.col("text").cast("string").alias(f"{mark}text"), *(F.col(f"`{c}`") for c in columns))
-    schema = StructType([*rows.schema.fields[1:], *(StructField(f"{mark}{m}", LongType()) for m in (*MEASURES, "pattern"))])
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns))
+    kept = rows.schema.fields
+    whole = "text" in columns and dict(docs.dtypes)["text"] == "string"  # then the column itself is measured
+    rows = rows if whole else docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").cast("string").alias(f"{mark}text"))
+    at = columns.index("text") if whole else len(columns)
+    schema = StructType([*kept, *(StructField(f"{mark}{m}", LongType()) for m in (*MEASURES, "pattern"))])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [votes(x.as_py(), rules) for x in b.column(0)]
+            found = [votes(x.as_py(), rules) for x in b.column(at)]
             counts = np.array([m for m, _ in found], np.int64).reshape(-1, 5)
             codes = [sum((v + 1) * 3**i for i, v in enumerate(vs)) for _, vs in found]
-            yield pa.record_batch([*b.columns[1:], *(pa.array(counts[:, i]) for i in range(5)), pa.array(codes, pa.int64())], names)
+            yield pa.record_batch([*b.columns[: len(columns)], *(pa.array(counts[:, i]) for i in range(5)), pa.array(codes, pa.int64())], names)
 
     return rows.mapInArrow(run, schema)
 
