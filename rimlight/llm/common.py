@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that the array code handles at once; one longer document is taken alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
