@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimlight.llm.common import LOWER, mix, pieces, small, stage, utf8, word_hashes, words
+from rimlight.llm.common import LOWER, mix, pieces, small, stage, tidied, utf8, word_hashes, words
 from rimlight.llm.components import components
 
 N, PERCENT = 5, 75
@@ -97,7 +97,7 @@ def classes(docs: DataFrame, keyed: bool = False) -> DataFrame:
             found = [(len(s), class_of(s) if len(s) else None) for s in _sets(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64()), *b.columns[2:]], ["doc_id", "n", "cls", "key"][: b.num_columns + 1])
 
-    return _texts(docs, *key).mapInArrow(run, "doc_id long, n long, cls long" + ", key string" * keyed)
+    return _texts(docs, *key).mapInArrow(tidied(run), "doc_id long, n long, cls long" + ", key string" * keyed)
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -174,7 +174,7 @@ def dealt_out(docs: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
         if kept:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "bucket int, direct boolean, data binary")
+    return _texts(docs).mapInArrow(tidied(run), "bucket int, direct boolean, data binary")
 
 
 def shared(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -212,7 +212,7 @@ def shared(blobs: DataFrame, buckets: int) -> DataFrame:
         many = df > 1
         yield from rows(token[many], cls[many], n[many], dealt[many], df[many])
 
-    return blobs.repartition(buckets, "bucket").select("direct", "data").mapInArrow(run, "cls long, n int, dealt int, token long, df int")
+    return blobs.repartition(buckets, "bucket").select("direct", "data").mapInArrow(tidied(run), "cls long, n int, dealt int, token long, df int")
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def led(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if head is not None and others and (found := Trie(others).near(head)):
                 yield _links([(leader, c) for c in found])
 
-    return heads.unionByName(ones).repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(run, "a long, b long")
+    return heads.unionByName(ones).repartition("leader", "block").sortWithinPartitions("leader", "block", "role").mapInArrow(tidied(run), "a long, b long")
 
 
 def rearranged(members: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def within(members: DataFrame, sets: DataFrame) -> DataFrame:
             if found:
                 yield _links(found)
 
-    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(tidied(run), "a long, b long")
 
 
 def _places(cls: np.ndarray) -> np.ndarray:
@@ -394,7 +394,7 @@ def filter_of(wanted: DataFrame) -> np.ndarray:
         return pa.table([pa.array([table.column("i")[0].as_py()], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["i", "bits"])
 
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in wanted.repartition(FILTER_TASKS).mapInArrow(run, "i int, bits binary").groupBy("i").applyInArrow(merge, "i int, bits binary").collect():
+    for row in wanted.repartition(FILTER_TASKS).mapInArrow(tidied(run), "i int, bits binary").groupBy("i").applyInArrow(merge, "i int, bits binary").collect():
         out[row.i * part // 8 : (row.i + 1) * part // 8] = np.frombuffer(row.bits, np.uint8)
     return out
 
@@ -421,7 +421,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["cls", "set"])
 
-    return _texts(docs).mapInArrow(run, "cls long, set binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    return _texts(docs).mapInArrow(tidied(run), "cls long, set binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _named(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:

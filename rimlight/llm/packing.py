@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimlight.llm.common import tidied
+
 CAPACITY, GRAIN, END_ID = 1024, 64, 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids are the worker's partition number times this, plus a count from 0.
@@ -144,7 +146,7 @@ def pack(docs: DataFrame, file: str, ranks_path: str, pattern: str, specials: tu
         if out:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rimlight.llm.common import stage, unused
+from rimlight.llm.common import stage, tidied, unused
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACES = " \t\n\v\f\r"
@@ -157,7 +157,7 @@ def measured(docs: DataFrame, mark: str, columns: list[str], rules: tuple[Rule,
             codes = [sum((v + 1) * 3**i for i, v in enumerate(vs)) for _, vs in found]
             yield pa.record_batch([*b.columns[: len(columns)], *(pa.array(counts[:, i]) for i in range(5)), pa.array(codes, pa.int64())], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _judged(table: DataFrame, mark: str, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
