@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rimlight.functions.text import clamp01
+from rimlight.functions.text import clamp01, once
 
 ANGLE_PAD = 6.0
 CORNERS = ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.5, 0.5))
@@ -75,13 +75,18 @@ def _points(b: Column) -> list[tuple[Column, Column]]:
 
 def angle_range(b: Column, cx: Column, cy: Column) -> Column:
     """struct(start, end): the smallest arc that holds a box's corners and middle, padded; the first largest gap is left out."""
-    a = F.array_sort(F.array(*(angle(x - cx, y - cy) for x, y in _points(b))))
     n = len(CORNERS)
-    gaps = F.array(*((a[i + 1] if i + 1 < n else a[0] + 360.0) - a[i] for i in range(n)))
-    at = F.array_position(gaps, F.array_max(gaps)).cast("int") - 1
-    start, end = a[(at + 1) % n], a[at]
-    end = F.when(end <= start, end + 360.0).otherwise(end)
-    return F.struct(normal_angle(start - ANGLE_PAD).alias("start"), normal_angle(end + ANGLE_PAD).alias("end"))
+
+    def arc(start: Column, end: Column) -> Column:
+        end = F.when(end <= start, end + 360.0).otherwise(end)
+        return F.struct(normal_angle(start - ANGLE_PAD).alias("start"), normal_angle(end + ANGLE_PAD).alias("end"))
+
+    def around(a: Column) -> Column:
+        gaps = F.array(*((a[i + 1] if i + 1 < n else a[0] + 360.0) - a[i] for i in range(n)))
+        at = once(gaps, lambda x: F.array_position(x, F.array_max(x)).cast("int") - 1)
+        return once(at, lambda i: arc(a[(i + 1) % n], a[i]))
+
+    return once(F.sort_array(F.array(*(angle(x - cx, y - cy) for x, y in _points(b)))), around)
 
 
 def radii(b: Column, cx: Column, cy: Column) -> Column:

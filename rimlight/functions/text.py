@@ -68,7 +68,7 @@ def week_ok(c: Column) -> Column:
     return (F.length(c) == 4) & F.coalesce(F.substring(c, 1, 2).try_cast("int").between(*WEEKS), F.lit(False))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), where value is bound to a lambda's variable and so computed once, however often f looks at it."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -79,7 +79,7 @@ def parse_size(c: Column) -> Column:
 
     def made(m: Column, raw: Column) -> Column:
         # all groups from one match: width, aspect, construction, rim, speed
-        return _once(F.split(F.regexp_replace(m, SIZE, "$2|$3|$4|$5|$6"), r"\|", -1), lambda p: read(p, F.contains(m, F.lit("/")), raw))
+        return once(F.split(F.regexp_replace(m, SIZE, "$2|$3|$4|$5|$6"), r"\|", -1), lambda p: read(p, F.contains(m, F.lit("/")), raw))
 
     def read(p: Column, slash: Column, raw: Column) -> Column:
         width, aspect, letter, rim, speed = (F.element_at(p, i) for i in range(1, 6))
@@ -89,7 +89,7 @@ def parse_size(c: Column) -> Column:
         return F.when(ok, F.struct(F.lit(True).alias("found"), squeeze(raw).alias("raw"), text.alias("normalized"), quality.alias("quality"))).otherwise(none)
 
     none = F.struct(F.lit(False).alias("found"), F.lit("").alias("raw"), F.lit("").alias("normalized"), F.lit(0.0).alias("quality"))
-    return _once(F.struct(match.alias("m"), blank(c).alias("raw")), lambda x: F.when(x["m"] == "", none).otherwise(made(x["m"], x["raw"])))
+    return once(F.struct(match.alias("m"), blank(c).alias("raw")), lambda x: F.when(x["m"] == "", none).otherwise(made(x["m"], x["raw"])))
 
 
 def parse_dot(c: Column) -> Column:
@@ -111,7 +111,7 @@ def parse_dot(c: Column) -> Column:
         )
 
     body, digits = F.regexp_extract(key(c), DOT, 1), F.regexp_extract(key(sanitize(c)), WEEK_YEAR, 1)
-    return _once(F.struct(body.alias("body"), digits.alias("digits"), squeeze(c).alias("raw")), read)
+    return once(F.struct(body.alias("body"), digits.alias("digits"), squeeze(c).alias("raw")), read)
 
 
 def _loose(text: Column, i: int, pattern: str) -> Column:
