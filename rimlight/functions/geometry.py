@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,9 +62,56 @@ def expand_corners(c: Column, width: Column, height: Column, margin: float = 0.0
     return clamp_corners(c["x0"] - dx, c["y0"] - dy, c["x1"] + dx, c["y1"] + dy, width, height)
 
 
-def angle(dx: Column, dy: Column) -> Column:
-    """Direction of a point from the center, in [0, 360)."""
-    return normal_angle(F.degrees(F.atan2(dy, dx)))
+def _arcs(steps: int) -> list[Decimal]:
+    """The arc tangents of 0, 1/steps, ... 1 to 24 places."""
+    out = [Decimal(0)]
+    with localcontext() as c:
+        c.prec = 40
+        for k in range(steps):
+            z, i, arc = Decimal(steps) / (steps * steps + k * (k + 1)), 1, out[-1]
+            power = z
+            while abs(power) > Decimal(10) ** -35:
+                arc, power, i = arc + power / i, -power * z * z, i + 2
+            out.append(arc)
+        return [x.quantize(Decimal(10) ** -24) for x in out]
+
+
+_STEPS, _PLACES = 16, "decimal(26,24)"
+_ARCS = _arcs(_STEPS)
+
+
+def exact_atan2(dy: Column, dx: Column) -> Column:
+    """atan2 rounded from 24 places, for multiples of 1/64 below 100,000; others as the engine has them.
+
+    The engine's own last bit may be wrong, and differs between platforms.
+    """
+
+    def made(p: Column) -> Column:
+        lo, hi = p["lo"], p["hi"]
+        k = F.round(lo / hi * _STEPS).cast("int")
+        # tan(a - b) = (x - y) / (1 + xy): the rest beyond the nearest step, in whole numbers but for one division
+        rest = (_STEPS * lo - k * hi).cast("decimal(14,6)") / (_STEPS * hi + k * lo).cast("decimal(17,6)")
+        arc = once(F.struct(rest.cast(_PLACES).alias("z"), k.alias("k")), series)
+        arc = F.when(F.abs(dy) > F.abs(dx), F.lit(2 * _ARCS[-1]).cast(_PLACES) - arc).otherwise(arc)
+        arc = F.when(dx < 0, F.lit(4 * _ARCS[-1]).cast(_PLACES) - arc).otherwise(arc).cast("double")
+        return F.when(dy < 0, -arc).otherwise(arc)
+
+    def series(p: Column) -> Column:
+        steps = F.array(*(F.lit(x).cast(_PLACES) for x in _ARCS))
+        z = p["z"].cast("double")
+        q, tail = z * z, F.lit(0.0)
+        for i in (13, 11, 9, 7, 5, 3):
+            tail = q * (tail + (1.0 if i % 4 == 1 else -1.0) / i)
+        return F.element_at(steps, p["k"] + 1) + p["z"] + (z * tail).cast(_PLACES)
+
+    sides = F.abs(dx), F.abs(dy)
+    fits = (F.greatest(*sides) > 0) & (F.greatest(*sides) < 100_000) & (dx * 64 == F.rint(dx * 64)) & (dy * 64 == F.rint(dy * 64))
+    return F.when(fits, once(F.struct(F.least(*sides).alias("lo"), F.greatest(*sides).alias("hi")), made)).otherwise(F.atan2(dy, dx))
+
+
+def angle(dx: Column, dy: Column, exact: bool = False) -> Column:
+    """Direction of a point from the center, in [0, 360). All are turned once, so that all are rounded alike."""
+    return (F.degrees((exact_atan2 if exact else F.atan2)(dy, dx)) + 360.0) % 360.0
 
 
 def normal_angle(a: Column) -> Column:
@@ -74,19 +123,30 @@ def _points(b: Column) -> list[tuple[Column, Column]]:
 
 
 def angle_range(b: Column, cx: Column, cy: Column) -> Column:
-    """struct(start, end): the smallest arc that holds a box's corners and middle, padded; the first largest gap is left out."""
+    """struct(start, end): the smallest arc that holds a box's corners and middle, padded; the first largest gap is left out.
+
+    Which of two equal gaps is the larger one is a matter of their last bits (boxes in line with the center): there, angles
+    are computed anew, correctly rounded.
+    """
     n = len(CORNERS)
 
     def arc(start: Column, end: Column) -> Column:
         end = F.when(end <= start, end + 360.0).otherwise(end)
-        return F.struct(normal_angle(start - ANGLE_PAD).alias("start"), normal_angle(end + ANGLE_PAD).alias("end"))
+        return F.struct(((start - ANGLE_PAD + 720.0) % 360.0).alias("start"), ((end + ANGLE_PAD + 720.0) % 360.0).alias("end"))
+
+    def gaps(a: Column) -> Column:
+        return F.array(*((a[i + 1] if i + 1 < n else a[0] + 360.0) - a[i] for i in range(n)))
+
+    def sure(a: Column) -> Column:
+        places = F.array(*(F.struct((x - cx).alias("x"), (y - cy).alias("y")) for x, y in _points(b)))
+        exact = F.sort_array(F.transform(places, lambda p: angle(p["x"], p["y"], exact=True)))
+        return F.when(once(F.sort_array(gaps(a), False), lambda x: x[0] - x[1] < 1e-9), exact).otherwise(a)
 
     def around(a: Column) -> Column:
-        gaps = F.array(*((a[i + 1] if i + 1 < n else a[0] + 360.0) - a[i] for i in range(n)))
-        at = once(gaps, lambda x: F.array_position(x, F.array_max(x)).cast("int") - 1)
+        at = once(gaps(a), lambda x: F.array_position(x, F.array_max(x)).cast("int") - 1)
         return once(at, lambda i: arc(a[(i + 1) % n], a[i]))
 
-    return once(F.sort_array(F.array(*(angle(x - cx, y - cy) for x, y in _points(b)))), around)
+    return once(once(F.sort_array(F.array(*(angle(x - cx, y - cy) for x, y in _points(b)))), sure), around)
 
 
 def radii(b: Column, cx: Column, cy: Column) -> Column:
