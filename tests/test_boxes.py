@@ -11,7 +11,7 @@ from tests import duck
 IN_LINE = [(4524, 174), (924, 1163), (5724, 1128), (8124, 438), (924, 514), (1402, 896), (1795, 860), (4195, 860), (5395, 860), (2359, 860), (2205, 670), (6596, 860)]
 
 
-@pytest.mark.parametrize("name", ["angle_range"])
+@pytest.mark.parametrize("name", ["angle_range", "local_ring"])
 def test_equal_gaps_same_as_sql(spark, tmp_path, name):
     part, supplier = (pa.array(x, pa.int64()) for x in zip(*IN_LINE, strict=True))
     rest = pq.read_schema(f"{duck.DATA}/lineitem.parquet")
