@@ -14,7 +14,8 @@
    leaders don't settle.
 
 Comparisons (3, 4) put the sets, in order, in a radix trie: sets share the overlap of their common beginnings, and a
-subtree is cut off once the overlap so far plus what can remain is too small for its smallest set. Sets for them come
+subtree is cut off once the overlap so far plus what can remain is too small for its smallest set. Within groups (4)
+some hundred sets go down the trie together, and a level's overlaps are counted by matrix products. Sets for them come
 from a third pass over the texts, past a filter of fixed size that holds the classes in groups.
 
 Shingles and classes are 64-bit hashes, comparisons are of whole sets. Defined cases: null or empty texts and those
@@ -42,6 +43,7 @@ HALF = np.uint64(1 << 63)
 CHUNK = 1 << 19  # shingles of a blob's chunk
 BLOCK, MOST_BLOCK = 256, 2048  # sets compared in one tree: 16 times the root of the group's number within these bounds
 HOT, HOT_RANK = 512, 2**31 - 1  # classes of one chunk from which on a shingle is hot; its place in the order
+ASKING, COLUMNS, RARE = 256, 2048, 200  # sets that ask a trie at once; tokens of a matrix; a pair by pair count costs so many of a product's
 PAIRS = 1 << 20  # of a bucket; a worker holds some 100 bytes of each at once
 FILTER_BITS, FILTER_TASKS = 25, 32
 SALTS = 32
@@ -280,6 +282,86 @@ class Trie:
             todo += [(c, overlap) for c in children]
         return out
 
+    def near_all(self, asking: list[np.ndarray], comps: np.ndarray, root: Callable[[int], int]) -> tuple[list, np.ndarray]:
+        """(ids, whether each id's set is similar to each set that asks), by levels of the trie for all that ask at once.
+
+        comps: the components of those that ask; root: what has become of a component in the trie. Pairs within one are left out.
+        """
+        n = np.array([len(s) for s in asking])
+        tokens, who = np.concatenate(asking), np.repeat(np.arange(len(asking)), n)
+        order = np.argsort(tokens, kind="stable")
+        known, counts = np.unique(tokens, return_counts=True)
+        by_token = who[order]
+        # how many of a set's shingles are as large as one, or larger, by their first byte
+        later = np.zeros((256, len(asking)), np.int64)
+        np.add.at(later, ((tokens >> np.uint64(56)).astype(np.int64), who), 1)
+        later = np.cumsum(later[::-1], axis=0)[::-1]
+        ids, hits = [], []
+        nodes, alive, overlap = [self.root], np.ones((1, len(asking)), bool), np.zeros((1, len(asking)), np.int64)
+        while nodes:
+            depth, least, most = (np.array([x[i] for x in nodes])[:, None] for i in (1, 2, 3))
+            alive &= (100 * most >= PERCENT * n) & (PERCENT * least <= 100 * n)
+            for i, x in enumerate(nodes):
+                if x[4] is not None:
+                    alive[i] &= comps != root(x[4])
+            some = np.flatnonzero(alive.any(axis=1))
+            nodes, alive, overlap, depth, least, most = [nodes[i] for i in some], alive[some], overlap[some], depth[some], least[some], most[some]
+            if not nodes:
+                break
+            pieces_ = np.concatenate([x[0] for x in nodes])
+            node = np.repeat(np.arange(len(nodes)), [len(x[0]) for x in nodes])
+            at = np.minimum(np.searchsorted(known, pieces_), len(known) - 1)
+            held = known[at] == pieces_
+            overlap = overlap + _shared_counts(node[held], at[held], len(nodes), counts, by_token, len(asking))
+            left = later[[int(x[0][-1] >> np.uint64(56)) if len(x[0]) else 0 for x in nodes]]
+            alive &= (100 + PERCENT) * (overlap + np.minimum(most - depth, left)) >= PERCENT * (n + least)
+            for i, x in enumerate(nodes):
+                for d, size in x[5]:
+                    ids.append(d)
+                    hits.append(alive[i] & ((100 + PERCENT) * overlap[i] >= PERCENT * (n + size)))
+            below = [(i, c) for i, x in enumerate(nodes) if x[6] and alive[i].any() for c in x[6]]
+            up = np.array([i for i, _ in below], np.int64)
+            nodes, alive, overlap = [c for _, c in below], alive[up], overlap[up]
+        return ids, np.array(hits, bool).reshape(len(ids), len(asking))
+
+
+def _shared_counts(a: np.ndarray, token: np.ndarray, rows: int, held: np.ndarray, by_token: np.ndarray, columns: int) -> np.ndarray:
+    """How many tokens each of `rows` sets (a, token) has in common with each of `columns` sets.
+
+    by_token: the latter sets' numbers in the order of tokens, of which each is in `held` sets. Tokens of many pairs are
+    counted by products of matrices, the others pair by pair.
+    """
+    start = np.cumsum(held) - held
+
+    def holders(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in tokens, number of a set) for each set that holds one of the tokens."""
+        times = held[tokens]
+        first = np.cumsum(times) - times
+        return np.repeat(np.arange(len(tokens)), times), by_token[np.arange(times.sum()) + np.repeat(start[tokens] - first, times)]
+
+    out = np.zeros((rows, columns), np.int64)
+    dense = np.bincount(token, minlength=len(held)) * held * RARE >= rows * columns
+    common = np.flatnonzero(dense)
+    place = np.full(len(held), -1)
+    place[common] = np.arange(len(common))
+    at = place[token]
+    for i in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - i)
+        left, right = np.zeros((rows, width), np.float32), np.zeros((width, columns), np.float32)
+        here = (at >= i) & (at < i + width)
+        left[a[here], at[here] - i] = 1
+        right[holders(common[i : i + width])] = 1
+        out += (left @ right).astype(np.int64)
+    a, token = a[at < 0], token[at < 0]
+    ends = np.cumsum(held[token])
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        one, other = holders(token[i:j])
+        out += np.bincount(a[i:j][one] * columns + other, minlength=rows * columns).reshape(rows, columns)
+        i = j
+    return out
+
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Consecutive rows with equal first columns, as (key, rest of the rows); sets are copied out of their batch."""
@@ -360,9 +442,16 @@ def within(members: DataFrame, sets: DataFrame) -> DataFrame:
                 continue
             # block i is stored, block j asks; of equal blocks each set asks for all
             tree, found = Trie([(c, s, k) for own, c, k, s in rows if own == i]), []
-            for own, c, k, s in rows:
-                if own == j:
-                    for d in tree.near(s, lambda other, k=k, find=find: find(other) == find(k)):
+            asking = [(c, k, s) for own, c, k, s in rows if own == j]
+            for at in range(0, len(asking), ASKING):
+                some = asking[at : at + ASKING]
+                ids, hits = tree.near_all([s for _, _, s in some], np.array([find(k) for _, k, _ in some], np.int64), find)
+                # one set of each component is enough for a link
+                comps = np.array([find(comp[d]) for d in ids], np.int64)
+                for x in np.flatnonzero(hits.any(axis=0)).tolist():
+                    (c, k, _), places = some[x], np.flatnonzero(hits[:, x])
+                    for y in places[np.unique(comps[places], return_index=True)[1]].tolist():
+                        d = ids[y]
                         if find(k) != find(comp[d]):
                             root[find(k)] = find(comp[d])
                             found.append((c, d))
