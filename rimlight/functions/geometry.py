@@ -196,12 +196,12 @@ def band_rect(width: Column, height: Column, inner: Column, outer: Column, lo: C
 
 
 def sector_columns(start: Column, end: Column, width: Column) -> Column:
-    """struct(x, w): the columns of an unwrapped ring, repeated once past its seam, from one angle to another."""
+    """struct(x, w): the columns of an unwrapped ring, repeated once past its seam, from one angle to another; all if they are null."""
     a, b = normal_angle(start), normal_angle(end)
     b = F.when(F.abs(b - a) < 1e-6, a + 360.0).when(b <= a, b + 360.0).otherwise(b)
     per = width / F.lit(360.0)
     x0 = F.least(F.greatest(F.floor(a * per).cast("int"), F.lit(0)), F.greatest(F.lit(0), 2 * width - 1))
-    x1 = F.least(F.greatest(F.ceil(b * per).cast("int"), x0 + 1), 2 * width)
+    x1 = F.greatest(F.least(F.ceil(b * per).cast("int"), 2 * width), x0 + 1)
     return F.struct(x0.cast("int").alias("x"), (x1 - x0).cast("int").alias("w"))
 
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SEQ = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)"
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
+_SEQ = f"row_number() over (partition by l_orderkey order by {_ORDER})"
 _W, _A, _R = "concat('', 125 + 10 * (l_partkey % 28))", "concat('', 20 + 5 * (l_suppkey % 16))", "concat('', 10 + (l_orderkey + l_linenumber) % 15)"
 _WEEK, _YEAR = "lpad(concat('', 1 + l_suppkey % 53), 2, '0')", "lpad(concat('', l_partkey % 30), 2, '0')"
 
@@ -60,8 +61,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in as a DataFrame."""
-    sql = SQL[name]
+    """A stand-in as a DataFrame. Left to themselves, Spark sorts nulls first and DuckDB last: here, they are last, too."""
+    sql = SQL[name].replace(f"order by {_ORDER})", f"order by {_ORDER.replace(',', ' nulls last,')} nulls last)")
     used = {t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "events") if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 

@@ -23,6 +23,21 @@ def test_equal_gaps_same_as_sql(spark, tmp_path, name):
     duck.same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], duck.connection(str(tmp_path)))
 
 
+#: Order, part, supplier and line number: each null in turn, beside rows that tie but for it, and all of them.
+NULL_KEYS = [(1, 5, 7, 1), (1, None, 9, 1), (1, 3, None, 1), (1, 8, 2, None), (2, None, None, 1), (2, 924, None, 2), (3, None, 514, 1), (None, 11, 13, 1), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("missing", ["order", "part", "supplier", "line", "all"])
+def test_null_keys_same_as_sql(spark, tmp_path, missing):
+    at = ["order", "part", "supplier", "line", "all"].index(missing)
+    rows = [r for r in NULL_KEYS if all(x is not None or at in (i, 4) for i, x in enumerate(r))]
+    rest = pq.read_schema(f"{duck.DATA}/lineitem.parquet")
+    names = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    columns = {n: pa.array(x, rest.field(n).type) for n, x in zip(names, zip(*rows, strict=True), strict=True)}
+    pq.write_table(pa.table([columns[f.name] if f.name in columns else pa.nulls(len(rows), f.type) for f in rest], schema=rest), tmp_path / "lineitem.parquet")
+    duck.same(registry.QUERIES["local_ring"](spark, str(tmp_path)), registry.ORACLES["local_ring"], duck.connection(str(tmp_path)))
+
+
 def plainly_merged(now, width, height):
     grown = True
     while grown:
